@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import format_duplicates, function_docs, split_items
+from lodestrata.llm import format_duplicates, function_docs, near_duplicates, split_items
 from lodestrata.runtime import table
 
 
+def p1_found(spark, d):
+    return near_duplicates.near_duplicates(table(spark, d, "symbols"))
+
+
+def p1_groups(spark, d):
+    return near_duplicates.near_groups(table(spark, d, "symbols"))
+
+
 def p3_found(spark, d):
     return format_duplicates.format_copies(table(spark, d, "symbols")).where("id <> keeper_id").select("keeper_id", F.col("id").alias("copy_id"))
 
@@ -33,9 +41,29 @@ def p6_pieces(spark, d):
     return split_items.split_items(table(spark, d, "symbols"), table(spark, d, "index_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces)}
 
 SQL = {
+    "p1_found": r"""
+        WITH s AS (
+            SELECT DISTINCT canonical_id, clone_substitution_key AS k,
+                   regexp_extract_all(lower(span_text), '[\p{L}\p{N}_]+') AS w
+            FROM symbols WHERE clone_token_count >= 40 AND span_text IS NOT NULL
+        ), r AS (
+            SELECT DISTINCT canonical_id, k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run
+            FROM (SELECT canonical_id, k, w, unnest(range(1, len(w) - 1)) AS i FROM s)
+        ), n AS (
+            SELECT canonical_id, count(*) AS n FROM r GROUP BY 1
+        ), c AS (
+            SELECT a.canonical_id AS a, b.canonical_id AS b, count(*) AS both_
+            FROM r a JOIN r b ON a.run = b.run AND a.canonical_id < b.canonical_id
+            WHERE a.k IS NULL OR b.k IS NULL OR a.k <> b.k
+            GROUP BY 1, 2
+        )
+        SELECT c.a AS canonical_id_a, c.b AS canonical_id_b
+        FROM c JOIN n x ON x.canonical_id = c.a JOIN n y ON y.canonical_id = c.b
+        WHERE both_ >= 0.6 * (x.n + y.n - both_)
+    """,
     "p6_found": r"""
         SELECT DISTINCT s.canonical_id
         FROM symbols s LEFT JOIN index_metadata m ON s.workspace_id = m.workspace_id
