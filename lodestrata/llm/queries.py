@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import format_duplicates, function_docs, near_duplicates, split_items
+from lodestrata.llm import format_duplicates, function_docs, near_duplicates, shared_spans, split_items
 from lodestrata.runtime import table
 
 
@@ -16,6 +16,14 @@ def p1_groups(spark, d):
     return near_duplicates.near_groups(table(spark, d, "symbols"))
 
 
+def p2_found(spark, d):
+    return shared_spans.shared_stretches(table(spark, d, "clone_fingerprints")).select("passage_a", "start_a", "passage_b", "start_b")
+
+
+def p2_shared_tokens(spark, d):
+    return shared_spans.shared_tokens(table(spark, d, "clone_fingerprints"), table(spark, d, "semantic_corpus"))
+
+
 def p3_found(spark, d):
     return format_duplicates.format_copies(table(spark, d, "symbols")).where("id <> keeper_id").select("keeper_id", F.col("id").alias("copy_id"))
 
@@ -41,9 +49,38 @@ def p6_pieces(spark, d):
     return split_items.split_items(table(spark, d, "symbols"), table(spark, d, "index_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_tokens, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces)}
+
+_STRETCHES = r"""
+        WITH f AS (
+            SELECT DISTINCT hash, passage_id, token_ordinal FROM clone_fingerprints
+            WHERE hash IS NOT NULL AND passage_id IS NOT NULL AND token_ordinal IS NOT NULL
+        ), s AS (
+            SELECT a.passage_id AS pa, b.passage_id AS pb, a.token_ordinal - b.token_ordinal AS d, a.token_ordinal AS o
+            FROM f a JOIN f b ON a.hash = b.hash AND a.passage_id < b.passage_id
+        ), m AS (
+            SELECT *, CASE WHEN o - lag(o) OVER (PARTITION BY pa, pb, d ORDER BY o) <= 17 THEN 0 ELSE 1 END AS new_ FROM s
+        ), k AS (
+            SELECT *, sum(new_) OVER (PARTITION BY pa, pb, d ORDER BY o) AS r FROM m
+        ), st AS (
+            SELECT pa, pb, d, min(o) AS sa, max(o) AS la FROM k GROUP BY pa, pb, d, r HAVING max(o) - min(o) + 16 >= 64
+        )
+"""
 
 SQL = {
+    "p2_found": _STRETCHES + "SELECT pa AS passage_a, sa AS start_a, pb AS passage_b, sa - d AS start_b FROM st",
+    "p2_shared_tokens": _STRETCHES
+    + r"""
+        , places AS (
+            SELECT pa AS p, sa AS a, la + 16 AS z FROM st UNION ALL SELECT pb, sa - d, la - d + 16 FROM st
+        ), covered AS (
+            SELECT DISTINCT p, unnest(range(a, z)) AS t FROM places
+        )
+        SELECT c.id AS passage_id, coalesce(x.n, 0) AS shared_tokens, coalesce(y.n, 0) AS stretches
+        FROM (SELECT DISTINCT id FROM semantic_corpus WHERE id IS NOT NULL) c
+        LEFT JOIN (SELECT p, count(*) AS n FROM covered GROUP BY 1) x ON x.p = c.id
+        LEFT JOIN (SELECT p, count(*) AS n FROM places GROUP BY 1) y ON y.p = c.id
+    """,
     "p1_found": r"""
         WITH s AS (
             SELECT DISTINCT canonical_id, clone_substitution_key AS k,
