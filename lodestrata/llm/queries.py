@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import format_duplicates, function_docs, near_duplicates, shared_spans, split_items
-from lodestrata.runtime import table
+from lodestrata.llm import encode, format_duplicates, function_docs, mixing, near_duplicates, shared_spans, split_items
+from lodestrata.runtime import materialize, table
 
 
 def p1_found(spark, d):
@@ -49,7 +49,24 @@ def p6_pieces(spark, d):
     return split_items.split_items(table(spark, d, "symbols"), table(spark, d, "index_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_tokens, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces)}
+def p7_ids(spark, d):
+    return encode.encode(table(spark, d, "documents"))
+
+
+def p7_decoded(spark, d):
+    ids = materialize(encode.encode(table(spark, d, "documents")), "ids")
+    return encode.decode(ids, encode.pieces(spark))
+
+
+def p8_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_tokens, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces, p7_ids, p7_decoded, p8_mixture, p8_report)}
 
 _STRETCHES = r"""
         WITH f AS (
@@ -68,6 +85,7 @@ _STRETCHES = r"""
 """
 
 SQL = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
     "p2_found": _STRETCHES + "SELECT pa AS passage_a, sa AS start_a, pb AS passage_b, sa - d AS start_b FROM st",
     "p2_shared_tokens": _STRETCHES
     + r"""
