@@ -1,20 +1,24 @@
 """Long stretches of code that two passages have in common.
 
 A passage is a series of fingerprint rows (hash, ordinal). It is cut into
-content-defined chunks: from each row a chunk grows over the rows that follow,
-a gear rolling hash takes in each row's hash and its distance, and the chunk
-ends as soon as its digest is rare enough to tell its passages apart. Rows of
-ordinary hashes are chunks of their own; only rows whose hash occurs in very
-many passages grow longer chunks. The cut depends on content alone, so chunks
-move along with insertions before them.
-
-Equal digests in two passages are seeds. A seed's diagonal (one difference of
-ordinals) is then followed exactly over all rows both passages share on it.
+content-defined chunks, each named by a gear rolling hash that takes in the
+hashes of the chunk's rows and their distances. Equal digests in two passages
+are seeds; a seed's diagonal (one difference of ordinals) is then followed
+exactly over all rows both passages share on it. Where a chunk starts and ends
+depends on content alone, so chunks move along with insertions before them.
 
 A cut at every n-th value of the gear hash, as in backups, would lose
 stretches: the shortest ones that count hold four rows. Here every row starts a
-chunk, and a chunk grows over every row within reach, so two passages that
-share a stretch share a chunk of it at every length up to four.
+chunk, and the frequency of its hash decides how far it goes:
+
+* A row of an ordinary hash is a chunk by itself. All places both passages
+  share through ordinary hashes are thus known.
+* A row of a hash that very many passages hold goes on to a further row that
+  makes it as long as a stretch that counts, over a row in between. A stretch of
+  common hashes alone holds such a chunk: its rows are at most ``reach`` apart,
+  so from the first one there is a row ``reach`` to ``2 reach - 1`` tokens on,
+  and one ``least - kgram`` to ``least - kgram + reach - 1`` on. Such chunks are
+  as good as stretches, so their pairs don't outgrow the result.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from pyspark.sql.window import Window
 from lodestrata.runtime import materialize
 
 KGRAM, REACH, LEAST = 16, 17, 64
-#: A digest in more places than this is common: its chunks grow on, as far as stretches of MOST_ROWS rows.
-COMMON, MOST_ROWS = 64, 4
+#: A hash in more places than this is common.
+COMMON = 64
 #: Ordinals of one passage that one task reads; a hot passage is read in blocks of these.
 BLOCK = 4096
 
@@ -45,82 +49,65 @@ def _gear(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (passage_id, block, token_ordinal, hash, open) sorted by the first three to longer chunks.
+def _long_chunks(reach: int, far: int):
+    """Chunks of three rows: a first, one ``reach`` to ``2 reach - 1`` on, one ``far`` to ``far + reach - 1`` on.
 
-    ``open`` marks rows whose chunks have to grow. Gives (rows, digest, passage_id,
-    token_ordinal) for the chunks of 2 to MOST_ROWS rows of open rows within reach.
-    Only rows within reach of the batch's end are kept for the next batch.
+    Takes (passage_id, block, token_ordinal, hash) sorted by the first three and
+    gives (digest, passage_id, token_ordinal). Only rows within the length of a
+    chunk from the batch's end are kept for the next batch.
     """
-    held = None
-    span = REACH * (MOST_ROWS - 1)
-    out_names = ["rows", "digest", "passage_id", "token_ordinal"]
+    span = max(far + reach - 1, 2 * reach - 1)
+
+    def partners(series, o, first, low, high):
+        """(index into first, row) for all rows low to high tokens after each of ``first``."""
+        wide = np.int64(1) << 32
+        place = series * wide + o
+        a = np.searchsorted(place, place[first] + low, "left")
+        z = np.searchsorted(place, place[first] + high, "right")
+        n = z - a
+        who = np.repeat(np.arange(len(first)), n)
+        return who, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + a[who]
 
     def chunks(p, b, o, h, own):
-        found = []
-        digest = _gear(h)
-        level = [(np.arange(len(p)), np.arange(len(p)), digest)]
-        for rows in range(2, MOST_ROWS + 1):
-            starts, ends, digests = [], [], []
-            for s, e, g in level:
-                k = 1
-                live = np.arange(len(s))
-                while len(live):
-                    nxt = e[live] + k
-                    ok = nxt < len(p)
-                    live, nxt = live[ok], nxt[ok]
-                    near = (p[nxt] == p[e[live]]) & (b[nxt] == b[e[live]]) & (o[nxt] - o[e[live]] <= REACH)
-                    live, nxt = live[near], nxt[near]
-                    if not len(live):
-                        break
-                    real = o[nxt] > o[e[live]]
-                    a, z = live[real], nxt[real]
-                    starts.append(s[a])
-                    ends.append(z)
-                    gap = (o[z] - o[e[a]]).astype(_U)
-                    digests.append((g[a] << _U(1)) + _gear(h[z] + _gear(gap + _U(rows))))
-                    k += 1
-            if not starts:
-                break
-            s, e, g = np.concatenate(starts), np.concatenate(ends), np.concatenate(digests)
-            level = [(s, e, g)]
-            mine = own[s]
-            found.append((np.full(int(mine.sum()), rows, np.int32), g[mine].view(np.int64), p[s][mine], o[s][mine]))
-        return found
-
-    def batch_of(found):
-        if not found:
-            return None
-        r, g, p, o = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(r), pa.array(g), pa.array(p), pa.array(o.astype(np.int32))], out_names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("passage_id", "block", "token_ordinal")] + [batch.column("hash").to_numpy(zero_copy_only=False).view(_U)]
+        series = np.concatenate(([0], np.cumsum((p[1:] != p[:-1]) | (b[1:] != b[:-1]))))
+        first = np.flatnonzero(own)
+        who, middle = partners(series, o, first, reach, 2 * reach - 1)
+        start = first[who]
+        again, end = partners(series, o, start, far, far + reach - 1)
+        start, middle = start[again], middle[again]
+        ok = end > middle
+        start, middle, end = start[ok], middle[ok], end[ok]
+        g = _gear(h[start])
+        for x, y in ((start, middle), (middle, end)):
+            g = (g << _U(1)) + _gear(h[y] + _gear((o[y] - o[x]).astype(_U)))
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(p[start]), pa.array(o[start].astype(np.int32))], ["digest", "passage_id", "token_ordinal"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("passage_id", "block", "token_ordinal")] + [batch.column("hash").to_numpy(zero_copy_only=False).view(_U)]
+            if held is not None:
+                cols = [np.concatenate((x, y)) for x, y in zip(held, cols)]
+            p, b, o, h = cols
+            # starts too near to the end wait for the next batch
+            waits = (p == p[-1]) & (b == b[-1]) & (o >= o[-1] - span)
+            cut = int(np.flatnonzero(~waits)[-1]) + 1 if not waits.all() else 0
+            yield chunks(p, b, o, h, (np.arange(len(p)) < cut) & (o // BLOCK == b))
+            held = [x[cut:] for x in cols]
         if held is not None:
-            cols = [np.concatenate((x, y)) for x, y in zip(held, cols)]
-        p, b, o, h = cols
-        # starts too near to the end wait for the next batch
-        waits = (p == p[-1]) & (b == b[-1]) & (o >= o[-1] - span)
-        cut = int(np.flatnonzero(~waits)[-1]) + 1 if not waits.all() else 0
-        own = (np.arange(len(p)) < cut) & (o // BLOCK == b)
-        got = batch_of(chunks(p, b, o, h, own))
-        if got is not None and got.num_rows:
-            yield got
-        held = [x[cut:] for x in cols]
-    if held is not None and len(held[0]):
-        p, b, o, h = held
-        got = batch_of(chunks(p, b, o, h, o // BLOCK == b))
-        if got is not None and got.num_rows:
-            yield got
+            p, b, o, h = held
+            yield chunks(p, b, o, h, o // BLOCK == b)
+
+    return run
 
 
 def _seeds(chunks: DataFrame) -> DataFrame:
-    """(passage_a, passage_b, shift) of places with equal digests in two passages."""
-    a = chunks.select("rows", "digest", F.col("passage_id").alias("passage_a"), F.col("token_ordinal").alias("oa"))
-    b = chunks.select("rows", "digest", F.col("passage_id").alias("passage_b"), F.col("token_ordinal").alias("ob"))
-    return a.join(b, ["rows", "digest"]).where("passage_a < passage_b").select("passage_a", "passage_b", (F.col("oa") - F.col("ob")).alias("shift")).distinct()
+    """(passage_a, passage_b, shift, at) of places with equal digests in two passages."""
+    a = chunks.select("digest", F.col("passage_id").alias("passage_a"), F.col("token_ordinal").alias("at"))
+    b = chunks.select("digest", F.col("passage_id").alias("passage_b"), F.col("token_ordinal").alias("ob"))
+    return a.join(b, "digest").where("passage_a < passage_b").select("passage_a", "passage_b", (F.col("at") - F.col("ob")).alias("shift"), "at")
 
 
 def shared_stretches(fingerprints: DataFrame, least: int = LEAST, reach: int = REACH, kgram: int = KGRAM, common: int = COMMON) -> DataFrame:
@@ -138,23 +125,23 @@ def shared_stretches(fingerprints: DataFrame, least: int = LEAST, reach: int = R
     counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     single = counts.where(F.col("n").between(2, common)).select("hash")
     many = counts.where(F.col("n") > common).select("hash")
-    ordinary = rows.join(single, "hash").select(F.lit(1).alias("rows"), F.col("hash").alias("digest"), "passage_id", "token_ordinal")
-    # rows of common hashes, in blocks that overlap by a stretch's reach
+    ordinary = _seeds(rows.join(single, "hash").withColumnRenamed("hash", "digest"))
+    open_rows = rows.join(many, "hash")
+    # blocks overlap by a chunk's length
     at = F.floor(F.col("token_ordinal") / BLOCK).cast("int")
-    early = F.floor((F.col("token_ordinal") - reach * (MOST_ROWS - 1)) / BLOCK).cast("int")
-    open_rows = rows.join(many, "hash").withColumn("block", F.explode(F.when((early < at) & (early >= 0), F.array(early, at)).otherwise(F.array(at))))
-    grown = materialize(
-        open_rows.select("passage_id", "block", "token_ordinal", "hash").repartition("passage_id", "block").sortWithinPartitions("passage_id", "block", "token_ordinal").mapInArrow(_grow, "rows int, digest long, passage_id long, token_ordinal int"),
-        "chunks",
-    )
-    # a chunk grows only where the shorter one it starts with is still common; at full length all are taken
-    spread = grown.groupBy("rows", "digest").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & ((F.col("n") <= common) | (F.col("rows") == MOST_ROWS)))
-    longer = grown.join(spread.select("rows", "digest"), ["rows", "digest"])
-    diagonals = _seeds(ordinary).unionByName(_seeds(longer)).distinct()
-    # all rows both passages share on a seed's diagonal
-    a = rows.select(F.col("passage_id").alias("passage_a"), F.col("token_ordinal").alias("at"), "hash")
-    b = rows.select(F.col("passage_id").alias("passage_b"), F.col("token_ordinal").alias("ob"), "hash")
-    common_rows = diagonals.join(a, "passage_a").withColumn("ob", F.col("at") - F.col("shift")).join(b, ["passage_b", "ob", "hash"]).select("passage_a", "passage_b", "shift", "at").distinct()
+    early = F.floor((F.col("token_ordinal") - max(least - kgram + reach, 2 * reach)) / BLOCK).cast("int")
+    blocks = open_rows.withColumn("block", F.explode(F.when((early < at) & (early >= 0), F.array(early, at)).otherwise(F.array(at))))
+    grown = blocks.select("passage_id", "block", "token_ordinal", "hash").repartition("passage_id", "block").sortWithinPartitions("passage_id", "block", "token_ordinal").mapInArrow(_long_chunks(reach, least - kgram), "digest long, passage_id long, token_ordinal int")
+    grown = materialize(grown.distinct(), "chunks")
+    shared = grown.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    longer = _seeds(grown.join(shared, "digest")).select("passage_a", "passage_b", "shift").distinct()
+    seeds = materialize(ordinary, "seeds")
+    # the rows of common hashes on the seeds' diagonals; those of ordinary hashes are the seeds themselves
+    diagonals = seeds.select("passage_a", "passage_b", "shift").union(longer).distinct()
+    a = open_rows.select(F.col("passage_id").alias("passage_a"), F.col("token_ordinal").alias("at"), "hash")
+    b = open_rows.select(F.col("passage_id").alias("passage_b"), F.col("token_ordinal").alias("ob"), "hash")
+    more = diagonals.join(a, "passage_a").withColumn("ob", F.col("at") - F.col("shift")).join(b, ["passage_b", "ob", "hash"]).select("passage_a", "passage_b", "shift", "at")
+    common_rows = seeds.unionByName(more).distinct()
     w = Window.partitionBy("passage_a", "passage_b", "shift").orderBy("at")
     starts = common_rows.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(w) > reach).cast("int"), F.lit(1)))
     runs = starts.withColumn("run", F.sum("new").over(w)).groupBy("passage_a", "passage_b", "shift", "run").agg(F.min("at").alias("start_a"), F.max("at").alias("last"))
