@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import encode, format_duplicates, function_docs, mixing, near_duplicates, shared_spans, split_items
+from lodestrata.llm import encode, format_duplicates, function_docs, mixing, near_duplicates, sentences, shared_spans, split_items
 from lodestrata.runtime import materialize, table
 
 
@@ -66,7 +66,15 @@ def p8_report(spark, d):
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_tokens, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces, p7_ids, p7_decoded, p8_mixture, p8_report)}
+def p9_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"), with_text=False).select("doc_id", "end_char")
+
+
+def p9_sentences(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_tokens, p3_found, p3_collapsed, p4_found, p4_pairs, p6_found, p6_pieces, p7_ids, p7_decoded, p8_mixture, p8_report, p9_found, p9_sentences)}
 
 _STRETCHES = r"""
         WITH f AS (
