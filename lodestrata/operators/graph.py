@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.runtime import materialize
+from lodestrata.runtime import bounded, materialize
 
 #: Edge kinds that carry dependence, in the order that breaks ties (fixed values).
 DEPENDENCE = ["uses", "imports", "type_hierarchy", "overrides"]
@@ -121,13 +123,47 @@ def rank_projection(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Da
     return nodes, links
 
 
-def page_rank(nodes: DataFrame, links: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, keep_every: int = 8) -> DataFrame:
+def _rank_in_one_task(damping: float, iterations: int):
+    """All rounds over (a, b) rows: a link, or a node where b is null."""
+
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows)
+        a, b = t.column("a").to_pandas().to_numpy(object), t.column("b").to_pandas().to_numpy(object)
+        linked = np.array([x is not None for x in b])
+        names = np.array(sorted(set(a[~linked])), object)
+        place = {v: i for i, v in enumerate(names)}
+        src = np.fromiter((place[v] for v in a[linked]), np.int64)
+        dst = np.fromiter((place[v] for v in b[linked]), np.int64)
+        order = np.lexsort((src, dst))  # one order of summing, whatever the partitions
+        src, dst = src[order], dst[order]
+        n = len(names)
+        out = np.bincount(src, minlength=n)
+        r = np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            given = np.bincount(dst, r[src] / out[src], minlength=n)
+            r = (1 - damping) / n + damping * (given + r[out == 0].sum() / n)
+        yield pa.RecordBatch.from_arrays([pa.array(names.tolist()), pa.array(r)], ["node", "rank"])
+
+    return run
+
+
+def page_rank(nodes: DataFrame, links: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, keep_every: int = 8, one_task: int = 2_000_000) -> DataFrame:
     """(node, rank) after a fixed number of iterations with uniform teleport.
 
-    What nodes without links hold is spread over all nodes. The links are
-    written once, partitioned by their source, with the source's out-degree; a
-    round is one join and one partial aggregation on the target.
+    What nodes without links hold is spread over all nodes. A graph of at most
+    ``one_task`` nodes and links, which is counted first, is ranked by one task.
+    Beyond that the links are written once, partitioned by their source, with
+    the source's out-degree, and a round is one join and one partial aggregation
+    on the target. Both ways give the same ranks. Nodes are strings.
     """
+    parts = nodes.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    parts = materialize(parts, "rank-graph")
+    if bounded(parts, one_task):
+        return parts.coalesce(1).mapInArrow(_rank_in_one_task(damping, iterations), "node string, rank double")
+    nodes, links = parts.where("b IS NULL").select(F.col("a").alias("node")), parts.where("b IS NOT NULL").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     weighted = materialize(links.join(degree, "src").repartition("src"), "rank-links")
     every = materialize(nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out")), "rank-nodes")
