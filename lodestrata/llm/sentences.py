@@ -24,10 +24,10 @@ _OPENS, _SAIDS, _CLOSES, _UNSAIDS = ([chr(base + k) for k in range(len(_QUOTED))
 _BRACKETS = ["()", "（）"]
 _INS, _OUTS, _FULL_INS, _FULL_OUTS = ([chr(base + k) for k in range(len(_BRACKETS))] for base in (0xE060, 0xE062, 0xE064, 0xE066))
 _CUT = chr(0xE0FF)
-# The same as members of a class.
-_OPEN, _SAID, _CLOSE, _UNSAID = ("".join(x) for x in (_OPENS, _SAIDS, _CLOSES, _UNSAIDS))
-_IN, _OUT, _FULL_IN, _FULL_OUT = ("".join(x) for x in (_INS, _OUTS, _FULL_INS, _FULL_OUTS))
-_PAIRED = _OPEN + _SAID + _CLOSE + _UNSAID + _IN + _OUT + _FULL_IN + _FULL_OUT
+# The same as ranges for classes of regular expressions.
+_OPEN, _SAID, _CLOSE, _UNSAID = (rf"\uE0{k}0-\uE0{k}F" for k in (2, 3, 4, 5))
+_IN, _OUT, _FULL_IN, _FULL_OUT = (rf"\uE06{k}\uE06{k + 1}" for k in (0, 2, 4, 6))
+_QUOTE, _PAIRED = r"\uE020-\uE05F", r"\uE020-\uE067"
 _BACK = {v: k for k, v in _MASK.items()}
 for _k, _q in enumerate(_QUOTED):
     _BACK |= {_OPENS[_k]: _q[0], _SAIDS[_k]: _q[0], _CLOSES[_k]: _q[1], _UNSAIDS[_k]: _q[1]}
@@ -88,48 +88,49 @@ def _masked(block: Column) -> Column:
     w = block
     # an item's number, decimals, and dots inside names, paths and addresses
     w = r(w, r"^([ \t]*\d{1,9})\.", f"$1{_DOT}")
-    w = r(w, r"(?<=\d)\.(?=\d)", _DOT)
-    w = r(w, r"(?<=[/@:_~])\.(?=\S)|(?<=[\p{L}\d_)])\.(?=[\p{Ll}\d_/]\S*[/@_]|\p{Ll}{1,4}\b)", _DOT)
-    # initials, and letters with dots between
-    w = r(w, rf"(?<![\p{{L}}\d_])(\p{{Lu}})\.(?={_WS}*{_CF}\p{{Lu}}|{_WS}+{_CF}[\p{{L}}\p{{N}}`])(?!\w*\.m\.)", f"$1{_DOT}")
+    w = r(w, r"\.(?=\d)(?<=\d\.)", _DOT)
+    w = r(w, r"\.(?=\S)(?<=[/@:_~]\.)|\.(?=[\p{Ll}\d_/]\S*[/@_]|\p{Ll}{1,4}\b)(?<=[\p{L}\d_)]\.)", _DOT)
+    # Each rule starts at the dot and looks back from there, so that text without dots costs nothing.
+    # initials
+    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])\p{{Lu}}\.)(?={_WS}*{_CF}\p{{Lu}}|{_WS}+{_CF}[\p{{L}}\p{{N}}`])", _DOT)
     # abbreviations of several parts
-    w = r(w, rf"(?<![\p{{L}}\d_])([zZ]|[dDuU]|[тТ]|[pP]|[Нн])\.({_WS}?)(B|T|h|a|ä|е|ex|ej|э)\.", f"$1{_DOT}$2$3{_DOT}")
-    w = r(w, rf"(?<![\p{{L}}\d_])(т)\.({_WS}?)(?=[дп]\.)", f"$1{_DOT}$2")
-    w = r(w, rf"(?<![\p{{L}}\d_])(e|i|a\.k)\.(g|e|a)\.", f"$1{_DOT}$2{_DOT}")
-    w = r(w, r"(?<![\p{L}\d_])(c)\.(-à-d)\.", f"$1{_DOT}$2{_DOT}")
-    w = r(w, r"(?<![\p{L}\d_])(n)\.(?=[ºª°])", f"$1{_DOT}")
-    w = r(w, rf"(?<![\p{{L}}\p{{M}}\d_])({_any(NEVER)}|M)\.(?={_WS})", f"$1{_DOT}")
-    w = r(w, rf"(?<![\p{{L}}\p{{M}}\d_])({_any(BEFORE_NUMBER)})\.(?={_WS}*{_CF}[\d№#(])", f"$1{_DOT}")
-    w = r(w, rf"(?<![\p{{L}}\d_]|\d{_WS})(г)\.(?={_WS})", f"$1{_DOT}")
-    w = r(w, rf"(?<![\p{{L}}\d_])(Cf|cf|vgl|Vgl|bzw)\.({_WS}+)(\p{{L}}{{1,6}})\.(?={_WS}*\d)", f"$1{_DOT}$2$3{_DOT}")
+    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]|a\.k|[ei])\.)(?={_WS}?(?:[BThaäеэ]|ex|ej|[дп]|g)\.)", _DOT)
+    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]{_DOT}{_WS}?(?:[BThaäеэ]|ex|ej)|a[.{_DOT}]k{_DOT}a|[ei]{_DOT}[ge]|c[.{_DOT}]-à-d)\.)", _DOT)
+    w = r(w, r"\.(?<=(?<![\p{L}\d_])(?:n\.(?=[ºª°])|c\.(?=-à-d)))", _DOT)
+    w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(NEVER)}|M)\.)", _DOT)
+    w = r(w, rf"\.(?={_WS}*{_CF}[\d№#(])(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(BEFORE_NUMBER)})\.)", _DOT)
+    w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\d_]|\d{_WS})г\.)", _DOT)
     # German ordinals and dates
-    w = r(w, rf"(?<![\p{{L}}\d_])({_any(ORDINALS)})({_WS}+[\d,{_DOT}]+)\.(?={_WS}+\p{{L}})", f"$1$2{_DOT}")
-    w = r(w, rf"(\d)\.(?={_WS}+(?:{_any(MONTHS)})\b)", f"$1{_DOT}")
-    return F.when(w.rlike(r"[„“”«»‹›「」『』\"‘'(（]"), _paired(w)).otherwise(w)
+    w = r(w, rf"\.(?={_WS}+\p{{L}})(?<=\d\.)(?<=(?<![\p{{L}}\d_])(?:{_any(ORDINALS)}){_WS}{{1,3}}[\d,{_DOT}]{{1,24}}\.)", _DOT)
+    w = r(w, rf"\.(?={_WS}+(?:{_any(MONTHS)})\b)(?<=\d\.)", _DOT)
+    return w
 
 
 def _paired(w: Column) -> Column:
-    """Quotations and brackets by their part in the sentence, and the marks inside them masked."""
+    """Quotations and brackets marked by their part in the sentence."""
     r = F.regexp_replace
     for k, (opened, closed) in enumerate(_QUOTED):
         if opened == closed or opened == "‘":
             # the same sign is an apostrophe elsewhere
-            body = rf"(?<![\p{{L}}\d]){opened}(?=\S)([^{opened}{closed}\n]{{1,1000}}?)(?<=\S){closed}(?![\p{{L}}\d])" if opened != '"' else r'(?<![\p{L}\d])"(?=\S)([^"]{1,1000})(?<=\S)"(?![\p{L}\d])'
+            body = rf"{opened}(?<![\p{{L}}\d]{opened})(?=\S)([^{opened}{closed}\n]{{1,1000}}?)(?<=\S){closed}(?![\p{{L}}\d])" if opened != '"' else r'"(?<![\p{L}\d]")(?=\S)([^"]{1,1000}+)(?<=\S)"(?![\p{L}\d])'
             w = r(w, body, f"{_OPENS[k]}$1{_CLOSES[k]}")
             continue
-        w = r(w, rf"([:：]{_WS}*){opened}([^{opened}{closed}{_OPEN}{_CLOSE}]{{1,1000}}){closed}", f"$1{_SAIDS[k]}$2{_UNSAIDS[k]}")
-        w = r(w, rf"{opened}([^{opened}{closed}]{{1,1000}}){closed}", f"{_OPENS[k]}$1{_CLOSES[k]}")
+        w = r(w, rf"([:：]{_WS}*){opened}([^{opened}{closed}{_OPEN}{_CLOSE}]{{1,1000}}+){closed}", f"$1{_SAIDS[k]}$2{_UNSAIDS[k]}")
+        w = r(w, rf"{opened}([^{opened}{closed}]{{1,1000}}+){closed}", f"{_OPENS[k]}$1{_CLOSES[k]}")
     # brackets: those that hold a whole sentence by themselves, then all others
     for k, (opened, closed) in enumerate(_BRACKETS):
         body = rf"[^{_FULL_IN}()（）]"
-        w = r(w, rf"(^{_WS}*(?:{_ITEM}{_WS}*)?|[{_TERMS}{_CLOSE}{_UNSAID}{_FULL_OUT}]{_WS}+|[。！？{_UNSAID}{_FULL_OUT}])[{opened}]({body}{{1,1000}}[{_TERMS}])[{closed}]", f"$1{_FULL_INS[k]}$2{_FULL_OUTS[k]}")
-        w = r(w, rf"[{opened}]([^()（）]{{0,1000}})[{closed}]", f"{_INS[k]}$1{_OUTS[k]}")
-    # marks inside a quotation or bracket, but for the last before its end
-    inside = rf"(?={_WS}*[^{_PAIRED}\s][^{_OPEN}{_SAID}{_CLOSE}{_UNSAID}]{{0,1000}}[{_CLOSE}{_UNSAID}])"
-    within = rf"(?={_WS}*[^{_PAIRED}\s][^{_IN}{_OUT}{_FULL_IN}{_FULL_OUT}]{{0,1000}}[{_OUT}{_FULL_OUT}])"
-    for look in (inside, within):
-        for mark in _MARKS:
-            w = r(w, rf"[{mark}]{look}", _MASK[mark])
+        w = r(w, rf"[{opened}](?<=(?:^{_WS}{{0,8}}(?:{_ITEM}{_WS}{{0,4}})?|[{_TERMS}{_CLOSE}{_UNSAID}{_FULL_OUT}]{_WS}{{1,4}}|[。！？{_UNSAID}{_FULL_OUT}])[{opened}])({body}{{1,1000}}+)(?<=[{_TERMS}])[{closed}]", f"{_FULL_INS[k]}$1{_FULL_OUTS[k]}")
+        w = r(w, rf"[{opened}]([^()（）]{{0,1000}}+)[{closed}]", f"{_INS[k]}$1{_OUTS[k]}")
+    return w
+
+
+def _inside(w: Column, brackets: bool) -> Column:
+    """Marks inside quotations (or brackets) masked, but for the last before their end."""
+    inside = rf"(?={_WS}*+[^{_PAIRED}][^{_QUOTE}]{{0,1000}}+[{_CLOSE}{_UNSAID}])"
+    within = rf"(?={_WS}*+[^{_PAIRED}][^\uE060-\uE067]{{0,1000}}+[{_OUT}{_FULL_OUT}])"
+    for mark in _MARKS:
+        w = F.regexp_replace(w, rf"[{mark}]{within if brackets else inside}", _MASK[mark])
     return w
 
 
@@ -151,7 +152,7 @@ def _cut(masked: Column) -> Column:
     w = r(w, rf"((?:[!?؟।॥]|(?<![.…])\.(?![.…]))++[)\]*_]*)(?={_CF}{_WS}+{_CF}(?:{_STARTS}|{_LETTERS}))", f"$1{_CUT}")
     w = r(w, rf"((?:\.{{2,}}|…)[.…!?]*)(?={_CF}{_WS}+{_CF}{_STARTS})", f"$1{_CUT}")
     # no blank behind the full stop
-    w = r(w, rf"(?<=\p{{Ll}}{{2}})(\.)(?=\p{{Lu}}\p{{Ll}}+ )", f"$1{_CUT}")
+    w = r(w, rf"(\.)(?=\p{{Lu}}\p{{Ll}}+ )(?<=\p{{Ll}}{{2}}\.)", f"$1{_CUT}")
     # scripts without blanks
     w = r(w, rf"([。！？｡][。！？｡!?]*+)(?![{_CLOSE}{_UNSAID}{_OUT}{_FULL_OUT}])", f"$1{_CUT}")
     w = r(w, rf"([。！？｡]+[{_FULL_OUT}])", f"$1{_CUT}")
@@ -167,8 +168,16 @@ def sentence_pieces(documents: DataFrame) -> DataFrame:
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", clean.alias("text"))
     blocks = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(BLOCKS), F.lit(0))).alias("block_no", "block"))
     whole = F.col("block").rlike(rf"^(?:{_FENCE}|{_HEAD})")
-    worked = F.when(whole | ~F.col("block").rlike(rf"[{_TERMS}]|{_THAI}"), F.col("block")).otherwise(_cut(_masked(F.col("block"))))
-    return blocks.select("doc_id", "block_no", F.posexplode(F.split(worked, _CUT, -1)).alias("piece_no", "piece"))
+    plain = whole | ~F.col("block").rlike(rf"[{_TERMS}]|{_THAI}")
+    masked = blocks.select("doc_id", "block_no", "block", F.when(~plain, _masked(F.col("block"))).alias("masked"))
+    quoted = F.col("block").rlike(r"[„“”«»‹›「」『』\"‘'(（]")
+    # one step a column: none of these long expressions is written out twice
+    paired = masked.select("doc_id", "block_no", "block", F.when(quoted, _paired(F.col("masked"))).otherwise(F.col("masked")).alias("masked"))
+    for brackets, closed in ((False, f"[{_CLOSE}{_UNSAID}]"), (True, f"[{_OUT}{_FULL_OUT}]")):
+        held = F.col("masked").rlike(closed)
+        paired = paired.select("doc_id", "block_no", "block", F.when(held, _inside(F.col("masked"), brackets)).otherwise(F.col("masked")).alias("masked"))
+    worked = paired.select("doc_id", "block_no", F.coalesce(_cut(F.col("masked")), "block").alias("worked"))
+    return worked.select("doc_id", "block_no", F.posexplode(F.split("worked", _CUT, -1)).alias("piece_no", "piece"))
 
 
 def sentences(documents: DataFrame, with_text: bool = True) -> DataFrame:
