@@ -68,7 +68,7 @@ def fingerprints(spark, d):
 
 
 _WORDS = r"""list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace({c}, '[^\p{L}\p{N}]+', ' ', 'g'),
-        '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), ' +'), x -> x <> '')"""
+        '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), ' +'), lambda x: x <> '')"""
 
 
 @query(with_ctes("syms") + " SELECT canonical_id, " + _WORDS.replace("{c}", "display_name") + " AS words FROM syms")

@@ -79,7 +79,7 @@ def latest_states(spark, d):
 
 @query("SELECT event_type, round(regr_slope(value, epoch(ts)), 12) AS slope, count(*) AS n FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1")
 def covariate_slope(spark, d):
-    at = F.unix_micros("ts") / 1e6
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = table(spark, d, "events").where("value IS NOT NULL AND ts IS NOT NULL")
     return rows.groupBy("event_type").agg(F.round(F.regr_slope(F.col("value"), at), 12).alias("slope"), F.count(F.lit(1)).alias("n"))
 
@@ -97,7 +97,7 @@ def json_salvage(spark, d):
 
 @query(
     """WITH x AS (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE user_id IS NOT NULL GROUP BY 1)
-    , s AS (SELECT user_id AS id, len(list_filter(a, v -> v IN ('click', 'view', 'refund'))) AS h, len(a) AS n FROM x)
+    , s AS (SELECT user_id AS id, len(list_filter(a, lambda v: v IN ('click', 'view', 'refund'))) AS h, len(a) AS n FROM x)
     SELECT id, round(h / n, 6) AS precision, round(h / 3, 6) AS recall, CASE WHEN h > 0 THEN round(2.0 * (h / n) * (h / 3) / (h / n + h / 3), 6) ELSE 0.0 END AS f1, h > 0 AS any_hit FROM s"""
 )
 def precision_recall(spark, d):
