@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import text as tx
-from lodestrata.operators import clones, identity, paging, retrieval, status
+from lodestrata.operators import clones, graph, identity, impact, paging, retrieval, similarity, status, syntax
 from lodestrata.operators.snapshots import normal_hash, normal_path
 from lodestrata.plans.base import occurrences, query, symbols, with_ctes
 from lodestrata.runtime import materialize, table
@@ -300,3 +300,77 @@ def search_fused(spark, d):
     first = every.where("rank <= 10")
     second = retrieval.ranked(every.withColumn("far", F.abs(F.col("id") - F.col("query"))), "query", "id", F.col("far"), 10)
     return retrieval.fuse(first, second)
+
+
+@query(
+    _BM25
+    + ", "
+    + with_ctes("syms", "occs", "edges").removeprefix("WITH ")
+    + """, c AS (SELECT DISTINCT id, symbol_id FROM semantic_corpus)
+    , near_ AS (SELECT x.symbol_id AS subject, y.symbol_id AS candidate FROM r JOIN c x ON x.id = r.query JOIN c y ON y.id = r.id WHERE r.rank <= 10)
+    SELECT subject, candidate, list_filter([
+        CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = candidate AND e.dst = subject) THEN 'uses_subject' END,
+        CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.dst = candidate AND e.src = subject) THEN 'used_by_subject' END,
+        CASE WHEN EXISTS (SELECT 1 FROM edges e JOIN syms s ON s.canonical_id = e.src WHERE e.src = candidate AND e.dst = subject AND s.test_rule IS NOT NULL) THEN 'tests_subject' END,
+        CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'type_hierarchy' AND ((e.src = candidate AND e.dst = subject) OR (e.dst = candidate AND e.src = subject))) THEN 'type_family' END
+    ], lambda x: x IS NOT NULL) AS labels FROM near_"""
+)
+def similar_labels(spark, d):
+    ids = table(spark, d, "semantic_corpus").select("id", "symbol_id").dropDuplicates(["id"])
+    near = _lexical(spark, d)
+    pairs = near.join(ids.select(F.col("id").alias("query"), F.col("symbol_id").alias("subject")), "query").join(ids.select("id", F.col("symbol_id").alias("candidate")), "id").select("subject", "candidate")
+    known = symbols(spark, d)
+    return similarity.labelled(pairs, graph.reference_edges(occurrences(spark, d), known), known)
+
+
+@query()
+def syntax_facts(spark, d):
+    rows = table(spark, d, "symbols").where("span_text IS NOT NULL").dropDuplicates(["canonical_id"])
+    files = rows.select(F.concat("canonical_id", F.lit("/"), "document_path").alias("document_path"), F.col("span_text").alias("text"))
+    return syntax.extract(files)
+
+
+@query(
+    with_ctes("syms")
+    + r""", t AS (SELECT DISTINCT canonical_id, signature_text, span_text FROM symbols)
+    SELECT s.canonical_id, array_to_string("""
+    + _WORDS.replace("{c}", "s.display_name")
+    + r""", ' ') || chr(10) || s.kind || CASE WHEN m = '' THEN '' ELSE chr(10) || m END || CASE WHEN t.signature_text IS NULL THEN '' ELSE chr(10) || t.signature_text END
+        || CASE WHEN s.kind IN ('type', 'module', 'trait') THEN '' ELSE chr(10) || t.span_text END AS render
+    FROM syms s JOIN t ON t.canonical_id = s.canonical_id
+    CROSS JOIN LATERAL (SELECT array_to_string("""
+    + _WORDS.replace("{c}", "array_to_string(string_split(regexp_replace(s.canonical_id, '#[0-9]+$', ''), '::')[2:-2], ' ')")
+    + """, ' ') AS m) WHERE t.span_text IS NOT NULL AND NOT (t.span_text = s.display_name AND coalesce(t.signature_text, s.display_name) = s.display_name)"""
+)
+def passage_renders(spark, d):
+    rows = symbols(spark, d, "signature_text", "span_text").withColumn("interface_text", F.lit(None).cast("string"))
+    return similarity.passages(rows)
+
+
+_REGIONS = """, regions AS (
+        SELECT id AS region_id, document_path, start_line AS line FROM occs WHERE rule = 'module_name' AND start_line IS NOT NULL)
+    , met AS (SELECT r.region_id, r.line, s.canonical_id, s.start_line AS a, s.end_line AS z, r.document_path FROM regions r JOIN syms s ON s.document_path = r.document_path AND s.start_line <= r.line AND r.line <= s.end_line)
+    , hit AS (SELECT region_id, canonical_id, CASE WHEN a = line AND z = line THEN 'exact' ELSE 'approximate' END AS grade FROM met x
+        WHERE NOT EXISTS (SELECT 1 FROM met y WHERE y.region_id = x.region_id AND x.a <= y.a AND y.z <= x.z AND (x.a < y.a OR y.z < x.z)))"""
+
+
+def _regions(spark, d):
+    o = occurrences(spark, d).where("rule = 'module_name' AND start_line IS NOT NULL")
+    return o.select(F.col("id").alias("region_id"), "document_path", F.col("start_line").cast("int").alias("start"), F.lit(1).alias("count"))
+
+
+@query(with_ctes("syms", "occs") + _REGIONS + " SELECT region_id, canonical_id, grade FROM hit")
+def impact_seeds(spark, d):
+    return impact.seeds_of_regions(_regions(spark, d), symbols(spark, d))
+
+
+@query(
+    with_ctes("syms", "occs", "edges", recursive=True)
+    + _REGIONS
+    + """, seeds AS (SELECT DISTINCT canonical_id AS node FROM hit), links AS (SELECT DISTINCT dst AS at, src AS next FROM edges)
+    , walk AS (SELECT node, node AS root, 0 AS d FROM seeds UNION SELECT l.next, w.root, w.d + 1 FROM walk w JOIN links l ON l.at = w.node WHERE w.d < 20)
+    SELECT node, CAST(min(d) AS INT) AS distance FROM walk WHERE node <> root GROUP BY 1"""
+)
+def impact_dependents(spark, d):
+    known = symbols(spark, d)
+    return impact.impact(_regions(spark, d), known, graph.reference_edges(occurrences(spark, d), known))[1].select("node", "distance")
