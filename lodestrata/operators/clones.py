@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.tokens import IDENTIFIER, LITERAL, Token, tokens_of
+from lodestrata.runtime import spread
 
 #: Fingerprints: tokens of a run, and runs of a window (fixed values).
 KGRAM, WINDOW = 16, 17
@@ -83,7 +84,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keyed(symbols: DataFrame) -> DataFrame:
     """(canonical_id, formatting_key, substitution_key, token_count) computed from the texts."""
     rows = symbols.where("canonical_id IS NOT NULL AND span_text IS NOT NULL").select(F.col("canonical_id").alias("id"), F.col("span_text").alias("text"), F.col("document_path").alias("path"))
-    return rows.mapInArrow(_keyed, "id string, formatting_key string, substitution_key string, token_count int").dropDuplicates(["id"]).withColumnRenamed("id", "canonical_id")
+    return spread(rows).mapInArrow(_keyed, "id string, formatting_key string, substitution_key string, token_count int").dropDuplicates(["id"]).withColumnRenamed("id", "canonical_id")
 
 
 def _fingerprinted(k: int, window: int):
@@ -105,7 +106,7 @@ def _fingerprinted(k: int, window: int):
 def fingerprints(symbols: DataFrame, k: int = KGRAM, window: int = WINDOW) -> DataFrame:
     """(canonical_id, hash, token_ordinal): picked runs of k tokens of each text."""
     rows = symbols.where("canonical_id IS NOT NULL AND span_text IS NOT NULL").select(F.col("canonical_id").alias("id"), F.col("span_text").alias("text"), F.col("document_path").alias("path"))
-    return rows.mapInArrow(_fingerprinted(k, window), "canonical_id string, hash long, token_ordinal int").distinct()
+    return spread(rows).mapInArrow(_fingerprinted(k, window), "canonical_id string, hash long, token_ordinal int").distinct()
 
 
 def clone_groups(keys: DataFrame) -> DataFrame:

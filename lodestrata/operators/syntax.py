@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestrata.functions.tokens import IDENTIFIER, Token, rust_tokens
+from lodestrata.runtime import spread
 
 _SCHEMA = "document_path string, fact string, name string, detail string, start int, end int, outer_start int, outer_end int"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -179,7 +180,7 @@ def extract(files: DataFrame) -> DataFrame:
     characters. Python that does not parse gives nothing.
     """
     known = files.where("document_path IS NOT NULL AND text IS NOT NULL AND (document_path LIKE '%.py' OR document_path LIKE '%.rs')")
-    return known.select("document_path", "text").mapInArrow(_facts, _SCHEMA)
+    return spread(known.select("document_path", "text")).mapInArrow(_facts, _SCHEMA)
 
 
 def unresolved_calls(facts: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -91,6 +91,15 @@ def broadcast_within(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, most) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is heavy a row.
+
+    Only an input of a few files is moved; one of many partitions stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest_per_key(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
     """One row per ``key``: of rows delivered again the latest by ``at`` holds.
 
