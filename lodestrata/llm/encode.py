@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import materialize
+from lodestrata.runtime import materialize, spread
 
 #: Where the vocabulary files lie; a parameter of every operator here.
 TOKENIZERS = os.environ.get("LODESTRATA_TOKENIZERS", "/opt/tokenizers")
@@ -143,7 +143,7 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str =
     taken to be unique. Extra columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
+    docs = spread(documents.where("doc_id IS NOT NULL").select("doc_id", "text"))
     path = os.path.join(tokenizers, vocabulary)
     split = split_words(docs, path)
     words = word_table(split, path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.lexing import WORD, without_comments
-from lodestrata.runtime import latest_per_key, materialize
+from lodestrata.runtime import latest_per_key, materialize, spread
 
 #: A key with more members than this is hot: its rows are salted.
 HOT_MEMBERS = 50_000
@@ -37,7 +37,7 @@ def canonical_keys(items: DataFrame, item_id: str = "canonical_id", text: str =
     """
     rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("id"), F.col(at).alias("at"), F.col(text).alias("text"), F.col(path).alias("path"))
     at_type = dict(rows.dtypes)["at"]
-    return latest_per_key(rows.mapInArrow(_keys, f"id string, at {at_type}, key binary"), "id", "at", "key")
+    return latest_per_key(spread(rows).mapInArrow(_keys, f"id string, at {at_type}, key binary"), "id", "at", "key")
 
 
 def collapse(keyed: DataFrame, hot_members: int = HOT_MEMBERS, salts: int = SALTS) -> DataFrame:

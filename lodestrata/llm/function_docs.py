@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import peg
 from lodestrata.llm.lexing import WORD, block_end
 from lodestrata.llm.peg import absent, ahead, choice, many, maybe, rule, seq, terminal
-from lodestrata.runtime import latest_per_key
+from lodestrata.runtime import latest_per_key, spread
 
 #: Fewer different words than this, names and tag lines aside, are trivial.
 LEAST_WORDS = 6
@@ -240,7 +240,7 @@ def documented_functions(symbols: DataFrame, least: int = LEAST_WORDS, with_text
     rows = symbols.where(wanted).select(F.col("canonical_id").alias("id"), F.col("indexed_at").alias("at"), F.col("span_text").alias("text"), F.col("document_path").alias("path"), F.col("display_name").alias("name"), F.col("signature_text").alias("signature"))
     at = dict(rows.dtypes)["at"]
     schema = f"id string, at {at}, found boolean" + ", signature string, code string, description string" * with_text
-    got = rows.mapInArrow(_pairs(least, with_text), schema)
+    got = spread(rows).mapInArrow(_pairs(least, with_text), schema)
     columns = ["found", *["signature", "code", "description"] * with_text]
     held = latest_per_key(got, "id", "at", *columns).where("found")
     kept = [F.col("id").alias("canonical_id")]

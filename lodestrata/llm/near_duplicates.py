@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.lexing import WORD
-from lodestrata.runtime import materialize
+from lodestrata.runtime import materialize, spread
 
 RUN = 3
 LIKENESS = 0.6
@@ -166,38 +166,41 @@ def _prefixes(likeness: float, table):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (run, cid) sorted by both: different rows whose run has several cids, with their tile in the run.
+def _shared(tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of (run, cid) sorted by both: different rows whose run has several cids, with their tile in the run.
 
-    Remembers one row: the last different one, with its rank in its run and
-    whether it still waits for a second cid.
-    """
-    held = None  # (run, cid, rank, waiting)
-    for b in batches:
-        run, cid = b.column("run").to_numpy(zero_copy_only=False), b.column("cid").to_numpy(zero_copy_only=False)
-        if not len(run):
-            continue
-        first_rank = 0
-        if held is not None:
-            run, cid = np.concatenate(([held[0]], run)), np.concatenate(([held[1]], cid))
-            first_rank = held[2]
-        new = np.concatenate(([True], (run[1:] != run[:-1]) | (cid[1:] != cid[:-1])))
-        run, cid = run[new], cid[new]
-        starts = np.concatenate(([True], run[1:] != run[:-1]))
-        group = np.cumsum(starts) - 1
-        at = np.flatnonzero(starts)
-        rank = np.arange(len(run)) - at[group]
-        rank[group == 0] += first_rank
-        size = np.bincount(group)[group]
-        waits = size == 1
-        if held is not None and not held[3]:
-            waits[0] = False  # its run has several cids already
-        emit = ~waits
-        if held is not None and not held[3]:
-            emit[0] = False  # it was given out before
-        last_waits = bool(waits[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(run[emit]), pa.array(cid[emit]), pa.array((rank[emit] // TILE).astype(np.int32))], ["run", "cid", "tile"])
-        held = (run[-1], cid[-1], int(rank[-1]), last_waits)
+        Remembers one row: the last different one, with its rank in its run and
+        whether it still waits for a second cid.
+        """
+        held = None  # (run, cid, rank, waiting)
+        for b in batches:
+            run, cid = b.column("run").to_numpy(zero_copy_only=False), b.column("cid").to_numpy(zero_copy_only=False)
+            if not len(run):
+                continue
+            first_rank = 0
+            if held is not None:
+                run, cid = np.concatenate(([held[0]], run)), np.concatenate(([held[1]], cid))
+                first_rank = held[2]
+            new = np.concatenate(([True], (run[1:] != run[:-1]) | (cid[1:] != cid[:-1])))
+            run, cid = run[new], cid[new]
+            starts = np.concatenate(([True], run[1:] != run[:-1]))
+            group = np.cumsum(starts) - 1
+            at = np.flatnonzero(starts)
+            rank = np.arange(len(run)) - at[group]
+            rank[group == 0] += first_rank
+            size = np.bincount(group)[group]
+            waits = size == 1
+            if held is not None and not held[3]:
+                waits[0] = False  # its run has several cids already
+            emit = ~waits
+            if held is not None and not held[3]:
+                emit[0] = False  # it was given out before
+            last_waits = bool(waits[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(run[emit]), pa.array(cid[emit]), pa.array((rank[emit] // tile).astype(np.int32))], ["run", "cid", "tile"])
+            held = (run[-1], cid[-1], int(rank[-1]), last_waits)
+
+    return run
 
 
 def _slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -295,7 +298,7 @@ def close_pairs(sketch: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def _compare(likeness: float):
+def _compare(likeness: float, tile: int):
     def pairs(part: pa.Table) -> pa.RecordBatch:
         run = part.column("run").to_numpy()
         a, z = part.column("low").to_numpy(), part.column("high").to_numpy()
@@ -315,7 +318,7 @@ def _compare(likeness: float):
                 continue
             waiting.append(b)
             rows += b.num_rows
-            if rows < 4 * TILE:
+            if rows < 4 * tile:
                 continue
             t = pa.Table.from_batches(waiting).combine_chunks()
             # the last block may go on in the next batch
@@ -359,7 +362,7 @@ def _verify(likeness: float):
 class Search:
     """The steps of one search over (id, at, key, text) rows; see the module's text."""
 
-    def __init__(self, items: DataFrame, likeness: float = LIKENESS):
+    def __init__(self, items: DataFrame, likeness: float = LIKENESS, tile: int = TILE):
         self.likeness = likeness
         spark = items.sparkSession
         at = dict(items.dtypes)["at"]
@@ -373,14 +376,14 @@ class Search:
         self.members = profile.where("chunk IS NULL AND n > 0").groupBy("id").agg(F.max(order).alias("m")).select("id", "m.key", "m.fp", "m.n")
         classes = profile.where("chunk IS NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         thin = items.select("text").mapInArrow(_prefixes(likeness, table), "run long, cid long")
-        shared = materialize(thin.repartition("run").sortWithinPartitions("run", "cid").mapInArrow(_shared, "run long, cid long, tile int"), "near-shared")
+        shared = materialize(thin.repartition("run").sortWithinPartitions("run", "cid").mapInArrow(_shared(tile), "run long, cid long, tile int"), "near-shared")
         # a run in more classes than fit a tile: its tiles meet pairwise
         large = shared.where(F.col("tile") > 0).groupBy("run").agg(F.max("tile").alias("last"))
         sketched = classes.select("cid", "fp", "n", "sketch")
         blocks = shared.join(large, "run", "left").join(sketched, "cid")
         met = F.transform(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))), lambda t: F.struct(F.least(t, F.col("tile")).alias("low"), F.greatest(t, F.col("tile")).alias("high")))
         blocks = blocks.withColumn("met", F.explode(met)).select("run", "met.low", "met.high", "tile", "fp", "n", "sketch")
-        near = blocks.repartition("run", "low", "high").sortWithinPartitions("run", "low", "high").mapInArrow(_compare(likeness), "fp_a binary, fp_b binary")
+        near = blocks.repartition("run", "low", "high").sortWithinPartitions("run", "low", "high").mapInArrow(_compare(likeness, tile), "fp_a binary, fp_b binary")
         candidates = materialize(near.distinct(), "near-candidates")
         wanted = candidates.select(F.col("fp_a").alias("fp")).union(candidates.select(F.col("fp_b").alias("fp"))).distinct()
         reps = wanted.join(classes.select("fp", F.col("rep").alias("id")), "fp").select("id")
@@ -408,7 +411,7 @@ class Search:
         return out.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
-def near_duplicates(symbols: DataFrame, likeness: float = LIKENESS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def near_duplicates(symbols: DataFrame, likeness: float = LIKENESS, least_tokens: int = LEAST_TOKENS, tile: int = TILE) -> DataFrame:
     """Pairs (canonical_id_a, canonical_id_b), a < b, of alike symbols with different substitution keys.
 
     Symbols need an id, a text and at least ``least_tokens`` clone tokens. Texts
@@ -416,7 +419,7 @@ def near_duplicates(symbols: DataFrame, likeness: float = LIKENESS, least_tokens
     other. Of a symbol delivered again the latest row holds. Empty input gives
     an empty result; extra columns are ignored.
     """
-    return Search(_items(symbols, least_tokens), likeness).pairs().select(F.col("a").alias("canonical_id_a"), F.col("b").alias("canonical_id_b"))
+    return Search(_items(symbols, least_tokens), likeness, tile).pairs().select(F.col("a").alias("canonical_id_a"), F.col("b").alias("canonical_id_b"))
 
 
 def near_groups(symbols: DataFrame, likeness: float = LIKENESS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
@@ -440,4 +443,4 @@ def near_groups(symbols: DataFrame, likeness: float = LIKENESS, least_tokens: in
 
 def _items(symbols: DataFrame, least_tokens: int) -> DataFrame:
     wanted = (F.col("clone_token_count") >= least_tokens) & F.col("span_text").isNotNull() & F.col("canonical_id").isNotNull()
-    return symbols.where(wanted).select(F.col("canonical_id").alias("id"), F.col("indexed_at").alias("at"), F.col("clone_substitution_key").alias("key"), F.col("span_text").alias("text"))
+    return spread(symbols.where(wanted).select(F.col("canonical_id").alias("id"), F.col("indexed_at").alias("at"), F.col("clone_substitution_key").alias("key"), F.col("span_text").alias("text")))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.runtime import spread
+
 # Placeholders, all private-use. Masked marks: one for each mark.
 _MARKS = ".!！?？؟。।॥｡"
 _MASK = {m: chr(0xE000 + k) for k, m in enumerate(_MARKS)}
@@ -94,7 +96,7 @@ def _masked(block: Column) -> Column:
     # initials
     w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])\p{{Lu}}\.)(?={_WS}*{_CF}\p{{Lu}}|{_WS}+{_CF}[\p{{L}}\p{{N}}`])", _DOT)
     # abbreviations of several parts
-    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]|a\.k|[ei])\.)(?={_WS}?(?:[BThaäеэ]|ex|ej|[дп]|g)\.)", _DOT)
+    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]|a\.k|[ei])\.)(?={_WS}?(?:[BThaäеэ]|ex|ej|[дп]|g)[.{_DOT}])", _DOT)
     w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]{_DOT}{_WS}?(?:[BThaäеэ]|ex|ej)|a[.{_DOT}]k{_DOT}a|[ei]{_DOT}[ge]|c[.{_DOT}]-à-d)\.)", _DOT)
     w = r(w, r"\.(?<=(?<![\p{L}\d_])(?:n\.(?=[ºª°])|c\.(?=-à-d)))", _DOT)
     w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(NEVER)}|M)\.)", _DOT)
@@ -166,7 +168,7 @@ def sentence_pieces(documents: DataFrame) -> DataFrame:
     """(doc_id, block_no, piece_no, piece): masked pieces that together make up each text."""
     clean = F.regexp_replace("text", r"[\uE000-\uE0FF]", "�")
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", clean.alias("text"))
-    blocks = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(BLOCKS), F.lit(0))).alias("block_no", "block"))
+    blocks = spread(texts).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(BLOCKS), F.lit(0))).alias("block_no", "block"))
     whole = F.col("block").rlike(rf"^(?:{_FENCE}|{_HEAD})")
     plain = whole | ~F.col("block").rlike(rf"[{_TERMS}]|{_THAI}")
     masked = blocks.select("doc_id", "block_no", "block", F.when(~plain, _masked(F.col("block"))).alias("masked"))

@@ -49,7 +49,7 @@ def _gear(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _long_chunks(reach: int, far: int):
+def _long_chunks(reach: int, far: int, block: int):
     """Chunks of three rows: a first, one ``reach`` to ``2 reach - 1`` on, one ``far`` to ``far + reach - 1`` on.
 
     Takes (passage_id, block, token_ordinal, hash) sorted by the first three and
@@ -94,11 +94,11 @@ def _long_chunks(reach: int, far: int):
             # starts too near to the end wait for the next batch
             waits = (p == p[-1]) & (b == b[-1]) & (o >= o[-1] - span)
             cut = int(np.flatnonzero(~waits)[-1]) + 1 if not waits.all() else 0
-            yield chunks(p, b, o, h, (np.arange(len(p)) < cut) & (o // BLOCK == b))
+            yield chunks(p, b, o, h, (np.arange(len(p)) < cut) & (o // block == b))
             held = [x[cut:] for x in cols]
         if held is not None:
             p, b, o, h = held
-            yield chunks(p, b, o, h, o // BLOCK == b)
+            yield chunks(p, b, o, h, o // block == b)
 
     return run
 
@@ -110,7 +110,7 @@ def _seeds(chunks: DataFrame) -> DataFrame:
     return a.join(b, "digest").where("passage_a < passage_b").select("passage_a", "passage_b", (F.col("at") - F.col("ob")).alias("shift"), "at")
 
 
-def shared_stretches(fingerprints: DataFrame, least: int = LEAST, reach: int = REACH, kgram: int = KGRAM, common: int = COMMON) -> DataFrame:
+def shared_stretches(fingerprints: DataFrame, least: int = LEAST, reach: int = REACH, kgram: int = KGRAM, common: int = COMMON, block: int = BLOCK) -> DataFrame:
     """The stretches two passages share: passage_a < passage_b, start_a, start_b, tokens.
 
     A stretch is a longest series of equal hashes at one difference of ordinals
@@ -128,10 +128,10 @@ def shared_stretches(fingerprints: DataFrame, least: int = LEAST, reach: int = R
     ordinary = _seeds(rows.join(single, "hash").withColumnRenamed("hash", "digest"))
     open_rows = rows.join(many, "hash")
     # blocks overlap by a chunk's length
-    at = F.floor(F.col("token_ordinal") / BLOCK).cast("int")
-    early = F.floor((F.col("token_ordinal") - max(least - kgram + reach, 2 * reach)) / BLOCK).cast("int")
-    blocks = open_rows.withColumn("block", F.explode(F.when((early < at) & (early >= 0), F.array(early, at)).otherwise(F.array(at))))
-    grown = blocks.select("passage_id", "block", "token_ordinal", "hash").repartition("passage_id", "block").sortWithinPartitions("passage_id", "block", "token_ordinal").mapInArrow(_long_chunks(reach, least - kgram), "digest long, passage_id long, token_ordinal int")
+    at = F.floor(F.col("token_ordinal") / block).cast("int")
+    early = F.floor((F.col("token_ordinal") - max(least - kgram + reach, 2 * reach)) / block).cast("int")
+    blocks = open_rows.withColumn("block", F.explode(F.sequence(F.greatest(early, F.lit(0)), at)))
+    grown = blocks.select("passage_id", "block", "token_ordinal", "hash").repartition("passage_id", "block").sortWithinPartitions("passage_id", "block", "token_ordinal").mapInArrow(_long_chunks(reach, least - kgram, block), "digest long, passage_id long, token_ordinal int")
     grown = materialize(grown.distinct(), "chunks")
     shared = grown.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     longer = _seeds(grown.join(shared, "digest")).select("passage_a", "passage_b", "shift").distinct()

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import spread
+
 #: What a null chunk_size and a null chunk_overlap stand for.
 DEFAULT_SIZE, DEFAULT_OVERLAP = 512, 64
 
@@ -116,4 +118,4 @@ def split_items(symbols: DataFrame, metadata: DataFrame, with_text: bool = True,
         # a unit has a character at least
         rows = rows.where(F.length("text") > F.col("size"))
     schema = "id string, piece_no int, start_char int, end_char int, units int, overlap_units int, cut string" + ", piece string" * with_text
-    return rows.mapInArrow(_pieces(with_text, only_split), schema).dropDuplicates(["id", "piece_no"]).withColumnRenamed("id", "canonical_id")
+    return spread(rows).mapInArrow(_pieces(with_text, only_split), schema).dropDuplicates(["id", "piece_no"]).withColumnRenamed("id", "canonical_id")
