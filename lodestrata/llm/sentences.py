@@ -78,7 +78,9 @@ ORDINALS = "am Am ab Ab der Der des dem den die Die das Das vom Vom zum Zum zur
 
 
 def _any(words: list[str]) -> str:
-    return "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True))
+    """The words, each also with a capital at its start, as alternatives."""
+    both = {w for x in words for w in (x, x[:1].upper() + x[1:])}
+    return "|".join(w.replace(".", r"\.") for w in sorted(both, key=lambda w: (-len(w), w)))
 
 
 _TERMS = r".!?؟।॥。！？｡…"
@@ -99,6 +101,7 @@ def _masked(block: Column) -> Column:
     w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]|a\.k|[ei])\.)(?={_WS}?(?:[BThaäеэ]|ex|ej|[дп]|g)[.{_DOT}])", _DOT)
     w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]{_DOT}{_WS}?(?:[BThaäеэ]|ex|ej)|a[.{_DOT}]k{_DOT}a|[ei]{_DOT}[ge]|c[.{_DOT}]-à-d)\.)", _DOT)
     w = r(w, r"\.(?<=(?<![\p{L}\d_])(?:n\.(?=[ºª°])|c\.(?=-à-d)))", _DOT)
+    w = r(w, rf"\.(?={_WS}?UU\.)(?<=(?<![\p{{L}}\d_])EE\.)", _DOT)
     w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(NEVER)}|M)\.)", _DOT)
     w = r(w, rf"\.(?={_WS}*{_CF}[\d№#(])(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(BEFORE_NUMBER)})\.)", _DOT)
     w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\d_]|\d{_WS})г\.)", _DOT)
