@@ -9,11 +9,11 @@ from typing import NamedTuple
 IDENTIFIER, LITERAL, OTHER = "identifier", "literal", "other"
 
 _PYTHON = re.compile(
-    r'''(?P<skip>[ \t\f\r\n﻿]+|\\\r?\n|\#[^\r\n]*)|(?P<string>[rRuUbBfFtT]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\Z)|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*+(?:\'\'\'|\Z)|"(?:[^"\\\r\n]|\\(?:\r\n|.))*+"?|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+'?))|(?P<number>\.?\d(?:[\w.]|(?<=[eE])[+-])*)|(?P<name>[^\W\d]\w*)|(?P<op>\*\*=?|//=?|>>=?|<<=?|->|:=|[-+*/%@&|^=<>!]=|\.\.\.|[^\s\w])''',
+    r'''(?P<skip>[ \t\f\r\n\ufeff]+|\\\r?\n|\#[^\r\n]*)|(?P<string>[rRuUbBfFtT]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\Z)|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*+(?:\'\'\'|\Z)|"(?:[^"\\\r\n]|\\(?:\r\n|.))*+"?|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+'?))|(?P<number>\.?\d(?:[\w.]|(?<=[eE])[+-])*)|(?P<name>[^\W\d]\w*)|(?P<op>\*\*=?|//=?|>>=?|<<=?|->|:=|[-+*/%@&|^=<>!]=|\.\.\.|[^\s\w])''',
     re.S,
 )
 _RUST = re.compile(
-    r"""(?P<skip>[\s﻿]+|//[^\n]*)|(?P<block>/\*)|(?P<string>[bc]?r(?P<h>\#*)"[\s\S]*?(?:"(?P=h)|\Z)|[bc]?"(?:[^"\\]|\\[\s\S])*+"?|b?'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.))')|(?P<number>\d[\w]*(?:\.\d[\w]*)?(?:(?<=[eE])[+-]\d+)?)|(?P<name>'?(?:r\#)?[^\W\d]\w*)|(?P<op><<=|>>=|\.\.=|\.\.\.|::|->|=>|&&|\|\||\.\.|[-+*/%^&|=<>!]=|[^\s\w])"""
+    r"""(?P<skip>[\s\ufeff]+|//[^\n]*)|(?P<block>/\*)|(?P<string>[bc]?r(?P<h>\#*)"[\s\S]*?(?:"(?P=h)|\Z)|[bc]?"(?:[^"\\]|\\[\s\S])*+"?|b?'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.))')|(?P<number>\d[\w]*(?:\.\d[\w]*)?(?:(?<=[eE])[+-]\d+)?)|(?P<name>'?(?:r\#)?[^\W\d]\w*)|(?P<op><<=|>>=|\.\.=|\.\.\.|::|->|=>|&&|\|\||\.\.|[-+*/%^&|=<>!]=|[^\s\w])"""
 )
 _MARK = re.compile(r"/\*|\*/")
 #: Rust's strict keywords (fixed values).

@@ -52,7 +52,49 @@ def override_edges(methods: DataFrame, hierarchy: DataFrame) -> DataFrame:
     return edge_set(hierarchy.select("src", "dst").join(own, "src").join(base, ["dst", "name"]).where("src <> dst").select(F.lit("overrides").alias("kind"), F.col("m_src").alias("src"), F.col("m_dst").alias("dst")))
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def _walk_in_one_task(horizon: int):
+    """The whole walk over (a, b, k) rows: an edge from b to a of kind k, or a seed a where b is null."""
+
+    def run(batches):
+        next_: dict[str, list[tuple[str, int]]] = {}
+        seeds = set()
+        for batch in batches:
+            for a, b, k in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "k"))):
+                if b is None:
+                    seeds.add(a)
+                else:
+                    next_.setdefault(a, []).append((b, k))
+        near: dict[str, dict[str, int]] = {s: {s: 0} for s in seeds}
+        frontier = [(s, s) for s in sorted(seeds)]
+        for hop in range(1, horizon + 1):
+            step = []
+            for at, root in frontier:
+                for x, _ in next_.get(at, ()):
+                    have = near.setdefault(x, {})
+                    if root not in have and len(have) < 2:
+                        have[root] = hop
+                        step.append((x, root))
+            frontier = step
+            if not frontier:
+                break
+        distance = {}
+        for x, have in near.items():
+            others = [d for root, d in have.items() if root != x]
+            if others:
+                distance[x] = min(others)
+        kind: dict[str, int] = {}
+        for at, links in next_.items():
+            for x, k in links:
+                d = distance.get(x)
+                if d is not None and any(root != x and n == d - 1 for root, n in near.get(at, {}).items()):
+                    kind[x] = min(k, kind.get(x, k))
+        nodes = sorted(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([distance[x] for x in nodes], pa.int32()), pa.array([DEPENDENCE[kind[x] - 1] for x in nodes], pa.string())], ["node", "distance", "kind"])
+
+    return run
+
+
+def dependents(edges: DataFrame, seeds: DataFrame, horizon: int = HORIZON, one_task: int = 2_000_000) -> DataFrame:
     """Everything that depends on the seeds: (node, distance, kind).
 
     Runs from dst to src over dependence edges. Each node comes once, at its
@@ -62,13 +104,20 @@ def dependents(edges: DataFrame, seeds: DataFrame, horizon: int = HORIZON) -> Da
 
     Each node keeps at most two (distance, root) pairs with different roots: the
     nearest of all, and the nearest from another root. That decides both the
-    distance of ordinary nodes and that of seeds, and bounds the state. Every
-    hop is one join with the frontier and one aggregation, and is written to the
-    shared folder; the walk ends with an empty frontier.
+    distance of ordinary nodes and that of seeds, and bounds the state. A graph
+    of at most ``one_task`` edges and seeds, which is counted first, is walked
+    by one task. Beyond that every hop is one join with the frontier and one
+    aggregation, written to the shared folder, and the walk ends with an empty
+    frontier. Both ways give the same rows. Nodes are strings.
     """
     known = edges.where(F.col("kind").isin(DEPENDENCE))
-    links = materialize(known.select(F.col("dst").alias("at"), F.col("src").alias("next"), kind_order().alias("k")).groupBy("at", "next").agg(F.min("k").alias("k")), "links")
-    start = materialize(seeds.select("node").where("node IS NOT NULL").distinct(), "seeds")
+    links = known.select(F.col("dst").alias("at"), F.col("src").alias("next"), kind_order().cast("int").alias("k")).groupBy("at", "next").agg(F.min("k").alias("k"))
+    start = seeds.select("node").where("node IS NOT NULL").distinct()
+    whole = materialize(links.select(F.col("at").alias("a"), F.col("next").alias("b"), "k").unionByName(start.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("int").alias("k"))), "walk")
+    if bounded(whole, one_task):
+        return whole.coalesce(1).mapInArrow(_walk_in_one_task(horizon), "node string, distance int, kind string")
+    links = whole.where("b IS NOT NULL").select(F.col("a").alias("at"), F.col("b").alias("next"), "k")
+    start = whole.where("b IS NULL").select(F.col("a").alias("node"))
     reached = frontier = start.select("node", F.col("node").alias("root"), F.lit(0).alias("distance"))
     w = Window.partitionBy("node").orderBy("root")
     for hop in range(1, horizon + 1):

@@ -34,7 +34,7 @@ def normal_path(path, root=None):
     ``..`` takes back the part before it. An absolute path below ``root`` becomes
     relative to it. Blank and null paths give null.
     """
-    p = F.regexp_replace(F.translate(path, "\\", "/"), r"^[\s﻿]+|[\s﻿]+$", "")
+    p = F.regexp_replace(F.translate(path, "\\", "/"), r"^[\s\ufeff]+|[\s\ufeff]+$", "")
     if root is not None:
         base = F.concat(F.rtrim(F.translate(root, "\\", "/"), F.lit("/")), F.lit("/"))
         p = F.when(root.isNotNull() & (F.length(F.trim(root)) > 0) & p.startswith(base), F.substr(p, F.length(base) + 1)).otherwise(p)

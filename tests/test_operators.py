@@ -67,6 +67,8 @@ def test_dependents(spark, seed):
     e = spark.createDataFrame(sorted(edges), "kind string, src string, dst string")
     got = {r.node: (r.distance, r.kind) for r in graph.dependents(e, spark.createDataFrame([(s,) for s in seeds], "node string"), 4).collect()}
     assert got == _walk(edges, seeds, 4)
+    one = {r.node: (r.distance, r.kind) for r in graph.dependents(e, spark.createDataFrame([(s,) for s in seeds], "node string"), 4, one_task=0).collect()}
+    assert one == got
 
 
 def test_dependents_depth_zero_and_empty(spark):
