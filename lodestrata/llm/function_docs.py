@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,9 @@ from lodestrata.runtime import latest_per_key, spread
 #: Fewer different words than this, names and tag lines aside, are trivial.
 LEAST_WORDS = 6
 
+#: Frames a parse may take; brackets nested deeper than about a fifth of this are not parsed.
+DEEPEST = 50_000
+
 _LINES = re.compile(r"\r\n|\r|\n")
 
 
@@ -47,7 +51,7 @@ def _python() -> peg.Parser:
     )
     comment = terminal(r"#[^\r\n]*")
     blanks = terminal(r"(?:[ \t\f]|\\\r?\n)*")
-    space = rule(many(choice(terminal(r"(?:[ \t\f\r\n﻿]|\\\r?\n)+"), comment)))
+    space = rule(many(choice(terminal(r"(?:[ \t\f\r\n\ufeff]|\\\r?\n)+"), comment)))
     nested = peg.Lazy()
     inside = many(choice(terminal(r"[^()\[\]{}\"'#rRuUbBfFtT]+"), string, comment, nested, terminal(r"[rRuUbBfFtT][^\s()\[\]{}\"'#]*")))
     nested.body = rule(choice(seq(terminal(r"\("), inside, terminal(r"\)")), seq(terminal(r"\["), inside, terminal(r"\]")), seq(terminal(r"\{"), inside, terminal(r"\}"))))
@@ -131,7 +135,7 @@ def _rust() -> peg.Parser:
     def skipped(s, a, b, v):
         return "skip", []
 
-    blank = rule(terminal(r"[\s﻿]+"), skipped)
+    blank = rule(terminal(r"[\s\ufeff]+"), skipped)
     line_doc = rule(terminal(r"///(?!/)[^\n]*"), lambda s, a, b, v: ("doc", [s.text[a + 3 : b]]))
     line = rule(terminal(r"//[^\n]*"), skipped)
     block = rule(_block, _block_lines)
@@ -200,7 +204,10 @@ def telling_words(lines: list[str], display_name: str | None) -> int:
 def pair_of(text: str, path: str, display_name: str | None, least: int = LEAST_WORDS) -> tuple[str, str] | None:
     """(code, description), or null where the function has no telling documentation."""
     language = path[-3:]
-    got = parse_function(text, language)
+    try:
+        got = parse_function(text, language)
+    except RecursionError:  # brackets thousands deep
+        return None
     if got is None or got[0] is None:
         return None
     lines, _, _, a, b = got
@@ -212,6 +219,7 @@ def pair_of(text: str, path: str, display_name: str | None, least: int = LEAST_W
 
 def _pairs(least: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for b in batches:
             code, words = [], []
             for text, path, name in zip(b.column("text").to_pylist(), b.column("path").to_pylist(), b.column("name").to_pylist()):
@@ -232,7 +240,7 @@ def documented_functions(symbols: DataFrame, least: int = LEAST_WORDS, with_text
 
     Result: canonical_id and, ``with_text``, signature_text, code (the source
     without its documentation) and description. Rows without id, text or a
-    ``.py``/``.rs`` path give none; a null display_name removes no words; text
+    ``.py``/``.rs`` path give none, nor does text with brackets thousands deep; a null display_name removes no words; text
     that does not parse as a function has no documentation. Of a symbol
     delivered again the latest row holds. Extra columns are ignored.
     """

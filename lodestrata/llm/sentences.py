@@ -93,7 +93,7 @@ def _masked(block: Column) -> Column:
     # an item's number, decimals, and dots inside names, paths and addresses
     w = r(w, r"^([ \t]*\d{1,9})\.", f"$1{_DOT}")
     w = r(w, r"\.(?=\d)(?<=\d\.)", _DOT)
-    w = r(w, r"\.(?=\S)(?<=[/@:_~]\.)|\.(?=[\p{Ll}\d_/]\S*[/@_]|\p{Ll}{1,4}\b)(?<=[\p{L}\d_)]\.)", _DOT)
+    w = r(w, r"\.(?=\S)(?<=[/@:_~]\.)|\.(?=(?:[_/]|[\p{Ll}\d][^\s/@_]{0,200}+[/@_])|\p{Ll}{1,4}\b)(?<=[\p{L}\d_)]\.)", _DOT)
     # Each rule starts at the dot and looks back from there, so that text without dots costs nothing.
     # initials
     w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])\p{{Lu}}\.)(?={_WS}*{_CF}\p{{Lu}}|{_WS}+{_CF}[\p{{L}}\p{{N}}`])", _DOT)

@@ -113,9 +113,9 @@ def split_items(symbols: DataFrame, metadata: DataFrame, with_text: bool = True,
     """
     settings = metadata.where(F.col("workspace_id").isNotNull()).groupBy("workspace_id").agg(F.max("chunk_size").alias("size"), F.max("chunk_overlap").alias("overlap"))
     rows = symbols.where(F.col("canonical_id").isNotNull() & F.col("span_text").isNotNull()).select(F.col("canonical_id").alias("id"), "workspace_id", F.col("span_text").alias("text"))
-    rows = rows.join(settings, "workspace_id", "left").select("id", "text", F.coalesce("size", F.lit(DEFAULT_SIZE)).cast("int").alias("size"), F.coalesce("overlap", F.lit(DEFAULT_OVERLAP)).cast("int").alias("overlap"))
+    rows = spread(rows).join(settings, "workspace_id", "left").select("id", "text", F.coalesce("size", F.lit(DEFAULT_SIZE)).cast("int").alias("size"), F.coalesce("overlap", F.lit(DEFAULT_OVERLAP)).cast("int").alias("overlap"))
     if only_split:
         # a unit has a character at least
         rows = rows.where(F.length("text") > F.col("size"))
     schema = "id string, piece_no int, start_char int, end_char int, units int, overlap_units int, cut string" + ", piece string" * with_text
-    return spread(rows).mapInArrow(_pieces(with_text, only_split), schema).dropDuplicates(["id", "piece_no"]).withColumnRenamed("id", "canonical_id")
+    return rows.mapInArrow(_pieces(with_text, only_split), schema).dropDuplicates(["id", "piece_no"]).withColumnRenamed("id", "canonical_id")
