@@ -98,3 +98,32 @@ def select_twins(references: DataFrame, twins: DataFrame, parents: DataFrame, mo
             break
     none = references.select("occurrence_id").join(done, "occurrence_id", "left_anti").select("occurrence_id", F.lit(None).cast("string").alias("symbol_id"), F.lit("duplicate_ambiguous").alias("outcome"))
     return done.unionByName(none)
+
+
+def select_twins_by_unit(references: DataFrame, twins: DataFrame, document_unit: DataFrame, symbol_unit: DataFrame) -> DataFrame:
+    """(occurrence_id, symbol_id) where exactly one twin lies in the unit that compiles the reference's document."""
+    unit = references.select("occurrence_id", "descriptor", F.col("document_path").alias("document")).join(document_unit.select("document", "unit"), "document")
+    own = twins.select("descriptor", "symbol_id").join(symbol_unit.select("symbol_id", "unit"), "symbol_id")
+    per = unit.join(own, ["descriptor", "unit"]).groupBy("occurrence_id").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("symbol_id"))
+    return per.where("n = 1").select("occurrence_id", "symbol_id")
+
+
+def select_twins_by_scope(references: DataFrame, twins: DataFrame, spans: DataFrame) -> DataFrame:
+    """(occurrence_id, symbol_id) by the innermost declaration around the reference that holds any twin of its document.
+
+    ``references``: occurrence_id, descriptor, document_path, point; ``twins``:
+    descriptor, document_path, symbol_id, start; ``spans``: document_path, start,
+    end of declarations. That declaration has to hold exactly one twin.
+    """
+    from lodestrata.operators.intervals import spans_of_points
+
+    around = spans_of_points(references.select("occurrence_id", "descriptor", "document_path", "point"), spans.select("document_path", "start", "end"))
+    held = around.join(twins.select("descriptor", "document_path", "symbol_id", F.col("start").alias("at")), ["descriptor", "document_path"]).where("start <= at AND at < `end`")
+    per = held.groupBy("occurrence_id", "start", "end").agg(F.countDistinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
+    inner = per.groupBy("occurrence_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "n", "symbol_id")).alias("m"))
+    return inner.where("m.n = 1").select("occurrence_id", F.col("m.symbol_id").alias("symbol_id"))
+
+
+def group_bases(twins: DataFrame) -> DataFrame:
+    """(descriptor, identity): the identity a group of twins goes by: its least one without the collision's number."""
+    return twins.groupBy("descriptor").agg(F.regexp_replace(F.min("symbol_id"), r"#[0-9]+$", "").alias("identity"))

@@ -111,3 +111,51 @@ def test_index(spark):
     seeds, rows = i.impact(spark.createDataFrame([(1, "a.py", 1, 2)], "region_id int, document_path string, start int, count int"))
     assert seeds.first().grade == "exact" and [r.node for r in rows.collect()] == ["w::m::g"]
     assert F is not None
+
+
+def test_twins_by_unit_and_scope(spark):
+    from lodestrata.operators import alignment
+
+    refs = spark.createDataFrame([(1, "d", "a.rs", 15), (2, "d", "b.rs", 5)], "occurrence_id int, descriptor string, document_path string, point long")
+    twins = spark.createDataFrame([("d", "a.rs", "X#0", 12), ("d", "a.rs", "X#1", 40), ("d", "c.rs", "Y", 0)], "descriptor string, document_path string, symbol_id string, start long")
+    docs = spark.createDataFrame([("b.rs", "u"), ("a.rs", "v")], "document string, unit string")
+    own = spark.createDataFrame([("Y", "u"), ("X#0", "v"), ("X#1", "v")], "symbol_id string, unit string")
+    assert [tuple(r) for r in alignment.select_twins_by_unit(refs, twins, docs, own).collect()] == [(2, "Y")]
+    spans = spark.createDataFrame([("a.rs", 0, 60), ("a.rs", 10, 20)], "document_path string, start long, end long")
+    assert [tuple(r) for r in alignment.select_twins_by_scope(refs, twins, spans).collect()] == [(1, "X#0")]
+    assert [tuple(r) for r in alignment.group_bases(twins).collect()] == [("d", "X")]
+
+
+def test_splits(spark):
+    from lodestrata.operators import splits
+
+    ids = [f"i{k}" for k in range(20)]
+    small = splits.make_split(ids, 3, 4, 5)
+    large = splits.make_split(ids, 3, 6, 9, small)
+    assert set(small["development"]) <= set(large["development"]) and not set(large["development"]) & set(large["frozen"])
+    rows = lambda s: spark.createDataFrame([(k, x) for k, v in s.items() for x in v], "subset string, id string")
+    assert splits.split_conflicts(rows(small), rows(large)).count() == 0
+    t = spark.createDataFrame([(1, "fix a/b.py and c.py, not dd.py", ["a/b.py", "x/c.py", "y/d.py"]), (2, "none", [])], "task_id int, text string, paths array<string>")
+    assert {r.task_id: (r.paths, r.mentioned) for r in splits.path_mentions(t).collect()} == {1: (3, 2), 2: (0, 0)}
+
+
+def test_build(spark, tmp_path):
+    from lodestrata.build import Parameters, build
+    from lodestrata.sources.store import Snapshot
+
+    src = tmp_path / "src"
+    (src / "pkg").mkdir(parents=True)
+    (src / "pkg" / "a.py").write_text("class A:\n    def f(self):\n        return g()\n\ndef g():\n    return 1\n")
+    (src / "pkg" / "b.py").write_text("def g():\n    return 1\n\ndef g():\n    return 2\n")
+    text = (src / "pkg" / "a.py").read_text()
+    o = spark.createDataFrame([("pkg/a.py", "w::pkg::a::g", text.index("g()"), text.index("g()") + 1, "reference")], "document_path string, symbol_id string, span_start int, span_end int, role string")
+    target = str(tmp_path / "store")
+    assert build(spark, str(src), target, "w", occurrences=o)
+    assert build(spark, str(src), target, "w", occurrences=o) is None
+    snap = Snapshot(spark, target)
+    ids = {r.canonical_id for r in snap.table("symbols").collect()}
+    assert ids == {"w::pkg::a::A", "w::pkg::a::f", "w::pkg::a::g", "w::pkg::b::g#0", "w::pkg::b::g#1"}
+    assert {tuple(r) for r in snap.table("edges").collect()} == {("contains", "w::pkg::a::A", "w::pkg::a::f"), ("uses", "w::pkg::a::f", "w::pkg::a::g")}
+    assert Parameters().guaranteed_length() == 32 and snap.facts["kgram"] == 16
+    (src / "pkg" / "b.py").write_text("x = 1\n")
+    assert build(spark, str(src), target, "w", occurrences=o) and Snapshot(spark, target).table("source_files").count() == 2
