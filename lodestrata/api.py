@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -131,3 +133,14 @@ class Index:
         """(seeds, dependents within ``depth``) of changed line regions."""
         seeds, rows = impact.impact(regions, self.symbols, self.edges)
         return seeds, rows.where(F.col("distance") <= depth)
+
+
+def manifest() -> str:
+    """The questions, their arguments and defaults, as JSON."""
+    questions = {}
+    for name, f in sorted(vars(Index).items()):
+        if name.startswith("_") or not callable(f):
+            continue
+        arguments = [{"name": p.name, "required": p.default is p.empty, **({} if p.default is p.empty else {"default": p.default})} for p in list(inspect.signature(f).parameters.values())[1:]]
+        questions[name] = {"about": (inspect.getdoc(f) or "").split("\n")[0], "arguments": arguments}
+    return json.dumps({"version": 1, "questions": questions, "details": DETAILS, "relations": RELATIONS}, sort_keys=True)

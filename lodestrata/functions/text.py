@@ -137,3 +137,12 @@ def percentile_index(sorted_values: Column, p: float) -> Column:
     """The value at place min(n - 1, int(p n)) of a sorted array; not interpolated."""
     n = F.size(sorted_values)
     return F.when(n > 0, F.element_at(sorted_values, F.least(n, F.floor(F.lit(p) * n).cast("int") + 1)))
+
+
+def epoch_seconds(value: Column) -> Column:
+    """Seconds since 1970 of a number or an ISO-8601 time in text; null for anything else. Times without zone are UTC."""
+    v = F.trim(value.cast("string"))
+    zoned = v.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    text = F.when(zoned, v).otherwise(F.concat(v, F.lit("Z")))
+    iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.unix_micros(F.try_to_timestamp(text)) / 1e6)
+    return F.when(v.rlike(r"^[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?$"), v.cast("double")).otherwise(iso)

@@ -6,7 +6,7 @@ import keyword
 import re
 from typing import NamedTuple
 
-IDENTIFIER, LITERAL, OTHER = "identifier", "literal", "other"
+IDENTIFIER, LITERAL, OTHER, BOUNDARY = "identifier", "literal", "other", "boundary"
 
 _PYTHON = re.compile(
     r'''(?P<skip>[ \t\f\r\n\ufeff]+|\\\r?\n|\#[^\r\n]*)|(?P<string>[rRuUbBfFtT]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\Z)|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*+(?:\'\'\'|\Z)|"(?:[^"\\\r\n]|\\(?:\r\n|.))*+"?|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+'?))|(?P<number>\.?\d(?:[\w.]|(?<=[eE])[+-])*)|(?P<name>[^\W\d]\w*)|(?P<op>\*\*=?|//=?|>>=?|<<=?|->|:=|[-+*/%@&|^=<>!]=|\.\.\.|[^\s\w])''',

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.functions.tokens import IDENTIFIER, LITERAL, Token, tokens_of
+from lodestrata.functions.tokens import BOUNDARY, IDENTIFIER, LITERAL, Token, tokens_of
 from lodestrata.runtime import spread
 
 #: Fingerprints: tokens of a run, and runs of a window (fixed values).
@@ -53,6 +53,29 @@ def clone_keys(tokens: list[Token]) -> tuple[str, str]:
     return _hash_parts(spelled).hexdigest(), _hash_parts(replaced).hexdigest()
 
 
+def comparable_tokens(text: str, path: str, contained: list[tuple[int, int]]) -> list[Token]:
+    """Tokens of a text in which each contained span (start, end; overlapping ones as one) counts as one boundary token."""
+    merged: list[list[int]] = []
+    for a, z in sorted(contained):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    out: list[Token] = []
+    spans = iter([*merged, [len(text) + 1, len(text) + 1]])
+    now = next(spans)
+    for t in tokens_of(text, path):
+        while t.start >= now[0]:
+            if not out or out[-1] != Token(BOUNDARY, "", now[0]):
+                out.append(Token(BOUNDARY, "", now[0]))
+            if t.start < now[1]:
+                break
+            now = next(spans)
+        if t.start < now[0]:
+            out.append(t)
+    return out
+
+
 def run_hash(tokens: list[Token]) -> int:
     """A run of tokens as a signed 64-bit number: identifiers and literals count by class."""
     parts = [t.kind.encode() if t.kind in (IDENTIFIER, LITERAL) else t.text.encode() for t in tokens]

@@ -72,3 +72,12 @@ def keyset_page(rows: DataFrame, key: str, limit: int, identity: str, cursor: st
     more = len(keys) > limit
     shown = left.where(F.col(key) <= keys[limit - 1]) if more else left
     return Page(shown.orderBy(key).limit(limit), -1, page, encode_cursor(identity, page + 1, str(keys[limit - 1])) if more else None)
+
+
+def capped_groups(rows: DataFrame, group: list[str], order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group, each with the group's total; totals come from a count, not from the rows."""
+    from pyspark.sql.window import Window
+
+    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    few = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rn") <= limit).drop("_rn")
+    return few.join(totals, group)

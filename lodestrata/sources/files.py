@@ -61,3 +61,11 @@ def directory_digest(spark: SparkSession, root: str, without: str | None = None)
         rows = rows.where(~F.col("p").startswith(without.rstrip("/") + "/"))
     lines = rows.select(F.concat_ws("\x1f", "p", "h").alias("l"))
     return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256)).first()[0]
+
+
+def environment_facts(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """One row (version, path, fingerprint): the packages installed below ``root``, as a digest of their sorted names."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "METADATA").load(root)
+    names = raw.select(F.regexp_extract("path", r"([^/]+)\.dist-info/METADATA$", 1).alias("n")).where("n <> ''").distinct()
+    print_ = F.sha2(F.array_join(F.array_sort(F.collect_list("n")), "\n"), 256)
+    return names.agg(print_.alias("fingerprint")).select(F.lit(version).alias("version"), F.lit(root).alias("path"), "fingerprint")

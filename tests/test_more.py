@@ -159,3 +159,27 @@ def test_build(spark, tmp_path):
     assert Parameters().guaranteed_length() == 32 and snap.facts["kgram"] == 16
     (src / "pkg" / "b.py").write_text("x = 1\n")
     assert build(spark, str(src), target, "w", occurrences=o) and Snapshot(spark, target).table("source_files").count() == 2
+
+
+def test_small_things(spark, tmp_path):
+    import json
+
+    from lodestrata.api import manifest
+    from lodestrata.functions.text import epoch_seconds
+    from lodestrata.operators import paging
+    from lodestrata.operators.clones import comparable_tokens
+    from lodestrata.sources.files import environment_facts
+
+    df = spark.createDataFrame([("12.5",), ("2026-01-01T00:00:01Z",), ("2026-01-01 00:00:01",), ("2026-01-01T01:00:01+01:00",), ("soon",), (None,)], "v string")
+    assert [r[0] for r in df.select(epoch_seconds(F.col("v"))).collect()] == [12.5, 1767225601.0, 1767225601.0, 1767225601.0, None, None]
+    rows = spark.createDataFrame([("a", k) for k in range(5)] + [("b", 9)], "g string, k int")
+    got = paging.capped_groups(rows, ["g"], [F.col("k")], 2).collect()
+    assert {(r.g, r.k, r.total) for r in got} == {("a", 0, 5), ("a", 1, 5), ("b", 9, 1)}
+    text = "class A:\n    x = 1\n    def f(self): return 2\n    y = 3\n"
+    a = text.index("def")
+    z = text.index("2") + 1
+    assert [t.text for t in comparable_tokens(text, "a.py", [(a, z), (a + 4, z)])] == ["class", "A", ":", "x", "=", "1", "", "y", "=", "3"]
+    (tmp_path / "p-1.dist-info").mkdir()
+    (tmp_path / "p-1.dist-info" / "METADATA").write_text("x")
+    assert len(environment_facts(spark, str(tmp_path), "3").first().fingerprint) == 64
+    assert json.loads(manifest())["questions"]["trace"]["arguments"][0] == {"name": "reference", "required": True}
