@@ -38,6 +38,8 @@ for _k, _q in enumerate(_BRACKETS):
 
 _WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 _CF = r"\p{Cf}*"
+#: Signs between sentences that say nothing about what starts there.
+_SKIP = rf"(?:[\p{{Cf}}\p{{So}}]++{_WS}*+)*+"
 
 _ITEM = r"(?:[-*+•‣]|\d{1,9}[.)])[ \t]"
 _FENCE = r"[ \t]*(?:```|~~~)"
@@ -103,7 +105,7 @@ def _masked(block: Column) -> Column:
     w = r(w, r"\.(?<=(?<![\p{L}\d_])(?:n\.(?=[ºª°])|c\.(?=-à-d)))", _DOT)
     w = r(w, rf"\.(?={_WS}?UU\.)(?<=(?<![\p{{L}}\d_])EE\.)", _DOT)
     w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(NEVER)}|M)\.)", _DOT)
-    w = r(w, rf"\.(?={_WS}*{_CF}[\d№#(])(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(BEFORE_NUMBER)})\.)", _DOT)
+    w = r(w, rf"\.(?={_WS}*{_SKIP}[\d№#(])(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(BEFORE_NUMBER)})\.)", _DOT)
     w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\d_]|\d{_WS})г\.)", _DOT)
     # German ordinals and dates
     w = r(w, rf"\.(?={_WS}+\p{{L}})(?<=\d\.)(?<=(?<![\p{{L}}\d_])(?:{_any(ORDINALS)}){_WS}{{1,3}}[\d,{_DOT}]{{1,24}}\.)", _DOT)
@@ -141,7 +143,7 @@ def _inside(w: Column, brackets: bool) -> Column:
 
 #: What a new sentence may start with: no lower-case word, unless it is a name out of code.
 _CODE = r"\p{Ll}[\p{L}\d]*(?:[_/(]|[.\uE000]\p{L}|::)"
-_STARTS = rf"(?:[\p{{Lu}}\p{{Lt}}\p{{N}}\p{{So}}¿¡`~@#\[<{_OPEN}{_SAID}{_IN}{_FULL_IN}\"'„“«‘「『（《(]|{_CODE})"
+_STARTS = rf"(?:[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡`~@#\[<{_OPEN}{_SAID}{_IN}{_FULL_IN}\"'„“«‘「『（《(]|{_CODE})"
 _LETTERS = r"[\p{Lo}\p{Lm}]"
 _THAI = r"[\u0E01-\u0E3A\u0E40-\u0E4E]"
 
@@ -152,10 +154,10 @@ def _cut(masked: Column) -> Column:
     w = masked
     # white space, then a start; a quotation's end asks for more than a letter without case
     quote, bracket = rf"{_WS}?[{_CLOSE}{_UNSAID}]", f"[{_OUT}]"
-    w = r(w, rf"([.!?؟।॥…]++(?:{quote}|{bracket})++)(?={_CF}{_WS}+{_CF}{_STARTS})", f"$1{_CUT}")
+    w = r(w, rf"([.!?؟।॥…]++(?:{quote}|{bracket})++)(?={_CF}{_WS}+{_SKIP}{_STARTS})", f"$1{_CUT}")
     w = r(w, rf"([.!?؟।॥…]+[{_FULL_OUT}])", f"$1{_CUT}")
-    w = r(w, rf"((?:[!?؟।॥]|(?<![.…])\.(?![.…]))++[)\]*_]*)(?={_CF}{_WS}+{_CF}(?:{_STARTS}|{_LETTERS}))", f"$1{_CUT}")
-    w = r(w, rf"((?:\.{{2,}}|…)[.…!?]*)(?={_CF}{_WS}+{_CF}{_STARTS})", f"$1{_CUT}")
+    w = r(w, rf"((?:[!?؟।॥]|(?<![.…])\.(?![.…]))++[)\]*_]*)(?={_CF}{_WS}+{_SKIP}(?:{_STARTS}|{_LETTERS}))", f"$1{_CUT}")
+    w = r(w, rf"((?:\.{{2,}}|…)[.…!?]*)(?={_CF}{_WS}+{_SKIP}{_STARTS})", f"$1{_CUT}")
     # no blank behind the full stop
     w = r(w, rf"(\.)(?=\p{{Lu}}\p{{Ll}}+ )(?<=\p{{Ll}}{{2}}\.)", f"$1{_CUT}")
     # scripts without blanks

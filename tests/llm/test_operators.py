@@ -314,6 +314,7 @@ CASES = [
     "「古い。再構築せよ。」と書いた。|（詳細は参照。）|ええと……確認します。",
     "यह डॉ. ओवेल है। |क्या? |हाँ।",
     "هل هو؟ |سأل: \"هل جاهز؟\" ثم أغلق. |نعم.",
+    "It took 3 hrs. \U0001f469\u200d\U0001f4bb or so. |\U0001f9ea Then \u200bzero\u200b no. \ufeff 7. |It ends.",
     "ตารางใหม่มี 5 แถว| ผู้ตรวจปิดงาน| รุ่น 3 ลบ",
     "# Title v1. Yes\n|- one. |Two\n|- three|\n\nPara one\nline two. |End\n|\n```\na. B\n\nc! D\n```\n|1. First\n|2. Second.",
 ]
