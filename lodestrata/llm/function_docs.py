@@ -245,7 +245,7 @@ def documented_functions(symbols: DataFrame, least: int = LEAST_WORDS, with_text
     delivered again the latest row holds. Extra columns are ignored.
     """
     wanted = F.lower(F.regexp_replace("kind", r"^\s+|\s+$", "")).isin("function", "method") & (F.col("class") == "in_workspace") & F.col("canonical_id").isNotNull() & F.col("span_text").isNotNull() & (F.col("document_path").endswith(".py") | F.col("document_path").endswith(".rs"))
-    rows = symbols.where(wanted).select(F.col("canonical_id").alias("id"), F.col("indexed_at").alias("at"), F.col("span_text").alias("text"), F.col("document_path").alias("path"), F.col("display_name").alias("name"), F.col("signature_text").alias("signature"))
+    rows = symbols.where(wanted).select(F.col("canonical_id").alias("id"), F.col("indexed_at").alias("at"), F.col("span_text").alias("text"), F.col("document_path").alias("path"), F.col("display_name").alias("name"), *[F.col("signature_text").alias("signature")] * with_text)
     at = dict(rows.dtypes)["at"]
     schema = f"id string, at {at}, found boolean" + ", signature string, code string, description string" * with_text
     got = spread(rows).mapInArrow(_pairs(least, with_text), schema)
