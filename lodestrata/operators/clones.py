@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.tokens import BOUNDARY, IDENTIFIER, LITERAL, Token, tokens_of
-from lodestrata.runtime import spread
+from lodestrata.runtime import materialize, spread
 
 #: Fingerprints: tokens of a run, and runs of a window (fixed values).
 KGRAM, WINDOW = 16, 17
@@ -156,22 +156,19 @@ def fragment_seeds(fingerprint_rows: DataFrame, most: int = MOST_SEEDS, common:
 
     Every place of a hash in one passage meets every place in the other. Counts
     are multiplied per hash before pairs are summed, so places are never paired.
-    Hashes in more than ``common`` passages start no pair of their own (their
-    pairs come from the stretches around them), but count where another hash
-    has started one.
+    Every shared hash starts pairs. A hash in more than ``common`` passages is
+    met in blocks of about that many, each two of them (and each with itself)
+    a join key of their own, so it is no single task's work. The pairs of such
+    a hash are as many as its passages squared, and so is the result.
     """
     per = fingerprint_rows.where("hash IS NOT NULL AND passage_id IS NOT NULL").select("hash", "passage_id", "token_ordinal").distinct().groupBy("hash", "passage_id").agg(F.count(F.lit(1)).alias("n"))
-    spread = per.groupBy("hash").agg(F.count(F.lit(1)).alias("passages"))
-    rare = per.join(spread.where(F.col("passages").between(2, common)).select("hash"), "hash")
-    often = per.join(spread.where(F.col("passages") > common).select("hash"), "hash")
-    a = rare.select("hash", F.col("passage_id").alias("passage_a"), F.col("n").alias("na"))
-    b = rare.select("hash", F.col("passage_id").alias("passage_b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "hash").where("passage_a < passage_b").groupBy("passage_a", "passage_b").agg(F.sum(F.col("na") * F.col("nb")).alias("seeds"))
-    left = often.select("hash", F.col("passage_id").alias("passage_a"), F.col("n").alias("na"))
-    right = often.select("hash", F.col("passage_id").alias("passage_b"), F.col("n").alias("nb"))
-    more = pairs.select("passage_a", "passage_b").join(left, "passage_a").join(right, ["passage_b", "hash"]).groupBy("passage_a", "passage_b").agg(F.sum(F.col("na") * F.col("nb")).alias("more"))
-    seeds = F.col("seeds") + F.coalesce("more", F.lit(0))
-    return pairs.join(more, ["passage_a", "passage_b"], "left").select("passage_a", "passage_b", seeds.alias("seeds"), (seeds <= most).alias("compared"))
+    blocks = per.groupBy("hash").agg(F.count(F.lit(1)).alias("passages")).where("passages > 1").select("hash", F.ceil(F.col("passages") / common).alias("blocks"))
+    placed = materialize(per.join(blocks, "hash").withColumn("block", F.pmod(F.xxhash64("passage_id"), F.col("blocks"))), "seeds")
+    left = placed.select("hash", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("passage_id").alias("l"), F.col("n").alias("nl"))
+    right = placed.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("x"), F.col("block").alias("y"), F.col("passage_id").alias("r"), F.col("n").alias("nr"))
+    met = left.join(right, ["hash", "x", "y"]).where("x < y OR l < r")
+    pairs = met.groupBy(F.least("l", "r").alias("passage_a"), F.greatest("l", "r").alias("passage_b")).agg(F.sum(F.col("nl") * F.col("nr")).alias("seeds"))
+    return pairs.select("passage_a", "passage_b", "seeds", (F.col("seeds") <= most).alias("compared"))
 
 
 def _skyline(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -180,6 +180,16 @@ def test_shared_runs_brute():
         assert set(clones.shared_runs(a, b, 3)) == want
 
 
+def test_seeds_of_common_hashes(spark):
+    # hash 1 is in 150 passages (twice in every third), hash 2 in five of them, hash 3 in one
+    rows = [(1, p, o) for p in range(150) for o in ((0, 9) if p % 3 == 0 else (0,))] + [(2, p, 5) for p in range(5)] + [(3, 7, 1), (1, 0, 0), (None, 1, 1), (1, None, 1)]
+    n = lambda p: 2 if p % 3 == 0 else 1
+    want = {(a, b): n(a) * n(b) + (b < 5) for a in range(150) for b in range(a + 1, 150)}
+    got = clones.fragment_seeds(spark.createDataFrame(rows, "hash long, passage_id long, token_ordinal int"), most=4).collect()
+    assert len(got) == len(want) and {(r.passage_a, r.passage_b): r.seeds for r in got} == want
+    assert all(r.compared == (r.seeds <= 4) for r in got) and not all(r.compared for r in got)
+
+
 def test_skyline(spark):
     rows = [("p", "q", 0, 0, 10), ("p", "q", 2, 2, 4), ("p", "q", 2, 9, 4), ("p", "q", 8, 8, 4), ("p", "q", 0, 0, 10)]
     got = clones.drop_contained(spark.createDataFrame(rows, "passage_a string, passage_b string, a_start int, b_start int, length int")).collect()
