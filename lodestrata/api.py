@@ -129,6 +129,15 @@ class Index:
         rows = groups.join(mine, "group_id", "left_semi").where(F.col("canonical_id") != subject.canonical_id)
         return Answer("empty" if rows.isEmpty() else "found", rows.orderBy("exact_set", "canonical_id"))
 
+    def fragments(self, reference: str) -> Answer:
+        """Runs of tokens one symbol shares with others, longest first; pairs with too many seeds come last, without runs."""
+        got = self._resolved(reference)
+        if got.outcome != "found":
+            return got
+        rows = clones.fragment_clones(self.symbols, subject=got.rows.first().canonical_id)
+        rows = rows.orderBy(F.col("length").desc_nulls_last(), "symbol_b", "a_start", "b_start")
+        return Answer("empty" if rows.isEmpty() else "found", rows)
+
     def impact(self, regions: DataFrame, depth: int = IMPACT_DEPTH) -> tuple[DataFrame, DataFrame]:
         """(seeds, dependents within ``depth``) of changed line regions."""
         seeds, rows = impact.impact(regions, self.symbols, self.edges)

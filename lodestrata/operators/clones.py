@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.tokens import BOUNDARY, IDENTIFIER, LITERAL, Token, tokens_of
-from lodestrata.runtime import materialize, spread
+from lodestrata.operators.intervals import overlapping
+from lodestrata.operators.similarity import contributes
+from lodestrata.runtime import bounded, materialize, spread
 
 #: Fingerprints: tokens of a run, and runs of a window (fixed values).
 KGRAM, WINDOW = 16, 17
@@ -53,27 +58,59 @@ def clone_keys(tokens: list[Token]) -> tuple[str, str]:
     return _hash_parts(spelled).hexdigest(), _hash_parts(replaced).hexdigest()
 
 
-def comparable_tokens(text: str, path: str, contained: list[tuple[int, int]]) -> list[Token]:
-    """Tokens of a text in which each contained span (start, end; overlapping ones as one) counts as one boundary token."""
-    merged: list[list[int]] = []
-    for a, z in sorted(contained):
+def comparable_tokens(text: str, path: str, contained: list[tuple]) -> list[Token]:
+    """Tokens of a text in which each contained span (start, end, and its symbol if known; overlapping ones as one) counts as one boundary token.
+
+    The boundary is spelled as the symbol of the merged span: the earliest, then longest, then least one.
+    """
+    merged: list[list] = []
+    for a, z, *name in sorted(contained, key=lambda c: (c[0], -c[1], *c[2:])):
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], z)
         else:
-            merged.append([a, z])
-    out: list[Token] = []
-    spans = iter([*merged, [len(text) + 1, len(text) + 1]])
-    now = next(spans)
+            merged.append([a, z, *(name or [""])])
+    starts = [m[0] for m in merged]
+    out = [Token(BOUNDARY, name, a) for a, _, name in merged]
     for t in tokens_of(text, path):
-        while t.start >= now[0]:
-            if not out or out[-1] != Token(BOUNDARY, "", now[0]):
-                out.append(Token(BOUNDARY, "", now[0]))
-            if t.start < now[1]:
-                break
-            now = next(spans)
-        if t.start < now[0]:
+        k = bisect_right(starts, t.start) - 1
+        if k < 0 or t.start >= merged[k][1]:
             out.append(t)
-    return out
+    return sorted(out, key=lambda t: t.start)
+
+
+def _tokens(text: str, path: str, start: int | None, end: int | None, contained: list[dict] | None) -> list[Token]:
+    """Comparable tokens of a symbol; spans count characters or bytes, whichever its text is as long as."""
+    if not contained:
+        return tokens_of(text, path)
+    raw = None if end - start == len(text) else text.encode()
+    at = lambda o: o - start if raw is None else len(raw[: o - start].decode(errors="ignore"))
+    return comparable_tokens(text, path, [(at(c["start"]), at(c["end"]), c["id"]) for c in contained])
+
+
+_TEXT_COLUMNS = ("text", "path", "start", "end", "contained")
+#: Kinds that are read around the symbols they contain; others that contain symbols give nothing.
+CALLABLE = ["function", "method"]
+
+
+def _texts(symbols: DataFrame) -> DataFrame:
+    """(id, text, path, start, end, contained): texts with the symbols that lie within them in the same document.
+
+    Contained symbols say more than their name and differ in extent. Types and
+    modules that contain any are left out.
+    """
+    have = lambda c: F.col(c) if c in symbols.columns else F.lit(None).cast("string")
+    known = symbols.where("canonical_id IS NOT NULL AND span_text IS NOT NULL")
+    rows = known.select(F.col("canonical_id").alias("id"), F.col("span_text").alias("text"), F.col("document_path").alias("path"), F.lower(F.trim(have("kind"))).alias("kind"), have("span_start").cast("long").alias("start"), have("span_end").cast("long").alias("end"))
+    says = contributes(have("display_name"), have("signature_text"), have("interface_text"), F.col("span_text"))
+    spans = known.select("canonical_id", F.concat_ws("\0", have("workspace_id"), "document_path").alias("document_path"), have("span_start").cast("long").alias("start"), have("span_end").cast("long").alias("end"), F.coalesce(says, F.lit(True)).alias("says"))
+    spans = spans.where("document_path IS NOT NULL AND start IS NOT NULL AND `end` IS NOT NULL").dropDuplicates(["canonical_id"])
+    outer = spans.select("document_path", F.col("canonical_id").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    inner = spans.where("says").select("document_path", F.col("canonical_id").alias("b"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    within = overlapping(outer, inner).where("a <> b AND a_start <= b_start AND b_end <= a_end AND (a_start < b_start OR b_end < a_end)")
+    within = materialize(within.select(F.col("a").alias("id"), F.struct(F.col("b_start").alias("start"), F.col("b_end").alias("end"), F.col("b").alias("id")).alias("c")), "contained")
+    lists = within.groupBy("id").agg(F.sort_array(F.collect_list("c")).alias("contained"))
+    out = rows.join(F.broadcast(lists) if bounded(within, 100_000) else lists, "id", "left")
+    return out.where(F.col("contained").isNull() | F.col("kind").isin(CALLABLE)).select("id", *_TEXT_COLUMNS)
 
 
 def run_hash(tokens: list[Token]) -> int:
@@ -97,29 +134,40 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text, path in zip(b.column("text").to_pylist(), b.column("path").to_pylist()):
-            tokens = tokens_of(text, path)
-            rows.append((*clone_keys(tokens), len(tokens)))
+        for x in zip(*(b.column(c).to_pylist() for c in _TEXT_COLUMNS)):
+            tokens = _tokens(*x)
+            rows.append((*((None, None) if x[-1] else clone_keys(tokens)), len(tokens)))
         f, s, n = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(f, pa.string()), pa.array(s, pa.string()), pa.array(n, pa.int32())], ["id", "formatting_key", "substitution_key", "token_count"])
 
 
 def keyed(symbols: DataFrame) -> DataFrame:
-    """(canonical_id, formatting_key, substitution_key, token_count) computed from the texts."""
-    rows = symbols.where("canonical_id IS NOT NULL AND span_text IS NOT NULL").select(F.col("canonical_id").alias("id"), F.col("span_text").alias("text"), F.col("document_path").alias("path"))
-    return spread(rows).mapInArrow(_keyed, "id string, formatting_key string, substitution_key string, token_count int").dropDuplicates(["id"]).withColumnRenamed("id", "canonical_id")
+    """(canonical_id, formatting_key, substitution_key, token_count) computed from the texts.
+
+    A function that contains other symbols has the count of its own tokens but no keys.
+    """
+    return spread(_texts(symbols)).mapInArrow(_keyed, "id string, formatting_key string, substitution_key string, token_count int").dropDuplicates(["id"]).withColumnRenamed("id", "canonical_id")
+
+
+def _picked(tokens: list[Token], k: int, window: int) -> list[tuple[int, int]]:
+    # run_hash of each run, its tokens packed once
+    parts = [t.kind.encode() if t.kind in (IDENTIFIER, LITERAL) else t.text.encode() for t in tokens]
+    packed = [struct.pack("<Q", len(p)) + p for p in parts]
+    at = [0, *accumulate(map(len, packed))]
+    whole = b"".join(packed)
+    digests = b"".join([hashlib.sha256(whole[a:z]).digest()[:8] for a, z in zip(at, at[k:])])
+    series = np.frombuffer(digests, "<i8")
+    return [(int(series[at]), at) for at in winnow(series, window)]
 
 
 def _fingerprinted(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hashes, places = [], [], []
-            for i, text, path in zip(*(b.column(c).to_pylist() for c in ("id", "text", "path"))):
-                tokens = tokens_of(text, path)
-                series = np.array([run_hash(tokens[a : a + k]) for a in range(len(tokens) - k + 1)], np.int64)
-                for at in winnow(series, window):
+            for i, *x in zip(*(b.column(c).to_pylist() for c in ("id", *_TEXT_COLUMNS))):
+                for h, at in _picked(_tokens(*x), k, window):
                     ids.append(i)
-                    hashes.append(int(series[at]))
+                    hashes.append(h)
                     places.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], ["canonical_id", "hash", "token_ordinal"])
 
@@ -127,9 +175,8 @@ def _fingerprinted(k: int, window: int):
 
 
 def fingerprints(symbols: DataFrame, k: int = KGRAM, window: int = WINDOW) -> DataFrame:
-    """(canonical_id, hash, token_ordinal): picked runs of k tokens of each text."""
-    rows = symbols.where("canonical_id IS NOT NULL AND span_text IS NOT NULL").select(F.col("canonical_id").alias("id"), F.col("span_text").alias("text"), F.col("document_path").alias("path"))
-    return spread(rows).mapInArrow(_fingerprinted(k, window), "canonical_id string, hash long, token_ordinal int").distinct()
+    """(canonical_id, hash, token_ordinal): picked runs of k tokens of each text, contained symbols read as one token each."""
+    return spread(_texts(symbols)).mapInArrow(_fingerprinted(k, window), "canonical_id string, hash long, token_ordinal int").distinct()
 
 
 def clone_groups(keys: DataFrame) -> DataFrame:
@@ -188,19 +235,21 @@ def drop_contained(runs: DataFrame) -> DataFrame:
     return runs.groupBy("passage_a", "passage_b").applyInPandas(_skyline, runs.schema)
 
 
-def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM) -> list[tuple[int, int, int]]:
+def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM, shifts: Iterable[int] | None = None) -> list[tuple[int, int, int]]:
     """Longest runs (start in a, start in b, length) two token series share under a one-to-one renaming.
 
     Tokens are equal where their classes and, but for identifiers and literals,
     their spellings are; within a run the renaming of identifiers and of
     literals is one-to-one. Runs contained in another in both series are left out.
+    A boundary is in no run. Where ``shifts`` are given, only runs whose starts
+    differ by one of them are looked for.
     """
 
     def same(x: Token, y: Token) -> bool:
-        return x.kind == y.kind and (x.kind in (IDENTIFIER, LITERAL) or x.text == y.text)
+        return x.kind == y.kind != BOUNDARY and (x.kind in (IDENTIFIER, LITERAL) or x.text == y.text)
 
     found = []
-    for shift in range(-(len(b) - 1), len(a)):
+    for shift in range(-(len(b) - 1), len(a)) if shifts is None else sorted(set(shifts)):
         i, end = max(0, shift), min(len(a), len(b) + shift)
         start, there, back = i, {}, {}
         k = i
@@ -233,3 +282,59 @@ def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM) -> list[tupl
         if not any(x <= s and s + n <= x + m and y <= t and t + n <= y + m for x, y, m in kept):
             kept.append((s, t, n))
     return kept
+
+
+def _compared(k: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(2_000)
+        def read(text, path, start, end, contained):
+            tokens = _tokens(text, path, start, end, [dict(zip(("start", "end", "id"), c)) for c in contained])
+            places: dict[int, list[int]] = {}
+            for h, at in _picked(tokens, k, window):
+                places.setdefault(h, []).append(at)
+            return tokens, places, None if contained else clone_keys(tokens)[1]
+
+        def side(x: dict):
+            return read(*(x[c] for c in _TEXT_COLUMNS[:-1]), tuple((c["start"], c["end"], c["id"]) for c in x["contained"] or ()))
+
+        for batch in batches:
+            out: list[tuple] = []
+            for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("symbol_a", "symbol_b", "a", "b"))):
+                (a, at_a, key_a), (b, at_b, key_b) = side(x), side(y)
+                if key_a is not None and key_a == key_b:  # clones as a whole
+                    continue
+                shifts = {p - q for h in at_a.keys() & at_b.keys() for p in at_a[h] for q in at_b[h]}
+                for p, q, n in shared_runs(a, b, k + window - 1, shifts):
+                    out.append((i, j, True, p, q, n, all(t.text == u.text for t, u in zip(a[p : p + n], b[q : q + n]))))
+            yield pa.RecordBatch.from_pylist([dict(zip(_FRAGMENTS.names, r)) for r in out], schema=_FRAGMENTS)
+
+    return run
+
+
+_FRAGMENTS = pa.schema([("symbol_a", pa.string()), ("symbol_b", pa.string()), ("compared", pa.bool_()), ("a_start", pa.int32()), ("b_start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())])
+
+
+def fragment_clones(symbols: DataFrame, k: int = KGRAM, window: int = WINDOW, most: int = MOST_SEEDS, subject: str | None = None) -> DataFrame:
+    """(symbol_a, symbol_b, compared, a_start, b_start, length, exact): runs of tokens that two symbols share.
+
+    Pairs come from the fingerprints they share; one of more than ``most`` seeds
+    is named once with null runs. Every shared run of k + window - 1 tokens or
+    more is found, as its start in both token series; exact where it is spelled
+    alike. Symbols that are clones as a whole are no pair. With ``subject``, only
+    its own pairs, the subject as symbol_a. Without, the pairs of a corpus are up
+    to its symbols squared.
+    """
+    prints = fingerprints(symbols, k, window).withColumnRenamed("canonical_id", "passage_id")
+    if subject is None:
+        seeds = fragment_seeds(prints, most)
+    else:
+        per = prints.groupBy("hash", "passage_id").agg(F.count(F.lit(1)).alias("n"))
+        mine = per.where(F.col("passage_id") == subject).select("hash", F.col("passage_id").alias("passage_a"), F.col("n").alias("na"))
+        met = per.where(F.col("passage_id") != subject).join(mine, "hash").groupBy("passage_a", F.col("passage_id").alias("passage_b")).agg(F.sum(F.col("n") * F.col("na")).alias("seeds"))
+        seeds = met.withColumn("compared", F.col("seeds") <= most)
+    seeds = materialize(seeds.select(F.col("passage_a").alias("symbol_a"), F.col("passage_b").alias("symbol_b"), "compared"), "pairs")
+    texts = _texts(symbols).dropDuplicates(["id"]).select("id", F.struct(*_TEXT_COLUMNS).alias("t"))
+    pairs = seeds.where("compared").join(texts.toDF("symbol_a", "a"), "symbol_a").join(texts.toDF("symbol_b", "b"), "symbol_b")
+    found = pairs.mapInArrow(_compared(k, window), "symbol_a string, symbol_b string, compared boolean, a_start int, b_start int, length int, exact boolean")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("a_start", "int"), ("b_start", "int"), ("length", "int"), ("exact", "boolean"))]
+    return found.unionByName(seeds.where("NOT compared").select("symbol_a", "symbol_b", "compared", *none))

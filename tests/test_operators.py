@@ -190,6 +190,29 @@ def test_seeds_of_common_hashes(spark):
     assert all(r.compared == (r.seeds <= 4) for r in got) and not all(r.compared for r in got)
 
 
+def test_fragment_clones(spark):
+    from lodestrata.api import Index
+
+    shared = "".join(f"    {{0}}{k} = call{k}({{0}}{k}, {k})\n" for k in range(8))
+    one = "def one(x):\n" + shared.format("v") + "    return x\n"
+    two = "def two():\n    start()\n" + shared.format("w") + "    stop(9)\n"
+    inner = "def inner(y):\n" + shared.format("u").replace("    ", "        ") + "        return y + 1\n"
+    outer = "def outer():\n    é = 1\n    " + inner + "    return inner\n"
+    at = len(outer[: outer.index("def inner")].encode())
+    rows = [("w::one", "one", one, 0, len(one)), ("w::two", "two", two, 1000, 1000 + len(two)), ("w::outer", "outer", outer, 3000, 3000 + len(outer.encode())), ("w::inner", "inner", inner, 3000 + at, 3000 + at + len(inner)), ("w::same", "same", one.replace("one", "same"), 5000, 5003 + len(one))]
+    s = spark.createDataFrame([(i, n, t, "a.py", "w", "function", a, z) for i, n, t, a, z in rows], "canonical_id string, display_name string, span_text string, document_path string, workspace_id string, kind string, span_start long, span_end long")
+    keys = {r.canonical_id: r for r in clones.keyed(s).collect()}
+    assert keys["w::outer"].substitution_key is None and keys["w::outer"].token_count == 11 and keys["w::inner"].substitution_key
+    found = clones.fragment_clones(s).collect()
+    assert {(r.symbol_a, r.symbol_b) for r in found} == {("w::inner", "w::one"), ("w::inner", "w::two"), ("w::inner", "w::same"), ("w::one", "w::two"), ("w::same", "w::two")}
+    run = next(r for r in found if (r.symbol_a, r.symbol_b) == ("w::one", "w::two"))
+    assert (run.compared, run.a_start, run.b_start, run.exact) == (True, 6, 8, False) and run.length >= 64
+    guarded = clones.fragment_clones(s, most=0).collect()
+    assert len(guarded) >= 5 and all(not r.compared and r.length is None for r in guarded)
+    mine = Index(s.withColumns({c: F.lit(None).cast("string") for c in ("signature_text", "test_rule")}).withColumn("class", F.lit("in_workspace")), None).fragments("w::two")
+    assert {(r.symbol_a, r.symbol_b) for r in mine.rows.collect()} == {("w::two", x) for x in ("w::one", "w::inner", "w::same")}
+
+
 def test_skyline(spark):
     rows = [("p", "q", 0, 0, 10), ("p", "q", 2, 2, 4), ("p", "q", 2, 9, 4), ("p", "q", 8, 8, 4), ("p", "q", 0, 0, 10)]
     got = clones.drop_contained(spark.createDataFrame(rows, "passage_a string, passage_b string, a_start int, b_start int, length int")).collect()
