@@ -14,6 +14,8 @@ from lodestrata.operators import clones, graph, impact, intervals, resolution, r
 
 #: What a call gives out unless told otherwise (fixed values).
 LIMIT, GET_LINES, LIST_LINES, IMPACT_DEPTH = 25, 100, 10, 1
+#: As many ranks as there can be.
+EVERY = 2**31 - 1
 DETAILS = ("location", "signature", "interface", "body")
 RELATIONS = ("containers", "contains", "references", "dependents", "importers", "implementers", "implements", "tests")
 
@@ -90,17 +92,21 @@ class Index:
             rows = edge(kinds, a, b).orderBy("node")
         return Answer("empty" if rows.isEmpty() else "found", rows)
 
-    def search(self, text: str, limit: int = LIMIT, vectors: DataFrame | None = None) -> DataFrame:
-        """Passages by BM25, fused with ``vectors`` (query 0, id, rank) where given."""
+    def _ranking(self, text: str, vectors: DataFrame | None = None) -> DataFrame:
+        """(symbol_id, place) of every passage that matches."""
         spark = self.symbols.sparkSession
         index = retrieval.postings(self.passages.dropDuplicates(["id"]), "id", "render")
         asked = spark.createDataFrame([(text,)], "t string").select(F.lit(0).alias("query"), F.explode(tx.split_words(F.col("t"))).alias("word"))
         scored = retrieval.bm25(index, "id", asked, retrieval.corpus_totals(index, "id"))
-        signals = [retrieval.ranked(scored, "query", "id", F.col("score").desc(), retrieval.MOST_NEIGHBOURS), *([vectors] if vectors is not None else [])]
-        return retrieval.fuse(*signals).where(F.col("place") <= limit).join(self.passages.dropDuplicates(["id"]), "id").orderBy("place").select("symbol_id", "place")
+        signals = [retrieval.ranked(scored, "query", "id", F.col("score").desc(), EVERY), *([vectors] if vectors is not None else [])]
+        return retrieval.fuse(*signals).join(self.passages.select("id", "symbol_id").dropDuplicates(["id"]), "id").select("symbol_id", "place")
+
+    def search(self, text: str, limit: int = LIMIT, vectors: DataFrame | None = None) -> DataFrame:
+        """Passages by BM25, fused with ``vectors`` (query 0, id, rank) where given."""
+        return self._ranking(text, vectors).where(F.col("place") <= limit).orderBy("place")
 
     def similar(self, reference: str, limit: int = LIMIT, without: list[str] | None = None) -> Answer:
-        """Symbols whose passages are like the subject's, with how they are related to it."""
+        """Symbols whose passages are like the subject's, with how they are related to it; those with labels in ``without`` are left out of the whole ranking, before the limit."""
         got = self._resolved(reference)
         if got.outcome != "found":
             return got
@@ -108,7 +114,7 @@ class Index:
         own = self.passages.where(F.col("symbol_id") == name).first()
         if own is None:
             return Answer("not_comparable")
-        rows = self.search(own.render, 4 * limit + 1).where(F.col("symbol_id") != name)
+        rows = self._ranking(own.render).where(F.col("symbol_id") != name)
         pairs = rows.select(F.lit(name).alias("subject"), F.col("symbol_id").alias("candidate"))
         labels = similarity.exclude(similarity.labelled(pairs, self.edges, self.symbols), without or [])
         return Answer("found", labels.join(rows.withColumnRenamed("symbol_id", "candidate"), "candidate").orderBy("place").limit(limit))

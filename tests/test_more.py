@@ -113,6 +113,15 @@ def test_index(spark):
     assert F is not None
 
 
+def test_similar_excludes_before_the_limit(spark):
+    names = ["f", *(f"u{k:03}" for k in range(40)), "x", "y", "z"]
+    s = spark.createDataFrame([(f"w::{n}", n, "function", "in_workspace", "w", "a.py", None) for n in names], "canonical_id string, display_name string, kind string, class string, workspace_id string, document_path string, test_rule string")
+    e = spark.createDataFrame([("uses", f"w::{n}", "w::f") for n in names if n[0] == "u"], "kind string, src string, dst string")
+    p = spark.createDataFrame([(k, f"w::{n}", "adds two numbers" if n[0] in "fu" else "adds " + "other words " * k) for k, n in enumerate(names)], "id long, symbol_id string, render string")
+    rows = Index(s, e, None, p).similar("f", 2, ["uses_subject"]).rows.collect()
+    assert [r.candidate for r in rows] == ["w::x", "w::y"]
+
+
 def test_twins_by_unit_and_scope(spark):
     from lodestrata.operators import alignment
 
