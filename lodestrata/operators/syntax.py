@@ -57,7 +57,7 @@ def _python_facts(text: str) -> list[tuple]:
             a, z = span(f)
             if isinstance(f, ast.Attribute):
                 p, q = span(f.value)
-                out.append(("call", f.attr, text[p:q][:200], z - len(f.attr), z, *span(n)))
+                out.append(("call", f.attr, text[p:q], z - len(f.attr), z, *span(n)))
             elif isinstance(f, ast.Name):
                 out.append(("call", f.id, None, a, z, *span(n)))
         elif isinstance(n, (ast.Import, ast.ImportFrom)):

@@ -122,6 +122,14 @@ def test_similar_excludes_before_the_limit(spark):
     assert [r.candidate for r in rows] == ["w::x", "w::y"]
 
 
+def test_long_receivers(spark):
+    from lodestrata.operators import syntax
+
+    receiver = "a" + ".where(b)" * 50
+    rows = syntax.extract(spark.createDataFrame([("a.py", f"{receiver}.count()\n")], "document_path string, text string")).where("fact = 'call' AND name = 'count'").collect()
+    assert [r.detail for r in rows] == [receiver]
+
+
 def test_twins_by_unit_and_scope(spark):
     from lodestrata.operators import alignment
 
