@@ -88,57 +88,108 @@ def _any(words: list[str]) -> str:
 _TERMS = r".!?؟।॥。！？｡…"
 
 
-def _masked(block: Column) -> Column:
-    """The block with placeholders for all marks that end no sentence."""
-    r = F.regexp_replace
-    w = block
-    # an item's number, decimals, and dots inside names, paths and addresses
-    w = r(w, r"^([ \t]*\d{1,9})\.", f"$1{_DOT}")
-    w = r(w, r"\.(?=\d)(?<=\d\.)", _DOT)
-    w = r(w, r"\.(?=\S)(?<=[/@:_~]\.)|\.(?=(?:[_/]|[\p{Ll}\d][^\s/@_]{0,200}+[/@_])|\p{Ll}{1,4}\b)(?<=[\p{L}\d_)]\.)", _DOT)
-    # Each rule starts at the dot and looks back from there, so that text without dots costs nothing.
+def _holds(column: Column, *marks: str) -> Column:
+    """Whether any of the marks (or, for a lone range, its UTF-8 prefix) occurs; a search of bytes, far cheaper than a pattern."""
+    out = column.contains(marks[0])
+    for m in marks[1:]:
+        out = out | column.contains(m)
+    return out
+
+
+def _holds_bytes(column: Column, *prefixes: bytes) -> Column:
+    """Whether any of the byte strings occurs in the text's UTF-8 form."""
+    raw = column.cast("binary")
+    out = F.contains(raw, F.lit(prefixes[0]))
+    for x in prefixes[1:]:
+        out = out | F.contains(raw, F.lit(x))
+    return out
+
+
+_BEFORE = r"(?<![\p{L}\d_])"
+#: What makes a full stop no end of a sentence; each rule looks around from behind the dot.
+_DOT_RULES = [
+    # decimals, and dots inside names, paths and addresses
+    r"(?=\d)(?<=\d\.)",
+    r"(?=\S)(?<=[/@:_~]\.)",
+    r"(?=[_/]|[\p{Ll}\d][^\s/@_]*+[/@_]|\p{Ll}{1,4}\b)(?<=[\p{L}\d_)]\.)",
     # initials
-    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])\p{{Lu}}\.)(?={_WS}*{_CF}\p{{Lu}}|{_WS}+{_CF}[\p{{L}}\p{{N}}`])", _DOT)
+    rf"(?<={_BEFORE}\p{{Lu}}\.)(?={_WS}*{_CF}\p{{Lu}}|{_WS}+{_CF}[\p{{L}}\p{{N}}`])",
     # abbreviations of several parts
-    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]|a\.k|[ei])\.)(?={_WS}?(?:[BThaäеэ]|ex|ej|[дп]|g)[.{_DOT}])", _DOT)
-    w = r(w, rf"\.(?<=(?<![\p{{L}}\d_])(?:[zZdDuUтТpPНн]{_DOT}{_WS}?(?:[BThaäеэ]|ex|ej)|a[.{_DOT}]k{_DOT}a|[ei]{_DOT}[ge]|c[.{_DOT}]-à-d)\.)", _DOT)
-    w = r(w, r"\.(?<=(?<![\p{L}\d_])(?:n\.(?=[ºª°])|c\.(?=-à-d)))", _DOT)
-    w = r(w, rf"\.(?={_WS}?UU\.)(?<=(?<![\p{{L}}\d_])EE\.)", _DOT)
-    w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(NEVER)}|M)\.)", _DOT)
-    w = r(w, rf"\.(?={_WS}*{_SKIP}[\d№#(])(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(BEFORE_NUMBER)})\.)", _DOT)
-    w = r(w, rf"\.(?={_WS})(?<=(?<![\p{{L}}\d_]|\d{_WS})г\.)", _DOT)
-    # German ordinals and dates
-    w = r(w, rf"\.(?={_WS}+\p{{L}})(?<=\d\.)(?<=(?<![\p{{L}}\d_])(?:{_any(ORDINALS)}){_WS}{{1,3}}[\d,{_DOT}]{{1,24}}\.)", _DOT)
-    w = r(w, rf"\.(?={_WS}+(?:{_any(MONTHS)})\b)(?<=\d\.)", _DOT)
-    return w
-
-
-def _paired(w: Column) -> Column:
-    """Quotations and brackets marked by their part in the sentence."""
-    r = F.regexp_replace
+    rf"(?<={_BEFORE}(?:[zZdDuUтТpPНн]|a\.k|[ei])\.)(?={_WS}?(?:[BThaäеэ]|ex|ej|[дп]|g)\.)",
+    rf"(?<={_BEFORE}(?:[zZdDuUтТpPНн]\.{_WS}?(?:[BThaäеэ]|ex|ej)|a\.k\.a|[ei]\.[ge]|c\.-à-d)\.)",
+    rf"(?=[ºª°])(?<={_BEFORE}n\.)|(?=-à-d)(?<={_BEFORE}c\.)",
+    rf"(?={_WS}?UU\.)(?<={_BEFORE}EE\.)",
+    rf"(?={_WS})(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(NEVER)}|M)\.)",
+    rf"(?={_WS}*{_SKIP}[\d№#(])(?<=(?<![\p{{L}}\p{{M}}\d_])(?:{_any(BEFORE_NUMBER)})\.)",
+    rf"(?={_WS})(?<=(?<![\p{{L}}\d_]|\d{_WS})г\.)",
+    # German ordinals (with their lists, of 24 characters at most) and dates
+    rf"(?={_WS}+\p{{L}})(?<=\d\.)(?<={_BEFORE}(?:{_any(ORDINALS)}){_WS}{{1,3}}[\d,.]{{1,24}}\.)",
+    rf"(?={_WS}+(?:{_any(MONTHS)})\b)(?<=\d\.)",
+]
+#: A dot to be masked: that of an item's number (kept in group 1), or one by any of the rules.
+_DOTS = rf"^([ \t]*\d{{1,9}})\.|\.(?:{'|'.join(_DOT_RULES)})"
+
+
+#: Runs of characters no step looks for, script by script (a class of one range is tested far faster than one of many
+#: members); what is left of a block without them tells which steps it needs.
+_TOLD = r"[\x00-\x20#-&*-\-/-9;->@-~]++|[À-ԯ]++|[ؠ-ۓ]++|[ऄ-ॣ]++|[぀-ヿ]++|[一-鿿]++"
+
+
+def _masked(block: Column, told: Column) -> Column:
+    """The block with a placeholder for each full stop that ends no sentence."""
+    return F.when(_holds(told, "."), F.regexp_replace(block, _DOTS, f"$1{_DOT}")).otherwise(block)
+
+
+def _pair_steps() -> list[tuple[list[str], list[str], str, str]]:
+    """(marks of which one occurs, and of which one occurs too, pattern, replacement), in order."""
+    out = []
     for k, (opened, closed) in enumerate(_QUOTED):
         if opened == closed or opened == "‘":
             # the same sign is an apostrophe elsewhere
-            body = rf"{opened}(?<![\p{{L}}\d]{opened})(?=\S)([^{opened}{closed}\n]{{1,1000}}?)(?<=\S){closed}(?![\p{{L}}\d])" if opened != '"' else r'"(?<![\p{L}\d]")(?=\S)([^"]{1,1000}+)(?<=\S)"(?![\p{L}\d])'
-            w = r(w, body, f"{_OPENS[k]}$1{_CLOSES[k]}")
+            inner = f"{opened}{closed}" + r"\n" * (opened != '"')
+            body = rf"{opened}(?<![\p{{L}}\d]{opened})(?=\S)([^{inner}]++)(?<=\S){closed}(?![\p{{L}}\d])"
+            out.append(([opened], [closed], body, f"{_OPENS[k]}$1{_CLOSES[k]}"))
             continue
-        w = r(w, rf"([:：]{_WS}*){opened}([^{opened}{closed}{_OPEN}{_CLOSE}]{{1,1000}}+){closed}", f"$1{_SAIDS[k]}$2{_UNSAIDS[k]}")
-        w = r(w, rf"{opened}([^{opened}{closed}]{{1,1000}}+){closed}", f"{_OPENS[k]}$1{_CLOSES[k]}")
+        out.append(([":", "："], [opened], rf"([:：]{_WS}*){opened}([^{opened}{closed}{_OPEN}{_CLOSE}]++){closed}", f"$1{_SAIDS[k]}$2{_UNSAIDS[k]}"))
+        out.append(([opened], [closed], rf"{opened}([^{opened}{closed}]++){closed}", f"{_OPENS[k]}$1{_CLOSES[k]}"))
     # brackets: those that hold a whole sentence by themselves, then all others
     for k, (opened, closed) in enumerate(_BRACKETS):
         body = rf"[^{_FULL_IN}()（）]"
-        w = r(w, rf"[{opened}](?<=(?:^{_WS}{{0,8}}(?:{_ITEM}{_WS}{{0,4}})?|[{_TERMS}{_CLOSE}{_UNSAID}{_FULL_OUT}]{_WS}{{1,4}}|[。！？{_UNSAID}{_FULL_OUT}])[{opened}])({body}{{1,1000}}+)(?<=[{_TERMS}])[{closed}]", f"{_FULL_INS[k]}$1{_FULL_OUTS[k]}")
-        w = r(w, rf"[{opened}]([^()（）]{{0,1000}}+)[{closed}]", f"{_INS[k]}$1{_OUTS[k]}")
-    return w
+        out.append(([opened], [closed], rf"[{opened}](?<=(?:^{_WS}{{0,8}}(?:{_ITEM}{_WS}{{0,4}})?|[{_TERMS}{_CLOSE}{_UNSAID}{_FULL_OUT}]{_WS}{{1,4}}|[。！？{_UNSAID}{_FULL_OUT}])[{opened}])({body}++)(?<=[{_TERMS}])[{closed}]", f"{_FULL_INS[k]}$1{_FULL_OUTS[k]}"))
+        out.append(([opened], [closed], rf"[{opened}]([^()（）]*+)[{closed}]", f"{_INS[k]}$1{_OUTS[k]}"))
+    return out
+
+
+def _stepped(df: DataFrame, column: str, told: str, steps) -> DataFrame:
+    """``column`` put through the steps one after another, each only where ``told`` has its marks.
 
+    Every step is a projection of its own, so no long expression is written out twice.
+    """
+    others = [c for c in df.columns if c != column]
+    for some, too, pattern, replacement in steps:
+        c = F.col(column)
+        df = df.select(*others, F.when(_holds(F.col(told), *some) & _holds(F.col(told), *too), F.regexp_replace(c, pattern, replacement)).otherwise(c).alias(column))
+    return df
+
+
+_BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _inside(w: Column, borders: str, closing: str) -> Column:
+    """Marks inside quotations (or brackets) masked, but for the last before their end.
+
+    The text is taken apart into runs without ``borders``; a run that ends with
+    one of ``closing`` lies inside.
+    """
+    runs = F.regexp_extract_all(w, F.lit(rf"[^{borders}]++[{closing}]?|[{borders}]"), F.lit(0))
+    paired = "".join(_OPENS + _SAIDS + _CLOSES + _UNSAIDS + _INS + _OUTS + _FULL_INS + _FULL_OUTS)
+
+    def one(run: Column) -> Column:
+        kept = F.length(F.rtrim(run, F.lit(_BLANKS + paired)))
+        masked = F.concat(F.translate(F.substring(run, F.lit(1), kept - 1), _MARKS, "".join(_MASK.values())), F.substring(run, F.greatest(kept, F.lit(1)), F.length(run)))
+        return F.when(F.substring(run, -1, 1).rlike(f"[{closing}]") & (kept > 1), masked).otherwise(run)
 
-def _inside(w: Column, brackets: bool) -> Column:
-    """Marks inside quotations (or brackets) masked, but for the last before their end."""
-    inside = rf"(?={_WS}*+[^{_PAIRED}][^{_QUOTE}]{{0,1000}}+[{_CLOSE}{_UNSAID}])"
-    within = rf"(?={_WS}*+[^{_PAIRED}][^\uE060-\uE067]{{0,1000}}+[{_OUT}{_FULL_OUT}])"
-    for mark in _MARKS:
-        w = F.regexp_replace(w, rf"[{mark}]{within if brackets else inside}", _MASK[mark])
-    return w
+    return F.array_join(F.transform(runs, one), "")
 
 
 #: What a new sentence may start with: no lower-case word, unless it is a name out of code.
@@ -148,43 +199,68 @@ _LETTERS = r"[\p{Lo}\p{Lm}]"
 _THAI = r"[\u0E01-\u0E3A\u0E40-\u0E4E]"
 
 
-def _cut(masked: Column) -> Column:
-    """The masked block with a cut behind the last character of each sentence."""
-    r = F.regexp_replace
-    w = masked
-    # white space, then a start; a quotation's end asks for more than a letter without case
+def _ends() -> tuple[str, str, str]:
+    """Patterns whose match ends with a sentence's last character: for blanks between sentences, for scripts without, for Thai."""
+    # a quotation's end asks for more than a letter without case
     quote, bracket = rf"{_WS}?[{_CLOSE}{_UNSAID}]", f"[{_OUT}]"
-    w = r(w, rf"([.!?؟।॥…]++(?:{quote}|{bracket})++)(?={_CF}{_WS}+{_SKIP}{_STARTS})", f"$1{_CUT}")
-    w = r(w, rf"([.!?؟।॥…]+[{_FULL_OUT}])", f"$1{_CUT}")
-    w = r(w, rf"((?:[!?؟।॥]|(?<![.…])\.(?![.…]))++[)\]*_]*)(?={_CF}{_WS}+{_SKIP}(?:{_STARTS}|{_LETTERS}))", f"$1{_CUT}")
-    w = r(w, rf"((?:\.{{2,}}|…)[.…!?]*)(?={_CF}{_WS}+{_SKIP}{_STARTS})", f"$1{_CUT}")
-    # no blank behind the full stop
-    w = r(w, rf"(\.)(?=\p{{Lu}}\p{{Ll}}+ )(?<=\p{{Ll}}{{2}}\.)", f"$1{_CUT}")
-    # scripts without blanks
-    w = r(w, rf"([。！？｡][。！？｡!?]*+)(?![{_CLOSE}{_UNSAID}{_OUT}{_FULL_OUT}])", f"$1{_CUT}")
-    w = r(w, rf"([。！？｡]+[{_FULL_OUT}])", f"$1{_CUT}")
-    w = r(w, rf"([。！？｡]+[{_UNSAID}])(?![，、,とっ])", f"$1{_CUT}")
-    w = r(w, rf"([。！？｡]+[{_CLOSE}])(?={_WS}*[{_OPEN}{_SAID}{_FULL_IN}])", f"$1{_CUT}")
-    # Thai: a blank between two letters
-    return r(w, rf"(?<={_THAI})(?=[ \t\xa0]+{_THAI})", _CUT)
+    spaced = [
+        rf"[.!?؟।॥…]++(?:{quote}|{bracket})++(?={_CF}{_WS}+{_SKIP}{_STARTS})",
+        rf"[.!?؟।॥…]+[{_FULL_OUT}]",
+        rf"(?:[!?؟।॥]|(?<![.…])\.(?![.…]))++[)\]*_]*(?={_CF}{_WS}+{_SKIP}(?:{_STARTS}|{_LETTERS}))",
+        rf"(?:\.{{2,}}|…)[.…!?]*(?={_CF}{_WS}+{_SKIP}{_STARTS})",
+        # no blank behind the full stop
+        r"\.(?=\p{Lu}\p{Ll}+ )(?<=\p{Ll}{2}\.)",
+    ]
+    close = [
+        rf"[。！？｡]+[{_FULL_OUT}]",
+        rf"[。！？｡]+[{_UNSAID}](?![，、,とっ])",
+        rf"[。！？｡]+[{_CLOSE}](?={_WS}*[{_OPEN}{_SAID}{_FULL_IN}])",
+        rf"[。！？｡][。！？｡!?]*+(?![{_CLOSE}{_UNSAID}{_OUT}{_FULL_OUT}])",
+    ]
+    return rf"({'|'.join(spaced)})", rf"(?=[。！？｡])({'|'.join(close)})", rf"(?<={_THAI})(?=[ \t\xa0]+{_THAI})"
+
+
+def _cut(df: DataFrame, column: str, told: str) -> DataFrame:
+    """``column`` with a cut behind the last character of each sentence."""
+    others = [c for c in df.columns if c != column]
+    spaced, close, thai = _ends()
+    many, ascii_ = _holds(F.col(told), *"؟।॥…"), _holds(F.col(told), *".!?")
+    steps = [
+        (many, f"(?=[.!?؟।॥…]){spaced}", f"$1{_CUT}"),
+        (~many & ascii_, f"(?=[.!?]){spaced}", f"$1{_CUT}"),
+        (_holds(F.col(told), *"。！？｡"), close, f"$1{_CUT}"),
+        (_holds_bytes(F.col(told), b"\xe0\xb8", b"\xe0\xb9"), thai, _CUT),
+    ]
+    for gate, pattern, replacement in steps:
+        c = F.col(column)
+        df = df.select(*others, F.when(gate, F.regexp_replace(c, pattern, replacement)).otherwise(c).alias(column))
+    return df
+
+
+#: The placeholders' own places, and where characters of a text that lie there wait meanwhile: a plane without any character.
+_TAKEN = "".join(chr(0xE000 + k) for k in range(256))
+_ASIDE = "".join(chr(0xB0000 + k) for k in range(256))
 
 
 def sentence_pieces(documents: DataFrame) -> DataFrame:
     """(doc_id, block_no, piece_no, piece): masked pieces that together make up each text."""
-    clean = F.regexp_replace("text", r"[\uE000-\uE0FF]", "�")
+    taken = _holds_bytes(F.col("text"), b"\xee\x80", b"\xee\x81", b"\xee\x82", b"\xee\x83")
+    clean = F.when(taken, F.translate("text", _TAKEN, _ASIDE)).otherwise(F.col("text"))
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")).select("doc_id", clean.alias("text"))
     blocks = spread(texts).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(BLOCKS), F.lit(0))).alias("block_no", "block"))
     whole = F.col("block").rlike(rf"^(?:{_FENCE}|{_HEAD})")
-    plain = whole | ~F.col("block").rlike(rf"[{_TERMS}]|{_THAI}")
-    masked = blocks.select("doc_id", "block_no", "block", F.when(~plain, _masked(F.col("block"))).alias("masked"))
-    quoted = F.col("block").rlike(r"[„“”«»‹›「」『』\"‘'(（]")
-    # one step a column: none of these long expressions is written out twice
-    paired = masked.select("doc_id", "block_no", "block", F.when(quoted, _paired(F.col("masked"))).otherwise(F.col("masked")).alias("masked"))
-    for brackets, closed in ((False, f"[{_CLOSE}{_UNSAID}]"), (True, f"[{_OUT}{_FULL_OUT}]")):
-        held = F.col("masked").rlike(closed)
-        paired = paired.select("doc_id", "block_no", "block", F.when(held, _inside(F.col("masked"), brackets)).otherwise(F.col("masked")).alias("masked"))
-    worked = paired.select("doc_id", "block_no", F.coalesce(_cut(F.col("masked")), "block").alias("worked"))
-    return worked.select("doc_id", "block_no", F.posexplode(F.split("worked", _CUT, -1)).alias("piece_no", "piece"))
+    told = blocks.select("doc_id", "block_no", "block", F.when(~whole, F.regexp_replace("block", _TOLD, "")).alias("told"))
+    works = F.col("told").rlike(rf"[{_TERMS}]|{_THAI}")
+    # A block that is one piece has nothing to work on; null passes through all steps at no cost.
+    worked = told.select("doc_id", "block_no", F.when(works, F.lit(None)).otherwise(F.col("block")).alias("as_is"), F.when(works, F.col("told")).alias("told"), F.when(works, F.col("block")).alias("w"))
+    worked = worked.select("doc_id", "block_no", "as_is", "told", _masked(F.col("w"), F.col("told")).alias("w"))
+    worked = _stepped(worked, "w", "told", _pair_steps())
+    for borders, closing, closes in ((_QUOTE, _CLOSE + _UNSAID, "”»›」』\"'’“«"), (r"\uE060-\uE067", _OUT + _FULL_OUT, ")）")):
+        # a mark inside that isn't the last
+        held = _holds(F.col("told"), *closes) & _holds_bytes(F.col("w"), b"\xee\x80", b"\xee\x81") & F.col("w").rlike(rf"[{_MARKS}](?={_WS}*+[^{_PAIRED}])[^{borders}]*+[{closing}]")
+        worked = worked.select("doc_id", "block_no", "as_is", "told", F.when(held, _inside(F.col("w"), borders, closing)).otherwise(F.col("w")).alias("w"))
+    worked = _cut(worked, "w", "told")
+    return worked.select("doc_id", "block_no", F.posexplode(F.when(F.col("as_is").isNull(), F.split("w", _CUT, -1)).otherwise(F.array("as_is"))).alias("piece_no", "piece"))
 
 
 def sentences(documents: DataFrame, with_text: bool = True) -> DataFrame:
@@ -193,20 +269,23 @@ def sentences(documents: DataFrame, with_text: bool = True) -> DataFrame:
     Places count characters (code points); end_char is the number of characters
     up to and with the sentence's last. Null and blank texts have no sentence.
     The rules follow the scripts in the text; the document's own language code
-    is not asked. Private-use characters U+E000 to U+E0FF stand for others in
-    the sentence's text. doc_id is taken to be unique; extra columns are ignored.
+    is not asked. Quotations and brackets are paired within their block at any
+    length. Private-use characters in a text come back unchanged; characters
+    U+B0000 to U+B00FF, which Unicode doesn't assign, come back as private-use
+    ones. doc_id is taken to be unique; extra columns are ignored.
     """
     edge = r"[\s\x1c-\x1f\x85\p{Z}]"
-    size = F.length("piece")
-    rows = sentence_pieces(documents).select("doc_id", "block_no", "piece_no", size.alias("size"), F.length(F.regexp_replace("piece", rf"{edge}++\z", "")).alias("kept"), F.length(F.regexp_replace("piece", rf"^{edge}++", "")).alias("from_start"), *([F.col("piece")] if with_text else []))
+    pieces = sentence_pieces(documents).select("doc_id", "block_no", "piece_no", F.length("piece").alias("size"), _restored(F.col("piece")).alias("piece"))
+    # only the last piece of a block ends with blanks, only those behind another start with them
+    ended = pieces.select("doc_id", "block_no", "piece_no", "size", F.when(F.substring("piece", -1, 1).rlike(edge), F.regexp_replace("piece", rf"{edge}++\z", "")).otherwise(F.col("piece")).alias("piece"))
+    rows = ended.select("doc_id", "block_no", "piece_no", "size", F.length("piece").alias("kept"), F.when(F.substring("piece", 1, 1).rlike(edge), F.regexp_replace("piece", rf"^{edge}++", "")).otherwise(F.col("piece")).alias("sentence"))
+    rows = rows.select("doc_id", "block_no", "piece_no", "size", "kept", F.length("sentence").alias("length"), *(["sentence"] if with_text else []))
     w = Window.partitionBy("doc_id").orderBy("block_no", "piece_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where("kept > 0")
-    out = [F.col("doc_id"), (F.col("before") + F.col("size") - F.col("from_start")).cast("bigint").alias("start_char"), (F.col("before") + F.col("kept")).cast("bigint").alias("end_char")]
-    if with_text:
-        out.append(_restored(F.regexp_replace(F.regexp_replace("piece", rf"{edge}++\z", ""), rf"^{edge}++", "")).alias("sentence"))
-    return placed.select(*out)
+    return placed.select("doc_id", (F.col("before") + F.col("kept") - F.col("length")).cast("bigint").alias("start_char"), (F.col("before") + F.col("kept")).cast("bigint").alias("end_char"), *(["sentence"] if with_text else []))
 
 
 def _restored(piece: Column) -> Column:
-    """Placeholders back to the marks they stand for."""
-    return F.translate(piece, "".join(_BACK), "".join(_BACK.values()))
+    """Placeholders back to the marks they stand for, and characters set aside back to their places."""
+    masked = _holds_bytes(piece, b"\xee\x80", b"\xee\x81", b"\xf2\xb0")
+    return F.when(masked, F.translate(piece, "".join(_BACK) + _ASIDE, "".join(_BACK.values()) + _TAKEN)).otherwise(piece)

@@ -340,3 +340,22 @@ def test_sentences_odd(spark):
     got = collections.Counter(r.doc_id for r in sentences.sentences(df).collect())
     assert set(got) == {4, 5, 6} and got[6] == 1
     assert sentences.sentences(df.limit(0)).count() == 0
+
+
+def test_sentences_without_limits(spark):
+    """Long quotations and brackets stay whole; private-use characters come back."""
+    inner = "One two. Three four! " * 120
+    texts = {
+        1: f"He said “{inner.strip()}” and left. Then he went.",
+        2: f"A thing ({inner.strip()} at last) happened. Then it ended.",
+        3: "A \ue000 mark \ue0ff here. And \uf000 there (a\ue021. B) too. “One. Two,” he said.",
+        4: "Go to a.very." + "long" * 200 + ".host/x.html now. It works.",
+        5: "『" + "はい。" * 600 + "』と言った。次だ。",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = collections.defaultdict(list)
+    for r in sorted(sentences.sentences(df).collect(), key=lambda r: (r.doc_id, r.end_char)):
+        rows[r.doc_id].append(r)
+    for i, t in texts.items():
+        assert all(t[r.start_char : r.end_char] == r.sentence for r in rows[i]), i
+    assert {i: len(r) for i, r in rows.items()} == {1: 2, 2: 2, 3: 3, 4: 2, 5: 2}
