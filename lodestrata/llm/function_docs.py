@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,15 +12,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import peg
 from lodestrata.llm.lexing import WORD, block_end
-from lodestrata.llm.peg import absent, ahead, choice, many, maybe, rule, seq, terminal
+from lodestrata.llm.peg import ahead, brackets, choice, many, maybe, rule, seq, terminal
 from lodestrata.runtime import latest_per_key, spread
 
 #: Fewer different words than this, names and tag lines aside, are trivial.
 LEAST_WORDS = 6
 
-#: Frames a parse may take; brackets nested deeper than about a fifth of this are not parsed.
-DEEPEST = 50_000
-
 _LINES = re.compile(r"\r\n|\r|\n")
 
 
@@ -52,17 +48,14 @@ def _python() -> peg.Parser:
     comment = terminal(r"#[^\r\n]*")
     blanks = terminal(r"(?:[ \t\f]|\\\r?\n)*")
     space = rule(many(choice(terminal(r"(?:[ \t\f\r\n\ufeff]|\\\r?\n)+"), comment)))
-    nested = peg.Lazy()
-    inside = many(choice(terminal(r"[^()\[\]{}\"'#rRuUbBfFtT]+"), string, comment, nested, terminal(r"[rRuUbBfFtT][^\s()\[\]{}\"'#]*")))
-    nested.body = rule(choice(seq(terminal(r"\("), inside, terminal(r"\)")), seq(terminal(r"\["), inside, terminal(r"\]")), seq(terminal(r"\{"), inside, terminal(r"\}"))))
+    nested = brackets(terminal(r"[^()\[\]{}\"'#rRuUbBfFtT]+"), string, comment, terminal(r"[rRuUbBfFtT][^\s()\[\]{}\"'#]*"))
     rest_of_line = many(choice(terminal(r"[^()\[\]{}\"'#\r\nrRuUbBfFtT\\]+"), string, nested, terminal(r"\\\r?\n"), terminal(r"[rRuUbBfFtT\\][^\s()\[\]{}\"'#\\]*")))
     decorator = seq(terminal("@"), rest_of_line, maybe(comment), terminal(r"[\r\n]+"), space)
     annotation = many(choice(terminal(r"[^()\[\]{}\"'#:\r\nrRuUbBfFtT\\]+"), string, nested, terminal(r"\\\r?\n"), terminal(r"[rRuUbBfFtT\\][^\s()\[\]{}\"'#:\\]*")))
     name = rule(terminal(r"[^\W\d]\w*"))
     # the first statement: strings side by side, perhaps in parentheses, and nothing else
     strings = many(seq(string, blanks), 1)
-    bracketed = peg.Lazy()
-    bracketed.body = choice(seq(terminal(r"\("), space, choice(many(seq(string, space), 1), seq(bracketed, space)), terminal(r"\)"), blanks), strings)
+    bracketed = choice(_wrapped(many(seq(string, space), 1), space, blanks), strings)
     docstring = rule(seq(terminal(r"[ \t\f]*"), bracketed, ahead(choice(terminal(r"[;#\r\n]"), terminal(r"\Z")))), lambda s, a, b, v: (a, b, _doc_text(v)))
     newline = terminal(r"[ \t\f]*(?:#[^\r\n]*)?(?:\r\n|\r|\n)")
     empty = terminal(r"[ \t\f]*(?:#[^\r\n]*)?(?:\r\n|\r|\n)")
@@ -72,6 +65,27 @@ def _python() -> peg.Parser:
     return seq(space, many(decorator), maybe(seq(terminal(r"async\b"), space)), head, suite, rest)
 
 
+def _wrapped(body: peg.Parser, space: peg.Parser, blanks: peg.Parser) -> peg.Parser:
+    """``body`` within one or more parentheses, which are counted, not nested."""
+
+    def run(s: peg.State, i: int):
+        depth = 0
+        while s.text.startswith("(", i):
+            depth += 1
+            i = space(s, i + 1)[0]
+        got = body(s, i) if depth else None
+        if got is None:
+            return None
+        i, value = got
+        for k in range(depth):
+            if not s.text.startswith(")", i):
+                return None
+            i = (space if k < depth - 1 else blanks)(s, i + 1)[0]
+        return i, value
+
+    return run
+
+
 def _doc_text(value) -> str | None:
     """The text of the strings in a parse of ``docstring``; null if one is no plain string."""
     found: list[tuple[str, str]] = []
@@ -128,7 +142,7 @@ def _block_lines(s: peg.State, a: int, b: int, value) -> tuple[str, list[str]]:
     if not re.match(r"/\*\*(?![*/])", text):
         return "skip", []
     body = text[3:-2] if text.endswith("*/") else text[3:]
-    return "doc", [re.sub(r"^[ \t]*\*(?!\*)", "", x, count=1) if k else x for k, x in enumerate(_LINES.split(body))]
+    return "doc", [re.sub(r"^[ \t]*\*(?!\*)", "", x, count=1) for x in _LINES.split(body)]
 
 
 def _rust() -> peg.Parser:
@@ -141,9 +155,9 @@ def _rust() -> peg.Parser:
     block = rule(_block, _block_lines)
     string = rule(terminal(r'''r(?P<h>\#*)"[\s\S]*?"(?P=h)|"(?:[^"\\]|\\[\s\S])*+"'''), _rust_string)
     gap = many(choice(terminal(r"\s+"), line, block))
-    nested = peg.Lazy()
-    inside = many(choice(terminal(r"[^()\[\]{}\"'/r]+"), string, line, block, terminal(r"'(?:[^'\\\r\n]|\\.)'"), nested, terminal(r"['/r]")))
-    nested.body = rule(choice(seq(terminal(r"\("), inside, terminal(r"\)")), seq(terminal(r"\["), inside, terminal(r"\]")), seq(terminal(r"\{"), inside, terminal(r"\}"))))
+    parts = [terminal(r"[^()\[\]{}\"'/r]+"), string, line, block, terminal(r"'(?:[^'\\\r\n]|\\.)'"), terminal(r"['/r]")]
+    nested = brackets(*parts)
+    inside = many(choice(*parts, nested))
     opened = seq(terminal(r"#"), gap, terminal(r"\["), gap)
     doc_attr = rule(seq(opened, terminal(r"doc\b"), gap, terminal(r"="), gap, string, gap, terminal(r"\]")), lambda s, a, b, v: ("doc", _LINES.split(v[5])))
     attr = rule(seq(opened, inside, terminal(r"\]")), skipped)
@@ -204,10 +218,7 @@ def telling_words(lines: list[str], display_name: str | None) -> int:
 def pair_of(text: str, path: str, display_name: str | None, least: int = LEAST_WORDS) -> tuple[str, str] | None:
     """(code, description), or null where the function has no telling documentation."""
     language = path[-3:]
-    try:
-        got = parse_function(text, language)
-    except RecursionError:  # brackets thousands deep
-        return None
+    got = parse_function(text, language)
     if got is None or got[0] is None:
         return None
     lines, _, _, a, b = got
@@ -219,7 +230,6 @@ def pair_of(text: str, path: str, display_name: str | None, least: int = LEAST_W
 
 def _pairs(least: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for b in batches:
             code, words = [], []
             for text, path, name in zip(b.column("text").to_pylist(), b.column("path").to_pylist(), b.column("name").to_pylist()):
@@ -240,8 +250,8 @@ def documented_functions(symbols: DataFrame, least: int = LEAST_WORDS, with_text
 
     Result: canonical_id and, ``with_text``, signature_text, code (the source
     without its documentation) and description. Rows without id, text or a
-    ``.py``/``.rs`` path give none, nor does text with brackets thousands deep; a null display_name removes no words; text
-    that does not parse as a function has no documentation. Of a symbol
+    ``.py``/``.rs`` path give none; brackets may nest to any depth; a null
+    display_name removes no words; text that does not parse as a function has no documentation. Of a symbol
     delivered again the latest row holds. Extra columns are ignored.
     """
     wanted = F.lower(F.regexp_replace("kind", r"^\s+|\s+$", "")).isin("function", "method") & (F.col("class") == "in_workspace") & F.col("canonical_id").isNotNull() & F.col("span_text").isNotNull() & (F.col("document_path").endswith(".py") | F.col("document_path").endswith(".rs"))

@@ -48,14 +48,56 @@ def rule(body: Parser, action: Callable | None = None) -> Parser:
     return run
 
 
-class Lazy:
-    """A rule to be set later, for grammars that refer to themselves."""
+def brackets(*inside: Parser, pairs: str = "()[]{}") -> Parser:
+    """A bracket, what is inside, and the bracket that closes it; brackets inside likewise.
+
+    ``inside`` are the alternatives between brackets, tried in order; none of
+    them may match at a bracket. The rule refers to itself, so open brackets
+    are kept on a stack of its own: depth costs memory, never frames. Like
+    every rule it remembers its result by position, for each bracket it met.
+    """
+    key = object()
+    closing = dict(zip(pairs[::2], pairs[1::2]))
+    closers = set(closing.values())
 
-    def __init__(self):
-        self.body: Parser | None = None
+    def run(s: State, i: int):
+        if (key, i) in s.memo:
+            return s.memo[(key, i)]
+        text, n = s.text, len(s.text)
+        if i >= n or text[i] not in closing:
+            return None
+        stack = [i]
+        at = i + 1
+        while stack and at < n:
+            c = text[at]
+            if c in closing:
+                known = s.memo.get((key, at), s)
+                if known is None:
+                    break
+                if known is not s:
+                    at = known[0]
+                    continue
+                stack.append(at)
+                at += 1
+            elif c in closers:
+                if c != closing[text[stack[-1]]]:
+                    break
+                start = stack.pop()
+                at += 1
+                s.memo[(key, start)] = (at, (start, at))
+            else:
+                for part in inside:
+                    got = part(s, at)
+                    if got is not None and got[0] > at:
+                        at = got[0]
+                        break
+                else:
+                    break
+        for start in stack:
+            s.memo[(key, start)] = None
+        return s.memo[(key, i)]
 
-    def __call__(self, s: State, i: int):
-        return self.body(s, i)
+    return run
 
 
 def seq(*parts: Parser) -> Parser:

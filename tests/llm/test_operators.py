@@ -216,9 +216,10 @@ def test_documentation_agrees_with_the_language():
 
 
 def test_documented_functions(spark):
-    rows = [("a", f'def f():\n    """{LONG}"""\n', {"kind": " METHOD"}), ("a", f'def f():\n    """{LONG}"""\n', {"kind": " METHOD"}), ("b", f'def f():\n    """{LONG}"""\n', {"kind": "type"}), ("c", None), ("d", f'def f():\n    """{LONG}"""\n', {"document_path": None}), ("deep", "def f(a=" + "(" * 3000 + ")" * 3000 + f'):\n    """{LONG}"""\n'), ("long", f'def f():\n    """{LONG}"""\n' + "    x = 1\n" * 50_000), ("e", f'def f():\n    """{LONG}"""\n', {"class": "external"})]
+    rows = [("a", f'def f():\n    """{LONG}"""\n', {"kind": " METHOD"}), ("a", f'def f():\n    """{LONG}"""\n', {"kind": " METHOD"}), ("b", f'def f():\n    """{LONG}"""\n', {"kind": "type"}), ("c", None), ("d", f'def f():\n    """{LONG}"""\n', {"document_path": None}), ("deep", "def f(a=" + "(" * 30_000 + ")" * 30_000 + f'):\n    """{LONG}"""\n'), ("long", f'def f():\n    """{LONG}"""\n' + "    x = 1\n" * 50_000), ("e", f'def f():\n    """{LONG}"""\n', {"class": "external"})]
+    rows += [("rust", f"/** * {LONG} */ #[x" + "([" * 30_000 + "])" * 30_000 + "] fn f() {}", {"document_path": "a.rs"}), ("tag", f"/** * @param {LONG} */ fn f() {{}}", {"document_path": "a.rs"}), ("paren", "def f():\n    " + "(" * 30_000 + repr(LONG) + ")" * 30_000 + "\n")]
     got = function_docs.documented_functions(symbols(spark, rows)).collect()
-    assert sorted((r.canonical_id, r.description) for r in got) == [("a", LONG), ("deep", LONG), ("long", LONG)]
+    assert sorted((r.canonical_id, r.description) for r in got) == [("a", LONG), ("deep", LONG), ("long", LONG), ("paren", LONG), ("rust", LONG)]
     assert function_docs.documented_functions(symbols(spark, rows).limit(0)).count() == 0
 
 
