@@ -33,7 +33,7 @@ def p3_collapsed(spark, d):
 
 
 def p4_found(spark, d):
-    return function_docs.documented_functions(table(spark, d, "symbols"), with_text=False)
+    return function_docs.documented_functions(table(spark, d, "symbols")).select("canonical_id")
 
 
 def p4_pairs(spark, d):
@@ -41,8 +41,7 @@ def p4_pairs(spark, d):
 
 
 def p6_found(spark, d):
-    pieces = split_items.split_items(table(spark, d, "symbols"), table(spark, d, "index_metadata"), with_text=False, only_split=True)
-    return pieces.where("piece_no = 1").select("canonical_id")
+    return split_items.split_items(table(spark, d, "symbols"), table(spark, d, "index_metadata")).where("piece_no = 1").select("canonical_id")
 
 
 def p6_pieces(spark, d):
