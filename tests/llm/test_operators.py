@@ -256,9 +256,9 @@ def test_split_items(spark):
 # --- 7 -----------------------------------------------------------------------
 
 def test_encode(spark):
-    texts = ["Hello world's   12 x", "", None, "  \n\t ", "<|endoftext|> a", "नमस्ते ไทย 日本　語 \x1c\x85\xa0 \U0001e4d0ࡰa", "a" * 3000, "Hello world's   12 x", "can't \r\n\r\nwon't 'sd"]
+    texts = ["Hello world's   12 x", "", None, "  \n\t ", "<|endoftext|> a", "नमस्ते ไทย 日本　語 \x1c\x85\xa0 \U0001e4d0ࡰa", "a" * 3000, "Hello world's   12 x", "can't \r\n\r\nwon't 'sd", "a\U0010ffff b \U0010ffff\U0010fffe"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("known", F.lit(1))
-    t = encode._encoder(f"{encode.TOKENIZERS}/{encode.VOCABULARY}")
+    t = encode._encoder(encode._vocabulary(spark, f"{encode.TOKENIZERS}/{encode.VOCABULARY}"))
     for hot in (0, 3, 65_536):
         got = {r.doc_id: r.ids for r in encode.encode(df, most_hot=hot).collect()}
         assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
