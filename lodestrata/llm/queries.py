@@ -57,12 +57,16 @@ def p7_decoded(spark, d):
     return encode.decode(ids, encode.pieces(spark))
 
 
+#: Which of these tables' sources belong together.
+DOMAINS = {"docstring": "code", "commit_log": "code", "readme": "documents", "changelog": "documents", "design_note": "documents", "runbook": "documents", "issue": "discussion", "review": "discussion", "forum": "discussion", "transcript": "discussion", "eval_report": "reports"}
+
+
 def p8_mixture(spark, d):
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)[0]
 
 
 def p8_report(spark, d):
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)[1]
 
 
 def p9_found(spark, d):
