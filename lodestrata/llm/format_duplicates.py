@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.lexing import WORD, without_comments
-from lodestrata.runtime import latest_per_key, materialize, spread
+from lodestrata.runtime import broadcast_within, latest_per_key, materialize, spread
 
 #: A key with more members than this is hot: its rows are salted.
 HOT_MEMBERS = 50_000
 SALTS = 64
+#: Hot keys sent to all executors at most (16 bytes each); beyond that they are joined.
+MOST_HOT = 1_000_000
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +51,8 @@ def collapse(keyed: DataFrame, hot_members: int = HOT_MEMBERS, salts: int = SALT
     one shuffle on the key. ``keyed`` is read several times: pass a written table.
     """
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = counted.where(F.col("n") > hot_members).select("key")
+    # hot keys are at most the rows over hot_members: with them sent to all, no row of a hot key is shuffled before it has its salt
+    hot = broadcast_within(materialize(counted.where(F.col("n") > hot_members).select("key"), "hot-keys"), MOST_HOT)
     rest = keyed.join(hot, "key", "left_anti").groupBy("key").agg(F.min("id").alias("keeper_id"), F.count(F.lit(1)).alias("copies"))
     many = rest.where("copies > 1")
     out = keyed.join(many, "key").select("id", "keeper_id", "copies")

@@ -360,3 +360,13 @@ def test_sentences_without_limits(spark):
     for i, t in texts.items():
         assert all(t[r.start_char : r.end_char] == r.sentence for r in rows[i]), i
     assert {i: len(r) for i, r in rows.items()} == {1: 2, 2: 2, 3: 3, 4: 2, 5: 2}
+
+
+def test_hot_key_is_salted(spark):
+    """A key above the limit goes through two levels, with the same rows as one level gives."""
+    keyed = spark.range(6000).select(F.format_string("s%05d", "id").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).cast("binary").alias("key"))
+    from lodestrata.runtime import materialize
+
+    keyed = materialize(keyed, "keyed")
+    one, two = (sorted(map(tuple, format_duplicates.collapse(keyed, hot).collect())) for hot in (10**9, 100))
+    assert one == two and max(r[2] for r in one) == 2000
