@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.status import ALIGNMENT_RULES, JOIN_OUTCOMES, counted_by
+from lodestrata.runtime import materialize
 
 #: Operators and the methods they stand for (fixed values).
 OPERATORS = {
@@ -75,7 +76,7 @@ def accounts(aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counted_by(aligned.where("rule IS NOT NULL"), "rule", ALIGNMENT_RULES), counted_by(aligned, "outcome", JOIN_OUTCOMES)
 
 
-def select_twins(references: DataFrame, twins: DataFrame, parents: DataFrame, most_steps: int = 64) -> DataFrame:
+def select_twins(references: DataFrame, twins: DataFrame, parents: DataFrame) -> DataFrame:
     """(occurrence_id, symbol_id, outcome) of references to a descriptor that several documents define.
 
     Walks from the reference's document through parents (document, parent) to
@@ -86,9 +87,7 @@ def select_twins(references: DataFrame, twins: DataFrame, parents: DataFrame, mo
     per = twins.groupBy("descriptor", "document_path").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("symbol_id"))
     walking = references.select("occurrence_id", "descriptor", F.col("document_path").alias("at"), F.array("document_path").alias("seen"))
     done = None
-    from lodestrata.runtime import materialize
-
-    for _ in range(most_steps):
+    while True:
         looked = materialize(walking.join(per.withColumnRenamed("document_path", "at"), ["descriptor", "at"], "left"), "twins")
         hit = looked.where("n IS NOT NULL").select("occurrence_id", F.when(F.col("n") == 1, F.col("symbol_id")).alias("symbol_id"), F.when(F.col("n") == 1, "aligned").otherwise("duplicate_ambiguous").alias("outcome"))
         done = hit if done is None else done.unionByName(hit)

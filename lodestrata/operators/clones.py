@@ -10,7 +10,6 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,21 +217,57 @@ def fragment_seeds(fingerprint_rows: DataFrame, most: int = MOST_SEEDS, common:
     return pairs.select("passage_a", "passage_b", "seeds", (F.col("seeds") <= most).alias("compared"))
 
 
-def _skyline(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "a_start", "b_start"], ascending=[False, True, True], kind="stable")
-    kept: list[tuple[int, int, int]] = []
-    keep = []
-    for a, b, n in zip(pdf["a_start"], pdf["b_start"], pdf["length"]):
-        inside = any(x <= a and a + n <= x + m and y <= b and b + n <= y + m for x, y, m in kept)
-        keep.append(not inside)
-        if not inside:
-            kept.append((a, b, n))
-    return pdf[keep]
+def _outer_runs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which runs of one pair lie in no longer one, of equal ones the first; the longest are looked at first.
+
+    Only runs that were kept can hold another, so each is held against those alone.
+    """
+    order = np.lexsort((b, a, -n))
+    keep = np.zeros(len(n), bool)
+    kept = np.zeros((3, len(n)), np.int64)
+    count = 0
+    for i in order:
+        x, y, m = kept[:, :count]
+        if not ((x <= a[i]) & (a[i] + n[i] <= x + m) & (y <= b[i]) & (b[i] + n[i] <= y + m)).any():
+            keep[i] = True
+            kept[:, count] = a[i], b[i], n[i]
+            count += 1
+    return keep
+
+
+def _uncontained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair; the last pair of a batch waits for the next."""
+    held = None
+
+    def kept(t: pa.Table, new: np.ndarray) -> pa.Table:
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(new))
+        a, b, n = (t.column(c).to_numpy().astype(np.int64) for c in ("a_start", "b_start", "length"))
+        keep = np.ones(len(new), bool)
+        for x, y in zip(starts, ends):
+            if y - x > 1:
+                keep[x:y] = _outer_runs(a[x:y], b[x:y], n[x:y])
+        return t.filter(pa.array(keep))
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        p, q = t.column("passage_a").to_numpy(zero_copy_only=False), t.column("passage_b").to_numpy(zero_copy_only=False)
+        new = np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        cut = int(np.flatnonzero(new)[-1])
+        if cut:
+            yield from kept(t.slice(0, cut), new[:cut]).to_batches()
+        held = t.slice(cut)
+    if held is not None:
+        yield from kept(held, np.arange(held.num_rows) == 0).to_batches()
 
 
 def drop_contained(runs: DataFrame) -> DataFrame:
     """Runs (passage_a, passage_b, a_start, b_start, length) that lie in no longer run of their pair in both passages."""
-    return runs.groupBy("passage_a", "passage_b").applyInPandas(_skyline, runs.schema)
+    pair = ["passage_a", "passage_b"]
+    return runs.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_uncontained, runs.schema)
 
 
 def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM, shifts: Iterable[int] | None = None) -> list[tuple[int, int, int]]:

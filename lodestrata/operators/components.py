@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lodestrata.runtime import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; a component's name is its least node.
 
     Each round hooks every node's larger neighbours to its least one, then its
-    smaller ones; the number of rounds grows with the logarithm of the size.
+    smaller ones, until a round changes nothing; the number of rounds grows with
+    the logarithm of the size.
     Every round is written to the shared folder. A hub costs no more than its
     edges: each step is one partial aggregation and one join on the node.
     Null ends and self-links are ignored.
@@ -21,7 +22,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     links = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     state = None
-    for _ in range(most_rounds):
+    while True:
         # large star: neighbours above the node go to the least of node and neighbours
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

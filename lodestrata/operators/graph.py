@@ -151,11 +151,15 @@ def dependents_report(rows: DataFrame, depth: int, horizon: int = HORIZON) -> Da
     return rows.groupBy("distance", "kind").agg(F.count(F.lit(1)).alias("dependents")).crossJoin(F.broadcast(whole)).select("distance", "kind", "dependents", (F.col("distance") > depth).alias("beyond"), state.alias("disclosure"))
 
 
-def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(start, node) for all nodes reachable from each start over (src, dst), the start itself left out."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(start, node) for all nodes reachable from each start over (src, dst), the start itself left out.
+
+    The pairs are the result and may be as many as the nodes squared: pass the
+    edges of one kind. Rounds go on until one finds nothing new.
+    """
     links = materialize(edges.select("src", "dst").distinct(), "links")
     reached = frontier = links.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    for _ in range(most_rounds):
+    while True:
         step = frontier.join(links, frontier.node == links.src).select("start", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(reached, ["start", "node"], "left_anti"), "closure")
         if frontier.isEmpty():

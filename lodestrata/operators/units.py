@@ -29,11 +29,11 @@ def declared_by(requests: DataFrame, documents: DataFrame) -> DataFrame:
     return module_file_candidates(requests).join(there, "candidate", "left_semi").select(F.col("candidate").alias("document"), F.col("document").alias("parent")).distinct()
 
 
-def target_reach(targets: DataFrame, declared: DataFrame, most_rounds: int = 100) -> DataFrame:
+def target_reach(targets: DataFrame, declared: DataFrame) -> DataFrame:
     """(target, document): all files each build target (target, root) reaches through declarations."""
     down = materialize(declared.select(F.col("parent").alias("at"), "document").distinct(), "declared")
     reached = frontier = targets.select("target", F.col("root").alias("document")).distinct()
-    for _ in range(most_rounds):
+    while True:
         step = frontier.withColumnRenamed("document", "at").join(down, "at").select("target", "document").distinct()
         frontier = materialize(step.join(reached, ["target", "document"], "left_anti"), "reach")
         if frontier.isEmpty():
@@ -65,7 +65,7 @@ def classify_tests(symbols: DataFrame, attributed: DataFrame, gated: DataFrame,
     return rows.select("canonical_id", rule.alias("test_rule")).where("test_rule IS NOT NULL")
 
 
-def look_through_overrides(bindings: DataFrame, bases: DataFrame, most_steps: int = 64) -> DataFrame:
+def look_through_overrides(bindings: DataFrame, bases: DataFrame) -> DataFrame:
     """(src, dst): each method and the method of the nearest base that binds its name.
 
     ``bindings`` has type, name, method (null where the name is bound to
@@ -80,7 +80,7 @@ def look_through_overrides(bindings: DataFrame, bases: DataFrame, most_steps: in
     frontier = per.where(F.col("method").isNotNull() & ~private).select(F.col("method").alias("src"), "name", F.col("type").alias("at"))
     seen = frontier.select("src", "at")
     found = None
-    for _ in range(most_steps):
+    while True:
         step = frontier.join(up.withColumnRenamed("type", "at"), "at").select("src", "name", F.col("base").alias("at")).distinct()
         step = materialize(step.join(seen, ["src", "at"], "left_anti"), "walk")
         if step.isEmpty():

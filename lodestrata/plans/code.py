@@ -48,10 +48,8 @@ def largest_clone_groups(spark, d):
 @query(
     """WITH f AS (SELECT DISTINCT hash, passage_id, token_ordinal FROM clone_fingerprints WHERE hash IS NOT NULL AND passage_id IS NOT NULL)
     , per AS (SELECT hash, passage_id, count(*) AS n FROM f GROUP BY 1, 2)
-    , spread AS (SELECT hash, count(*) AS c FROM per GROUP BY 1)
-    , started AS (SELECT DISTINCT a.passage_id AS a, b.passage_id AS b FROM per a JOIN per b ON a.hash = b.hash AND a.passage_id < b.passage_id JOIN spread s ON s.hash = a.hash WHERE s.c <= 64)
-    SELECT t.a AS passage_a, t.b AS passage_b, CAST(sum(x.n * y.n) AS BIGINT) AS seeds, sum(x.n * y.n) <= 1000000 AS compared
-    FROM started t JOIN per x ON x.passage_id = t.a JOIN per y ON y.passage_id = t.b AND y.hash = x.hash GROUP BY 1, 2"""
+    SELECT x.passage_id AS passage_a, y.passage_id AS passage_b, CAST(sum(x.n * y.n) AS BIGINT) AS seeds, sum(x.n * y.n) <= 1000000 AS compared
+    FROM per x JOIN per y ON y.hash = x.hash AND x.passage_id < y.passage_id GROUP BY 1, 2"""
 )
 def fragment_seeds(spark, d):
     return clones.fragment_seeds(table(spark, d, "clone_fingerprints"))
@@ -163,40 +161,54 @@ _CLEAN = r"""WITH files AS (
                coalesce(nullif(regexp_extract(lower(content_hash), '([0-9a-f]{64})\s*$', 1), ''), '-') AS h FROM source_files) WHERE p <> '' GROUP BY 1, 2, 3)"""
 
 
-def _files(spark, d, number):
-    rows = table(spark, d, "source_files").where(F.col("snapshot_no") == number)
-    rows = rows.select("workspace_id", normal_path(F.col("document_path")).alias("document_path"), F.coalesce(normal_hash(F.col("content_hash")), F.lit("-")).alias("hash"), "delivered_at").where("document_path IS NOT NULL")
-    return rows.groupBy("workspace_id", "document_path").agg(F.max(F.struct("delivered_at", "hash")).alias("m")).select("workspace_id", "document_path", F.col("m.hash").alias("hash"))
+def _files(spark, d):
+    rows = table(spark, d, "source_files")
+    rows = rows.select("workspace_id", F.col("snapshot_no").cast("int").alias("snapshot_no"), normal_path(F.col("document_path")).alias("document_path"), F.coalesce(normal_hash(F.col("content_hash")), F.lit("-")).alias("hash"), "delivered_at").where("document_path IS NOT NULL")
+    return rows.groupBy("workspace_id", "snapshot_no", "document_path").agg(F.max(F.struct("delivered_at", "hash")).alias("m")).select("workspace_id", "snapshot_no", "document_path", F.col("m.hash").alias("hash"))
 
 
 @query(
     _CLEAN
-    + """ SELECT coalesce(a.workspace_id, b.workspace_id) AS workspace_id, coalesce(a.document_path, b.document_path) AS document_path,
+    + """, seen AS (SELECT DISTINCT workspace_id, snapshot_no FROM files)
+    , a AS (SELECT f.workspace_id, f.snapshot_no + 1 AS snapshot_no, f.document_path, f.hash FROM files f JOIN seen s ON s.workspace_id = f.workspace_id AND s.snapshot_no = f.snapshot_no + 1)
+    , b AS (SELECT f.* FROM files f JOIN seen s ON s.workspace_id = f.workspace_id AND s.snapshot_no = f.snapshot_no - 1)
+    SELECT coalesce(a.workspace_id, b.workspace_id) AS workspace_id, coalesce(a.snapshot_no, b.snapshot_no) AS snapshot_no, coalesce(a.document_path, b.document_path) AS document_path,
         CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change
-        FROM (SELECT * FROM files WHERE snapshot_no = 1) a FULL JOIN (SELECT * FROM files WHERE snapshot_no = 8) b ON a.workspace_id = b.workspace_id AND a.document_path = b.document_path
+        FROM a FULL JOIN b ON a.workspace_id = b.workspace_id AND a.snapshot_no = b.snapshot_no AND a.document_path = b.document_path
         WHERE a.hash IS DISTINCT FROM b.hash"""
 )
 def file_differences(spark, d):
-    return status.file_differences(_files(spark, d, 1), _files(spark, d, 8), ["workspace_id", "document_path"], "hash")
+    """What differs between each two neighbouring numbers of a workspace's snapshots, whatever their state."""
+    files = materialize(_files(spark, d), "files")
+    seen = files.select("workspace_id", "snapshot_no").distinct()
+    later = files.withColumn("snapshot_no", F.col("snapshot_no") + 1).join(seen, ["workspace_id", "snapshot_no"], "left_semi")
+    former = files.join(seen.withColumn("snapshot_no", F.col("snapshot_no") + 1), ["workspace_id", "snapshot_no"], "left_semi")
+    return status.file_differences(later, former, ["workspace_id", "snapshot_no", "document_path"], "hash")
 
 
 @query(
     """WITH m AS (SELECT *, min(analyzer_version) OVER () AS v FROM index_metadata)
-    SELECT workspace_id, CASE WHEN analyzer_version <> v THEN 'stale_version' WHEN workspace_root IS NULL THEN 'stale_environment' ELSE 'fresh' END AS state,
-        CAST((analyzer_version <> v)::INT + (workspace_root IS NULL)::INT AS INT) AS reasons FROM m"""
+    SELECT workspace_id, CASE WHEN text_mismatch_count % 3 = 0 THEN 'stale_content' WHEN analyzer_version <> v THEN 'stale_version' WHEN workspace_root IS NULL THEN 'stale_environment' ELSE 'fresh' END AS state,
+        CAST((text_mismatch_count % 3 = 0)::INT + (analyzer_version <> v)::INT + (workspace_root IS NULL)::INT AS INT) AS reasons FROM m"""
 )
 def freshness(spark, d):
     m = table(spark, d, "index_metadata")
     oldest = m.agg(F.min("analyzer_version").alias("oldest"))
     side = m.select("workspace_id", F.col("content_hash").alias("content"), F.col("analyzer_version").alias("version"), F.col("workspace_root").alias("environment"))
-    now = m.crossJoin(F.broadcast(oldest)).select("workspace_id", F.col("content_hash").alias("content"), F.col("oldest").alias("version"), F.coalesce("workspace_root", F.lit("unknown")).alias("environment"))
+    now = m.crossJoin(F.broadcast(oldest)).select("workspace_id", F.when(F.col("text_mismatch_count") % 3 == 0, "other").otherwise(F.col("content_hash")).alias("content"), F.col("oldest").alias("version"), F.coalesce("workspace_root", F.lit("unknown")).alias("environment"))
     return status.stale_reasons(side, now, "workspace_id").select("workspace_id", "state", F.size("reasons").alias("reasons"))
 
 
-@query()
+_PART = "printf('%02x', octet_length(encode({c})) % 256) || printf('%02x', octet_length(encode({c})) // 256) || '000000000000' || hex(encode({c}))"
+
+
+@query(
+    _CLEAN
+    + " SELECT workspace_id || '/' || snapshot_no AS \"group\", sha256(unhex(string_agg(" + _PART.format(c="document_path") + " || " + _PART.format(c="hash") + ", '' ORDER BY document_path))) AS digest FROM files GROUP BY 1"
+)
 def content_digest(spark, d):
-    rows = _files(spark, d, 8)
-    return status.content_digest(rows, "workspace_id", "document_path", "hash")
+    rows = _files(spark, d).withColumn("group", F.concat("workspace_id", F.lit("/"), "snapshot_no"))
+    return status.content_digest(rows, "group", "document_path", "hash")
 
 
 @query(
@@ -276,30 +288,31 @@ def mutual_pairs(spark, d):
 
 @query(
     _NEAR.format(q="a.id % 20 = 0")
-    + """, p AS (SELECT r.query, l.label, min(r.distance) AS distance FROM r JOIN (SELECT vec_id, label FROM embeddings) l ON l.vec_id = r.id GROUP BY 1, 2)
+    + """, p AS (SELECT r.query, l.label, min(r.distance) AS distance FROM r JOIN (SELECT vec_id, label FROM embeddings) l ON l.vec_id = r.id WHERE r.rank <= 4096 GROUP BY 1, 2)
     SELECT query, CAST(label AS BIGINT) AS passage, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, label) AS INT) AS rank FROM p"""
 )
 def best_chunks(spark, d):
     v = _vectors(spark, d)
+    # of the neighbours a search gives, at its farthest rank
     near = retrieval.nearest(v.where("id % 20 = 0"), v, retrieval.MOST_NEIGHBOURS)
     labelled = near.join(v.select("id", F.col("label").cast("long").alias("passage")), "id")
     best = labelled.groupBy("query", "passage").agg(F.min("distance").alias("distance"))
-    return retrieval.ranked(best, "query", "passage", F.col("distance"), 1_000_000)
+    return retrieval.ranked(best, "query", "passage", F.col("distance"), retrieval.MOST_NEIGHBOURS)
 
 
 @query(
     _BM25
-    + """, e AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY abs(id - query), id) AS rank FROM r)
-    , both_ AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 10 UNION ALL SELECT query, id, 1.0 / (60 + rank) FROM e WHERE rank <= 10)
+    + """, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+    , n AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0)
+    , both_ AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 10 UNION ALL SELECT query, id, 1.0 / (60 + rank) FROM n WHERE rank <= 10)
     , f AS (SELECT query, id, round(sum(part), 15) AS score FROM both_ GROUP BY 1, 2)
     SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS place FROM f"""
 )
 def search_fused(spark, d):
-    """Two signals fused: the lexical rank, and nearness of ids among the lexical matches for want of vectors of passages."""
-    every = materialize(_lexical(spark, d, 1_000_000), "lexical")
-    first = every.where("rank <= 10")
-    second = retrieval.ranked(every.withColumn("far", F.abs(F.col("id") - F.col("query"))), "query", "id", F.col("far"), 10)
-    return retrieval.fuse(first, second)
+    """Both signals fused: the words of passages, and the given vectors as those of the passages with their ids."""
+    v = _vectors(spark, d)
+    near = retrieval.nearest(v.where("id % 20 = 0"), v, 10)
+    return retrieval.fuse(_lexical(spark, d), near.select("query", "id", "rank"))
 
 
 @query(
@@ -348,15 +361,17 @@ def passage_renders(spark, d):
 
 
 _REGIONS = """, regions AS (
-        SELECT id AS region_id, document_path, start_line AS line FROM occs WHERE rule = 'module_name' AND start_line IS NOT NULL)
-    , met AS (SELECT r.region_id, r.line, s.canonical_id, s.start_line AS a, s.end_line AS z, r.document_path FROM regions r JOIN syms s ON s.document_path = r.document_path AND s.start_line <= r.line AND r.line <= s.end_line)
-    , hit AS (SELECT region_id, canonical_id, CASE WHEN a = line AND z = line THEN 'exact' ELSE 'approximate' END AS grade FROM met x
+        SELECT id AS region_id, document_path, greatest(start_line, 1) AS line, id % 4 = 0 AS ins, greatest(id % 4, 1) AS n FROM occs WHERE start_line IS NOT NULL)
+    , met AS (SELECT r.*, s.canonical_id, s.start_line AS a, s.end_line AS z FROM regions r JOIN syms s ON s.document_path = r.document_path AND s.start_line < r.line + r.n AND r.line <= s.end_line
+        WHERE NOT (r.ins AND s.end_line = r.line))
+    , hit AS (SELECT region_id, canonical_id, CASE WHEN a = line AND z = line + n - 1 AND NOT ins THEN 'exact' ELSE 'approximate' END AS grade FROM met x
         WHERE NOT EXISTS (SELECT 1 FROM met y WHERE y.region_id = x.region_id AND x.a <= y.a AND y.z <= x.z AND (x.a < y.a OR y.z < x.z)))"""
 
 
 def _regions(spark, d):
-    o = occurrences(spark, d).where("rule = 'module_name' AND start_line IS NOT NULL")
-    return o.select(F.col("id").alias("region_id"), "document_path", F.col("start_line").cast("int").alias("start"), F.lit(1).alias("count"))
+    """Every place of an occurrence as a changed region: insertions, and changes of one to three lines."""
+    o = occurrences(spark, d).where("start_line IS NOT NULL")
+    return o.select(F.col("id").alias("region_id"), "document_path", F.col("start_line").cast("int").alias("start"), (F.col("id") % 4).cast("int").alias("count"))
 
 
 @query(with_ctes("syms", "occs") + _REGIONS + " SELECT region_id, canonical_id, grade FROM hit")

@@ -77,16 +77,22 @@ def hierarchy_relatives(spark, d):
 
 
 @query(
-    with_ctes("syms")
-    + """, pairs AS (
+    with_ctes("syms", "occs")
+    + """, both_ AS (
+        SELECT canonical_id, document_path, span_start, span_end, kind FROM syms WHERE document_path IS NOT NULL
+        UNION ALL SELECT 'occurrence ' || id, document_path, span_start, span_end, 'reference' FROM occs WHERE span_start IS NOT NULL AND span_end IS NOT NULL
+    ), pairs AS (
         SELECT c.canonical_id AS child, p.canonical_id AS parent, row_number() OVER (PARTITION BY c.canonical_id ORDER BY p.span_end - p.span_start, p.canonical_id) AS rn
-        FROM syms c JOIN syms p ON c.document_path = p.document_path AND p.canonical_id <> c.canonical_id
+        FROM both_ c JOIN both_ p ON c.document_path = p.document_path AND p.canonical_id <> c.canonical_id
              AND p.span_start <= c.span_start AND c.span_start < p.span_end AND c.span_end <= p.span_end
              AND (p.span_end - p.span_start > c.span_end - c.span_start OR (p.kind = 'module' AND c.kind <> 'module'))
     ) SELECT parent, child FROM pairs WHERE rn = 1"""
 )
 def contains_edges(spark, d):
+    """The nearest container of every symbol and of every occurrence's span (no two symbols of these tables nest)."""
     spans = symbols(spark, d).where("document_path IS NOT NULL").select("canonical_id", "document_path", F.col("span_start").alias("start"), F.col("span_end").alias("end"), "kind")
+    places = occurrences(spark, d).where("span_start IS NOT NULL AND span_end IS NOT NULL").select(F.concat(F.lit("occurrence "), "id").alias("canonical_id"), "document_path", F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.lit("reference").alias("kind"))
+    spans = spans.unionByName(places)
     return intervals.parents(spans, "canonical_id")
 
 

@@ -1,6 +1,6 @@
 """All queries of the library's core and their SQL, by name."""
 
-from lodestrata.plans import code, graph, snapshots, trials  # noqa: F401
+from lodestrata.plans import building, code, graph, snapshots, stored, trials  # noqa: F401
 from lodestrata.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

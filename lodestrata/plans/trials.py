@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.operators import evidence, splits
 from lodestrata.operators import experiment as ex
 from lodestrata.plans.base import query
 from lodestrata.runtime import materialize, table
@@ -125,4 +126,87 @@ def index_percentile(spark, d):
 @query()
 def experiment_estimates(spark, d):
     paired = materialize(_pairs(spark, d).withColumn("even", F.col("instance_id") % 2 == 0), "pairs")
-    return ex.group_estimates(paired, "even", "hit", "value", draws=500)
+    return ex.group_estimates(paired, "even", "hit", "value")
+
+
+# --- evidence: events stand for steps and trials -------------------------------
+
+@query(
+    """SELECT key, CASE WHEN kinds = 2 THEN round(cost, 6) END AS cost FROM (
+        SELECT user_id AS key, sum(value * 1000 * CASE event_type WHEN 'click' THEN 13 WHEN 'view' THEN 7 END / 1e6) AS cost, count(DISTINCT event_type) FILTER (event_type IN ('click', 'view')) AS kinds
+        FROM events WHERE user_id IS NOT NULL GROUP BY 1)"""
+)
+def priced_trials(spark, d):
+    usage = table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("key"), F.col("event_type").alias("category"), (F.col("value") * 1000).alias("tokens"))
+    prices = spark.createDataFrame([("click", 13.0), ("view", 7.0)], "category string, price double")
+    return ex.priced(usage, prices, "key").select("key", F.round("cost", 6).alias("cost"))
+
+
+_STATES = """WITH states AS (SELECT event_id AS trial_id, user_id AS instance_id, CASE WHEN event_type <> 'error' AND event_type <> 'refund' THEN 'completed'
+        WHEN event_id % 5 = 0 OR floor(value) = 0 THEN 'infra-failure' ELSE 'agent-failure' END AS terminal_state FROM events)"""
+
+
+def _states(spark, d):
+    e = table(spark, d, "events")
+    failed = F.when(F.col("event_type").isin("error", "refund"), F.col("event_type"))
+    trials = e.select(F.col("event_id").alias("trial_id"), failed.alias("exception"), F.floor("value").alias("tokens"), F.when(F.col("event_id") % 5 == 0, True).alias("endpoint_error"))
+    return evidence.terminal_states(trials).join(e.select(F.col("event_id").alias("trial_id"), F.col("user_id").alias("instance_id")), "trial_id")
+
+
+@query(_STATES + " SELECT trial_id, terminal_state FROM states")
+def terminal_states(spark, d):
+    return _states(spark, d).select("trial_id", "terminal_state")
+
+
+@query(_STATES + " SELECT instance_id, count(*) AS scored, bool_and(terminal_state = 'agent-failure') AS only_failures FROM states WHERE terminal_state <> 'infra-failure' GROUP BY 1")
+def scored_attempts(spark, d):
+    return evidence.usable_attempts(_states(spark, d))
+
+
+@query(_STATES + ", s AS (SELECT instance_id, count(*) AS n FROM states WHERE terminal_state <> 'infra-failure' GROUP BY 1) SELECT DISTINCT e.user_id AS instance_id, 64 - coalesce(n, 0) AS missing FROM events e LEFT JOIN s ON s.instance_id = e.user_id WHERE e.user_id IS NOT NULL AND 64 - coalesce(n, 0) > 0")
+def planned_deficits(spark, d):
+    planned = table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("instance_id"), F.lit(64).alias("planned")).distinct()
+    return ex.planned_deficit(planned, _states(spark, d).where("terminal_state <> 'infra-failure'"))
+
+
+@query("SELECT event_type AS arm, round(median(CASE WHEN user_id <> 0 THEN value / user_id END), 6) AS median_share, count(*) FILTER (event_id % 10 >= 5 AND user_id <> 0 AND value / user_id <= 0.01) AS low, count(*) FILTER (user_id = 0 OR user_id IS NULL OR value IS NULL) AS absent FROM events GROUP BY 1")
+def cache_engagement(spark, d):
+    trials = table(spark, d, "events").select(F.col("event_type").alias("arm"), F.col("value").alias("cached_tokens"), F.col("user_id").cast("double").alias("input_tokens"), (F.col("event_id") % 10).alias("turns"))
+    return evidence.cache_share(trials).select("arm", F.round("median_share", 6).alias("median_share"), "low", "absent")
+
+
+@query("SELECT user_id AS trial_id, count(*) AS calls, CAST(sum(len(regexp_extract_all(props, '[13]'))) AS BIGINT) AS matches FROM events GROUP BY 1")
+def tool_invocations(spark, d):
+    steps = table(spark, d, "events").select(F.col("user_id").alias("trial_id"), F.array(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments"))).alias("calls"))
+    return evidence.invocation_counts(steps, "[13]")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN '' ELSE 'src/' || event_type || '.py lib/a.rs' END AS files, event_id % 4 <> 3 AS ok FROM events")
+def parsed_answers(spark, d):
+    body = F.concat(F.lit('so: {"files": ["/src//'), "event_type", F.lit('.py", "./lib/./a.rs", "lib/a.rs", " "]} done'))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 3, "no object").otherwise(body).alias("text"))
+    return evidence.parsed_answers(rows).select("id", F.array_join("files", " ").alias("files"), "ok")
+
+
+@query(
+    """WITH p AS (SELECT workspace_id AS task_id, document_path AS path, regexp_extract(document_path, '([^/]*)$', 1) AS base, length(document_path) % 3 AS r FROM (SELECT DISTINCT workspace_id, document_path FROM symbols WHERE document_path IS NOT NULL))
+    , t AS (SELECT *, count(*) OVER (PARTITION BY task_id, base) AS n FROM p)
+    SELECT task_id, count(*) AS paths, count(*) FILTER (r = 0 OR (r = 1 AND n = 1)) AS mentioned FROM t GROUP BY 1"""
+)
+def path_mentions(spark, d):
+    """Tasks whose texts name a third of their files by path and a third by base name."""
+    p = table(spark, d, "symbols").where("document_path IS NOT NULL").select(F.col("workspace_id").alias("task_id"), F.col("document_path").alias("path")).distinct()
+    said = F.when(F.length("path") % 3 == 0, F.concat(F.lit("in `"), "path", F.lit("`"))).when(F.length("path") % 3 == 1, F.concat(F.lit("see "), F.substring_index("path", "/", -1), F.lit(",")))
+    tasks = p.groupBy("task_id").agg(F.array_join(F.collect_list(said), "\n").alias("text"), F.collect_list("path").alias("paths"))
+    return splits.path_mentions(tasks)
+
+
+@query(
+    """WITH old AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'development' ELSE 'frozen' END AS subset, user_id AS id FROM events WHERE user_id IS NOT NULL)
+    , new AS (SELECT DISTINCT CASE WHEN user_id % 6 = 0 THEN 'development' ELSE 'frozen' END AS subset, user_id AS id FROM events WHERE user_id IS NOT NULL)
+    SELECT subset, id FROM old EXCEPT SELECT subset, id FROM new"""
+)
+def split_conflicts(spark, d):
+    ids = table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("id")).distinct()
+    part = lambda n: ids.select(F.when(F.col("id") % n == 0, "development").otherwise("frozen").alias("subset"), "id")
+    return splits.split_conflicts(part(2), part(6))

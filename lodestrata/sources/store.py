@@ -44,10 +44,11 @@ def _write(spark: SparkSession, path: str, text: str) -> None:
     stream = fs.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    if not fs.rename(beside, where):
-        raise StoreError(f"{path} could not be put in place")
+    # one step that replaces: at no moment is there no manifest
+    modes = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    modes[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    full = fs.makeQualified(where)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), full, modes)
 
 
 def manifest(spark: SparkSession, root: str) -> dict | None:
