@@ -71,6 +71,74 @@ def align(occurrences: DataFrame, files: DataFrame, aliases: DataFrame | None =
     return first.withColumn("outcome", outcome).drop("length")
 
 
+#: Methods and the construct each stands for, where the syntax around the place is known (fixed values).
+CONSTRUCTS = (
+    {m: f"binary {OPERATORS[m]}" for m in "add sub mul div rem bitand bitor bitxor shl shr eq ne lt le gt ge".split()}
+    | {m: f"compound {OPERATORS[m]}" for m in OPERATORS if m.endswith("_assign")}
+    | {"neg": "unary -", "not": "unary !", "deref": "unary *", "deref_mut": "unary *", "index": "index", "index_mut": "index", "branch": "try"}
+    | {"call": "call", "call_mut": "call", "call_once": "call", "into_iter": "for", "next": "for"}
+)
+
+
+def _base(column):
+    """A type's last segment without generic arguments."""
+    return F.element_at(F.split(F.regexp_replace(column, r"(?s)<.*$", ""), "::"), -1)
+
+
+def align_at_places(occurrences: DataFrame, places: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Occurrences with rule and outcome by all rules, each held against the syntax around its place.
+
+    ``occurrences``: occurrence_id (string), document_path, name, kind, role,
+    symbol_id, package, dotted_name (a Python module's whole name), segments (a
+    Rust module's names from its package down) and module_segments (those of the
+    document's own module). ``places`` are the facts of ``place_facts`` for them.
+
+    Beyond ``align``: ``Self`` asks that the impl around it is of the type or
+    trait; a range sign that the ends it has make the type; ``self`` in a use
+    list that the list's path ends in the module's name; ``super`` and a path's
+    own ``self`` that the module is the one so many steps above the document's
+    module with the inline modules around the place; an operator that the
+    construct is the method's; a crate's root also its package's name; Python's
+    modules a trailing run of components, also of a dotted name the place starts.
+    """
+    facts = places.select("occurrence_id", *[c for c in places.columns if c not in ("occurrence_id", "document_path", "span_start", "span_end")], F.col("span_start").alias("at"), F.col("span_end").alias("up_to"))
+    rows = occurrences.join(facts, "occurrence_id", "left")
+    rust, python = F.col("document_path").endswith(".rs"), F.col("document_path").endswith(".py")
+    module, reference = F.col("kind") == "module", F.col("role") == "reference"
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in CONSTRUCTS.items() for x in pair]), F.col("name"))
+    package = F.regexp_replace("package", "-", "_")
+    here = F.concat(F.coalesce("module_segments", F.array().cast("array<string>")), F.coalesce("modules", F.array().cast("array<string>")))
+    above = lambda n: F.when(F.size(here) - n > 0, F.slice(here, F.lit(1), F.greatest(F.size(here) - n, F.lit(0))))
+    spelled = F.regexp_replace("found", r"^\.+", "")
+    run = lambda text: (text == F.col("dotted_name")) | F.col("dotted_name").endswith(F.concat(F.lit("."), text))
+    longer = F.exists(F.coalesce("dotted", F.array().cast("array<string>")), lambda x: run(F.regexp_replace(x, r"^\.+", "")))
+    name_at = F.regexp_replace("name_at", "^r#", "")
+    rule = (
+        F.when(F.col("found").isNull(), None)
+        .when(~(python & module) & (name_at == F.col("name")), "exact")
+        .when(rust & (F.col("name") == "crate") & ((F.col("found") == "crate") | (F.col("name_at") == package)), "crate_root")
+        .when(rust & reference & (F.col("construct") == wanted), "operator_desugar")
+        .when(rust & ~reference & module & (F.col("at") == 0) & (F.col("up_to") == F.col("length")), "module_span")
+        .when(rust & reference & ~module & (F.col("name_at") == "Self") & ((_base(F.col("impl_type")) == _base(F.col("name"))) | (_base(F.col("impl_trait")) == _base(F.col("name")))), "self_keyword")
+        .when(rust & reference & (F.col("range_type") == _base(F.col("name"))), "range_literal")
+        .when(rust & reference & module & (F.col("use_terminal") == F.col("name")), "use_list_self")
+        .when(rust & reference & module & F.col("path_start_self") & (F.col("segments") == above(F.lit(0))), "self_name")
+        .when(rust & reference & module & (F.col("segments") == above(F.col("super_depth"))), "super_keyword")
+        .when(python & module & (spelled != "") & F.col("found").rlike(r"^\.*[^\W\d]\w*(?:\.[^\W\d]\w*)*$") & run(spelled), "module_name")
+        .when(python & module & longer, "module_name")
+        .when(python & module & (F.col("found") == "__name__") & (F.col("segments") == F.col("module_segments")), "self_name")
+        .when(python & module & ~reference & (F.col("at") == 0) & (F.col("up_to") == 0), "module_marker")
+    )
+    first = rows.withColumn("rule", rule)
+    if aliases is not None:
+        accepted = first.where("rule IS NOT NULL").select("document_path", "symbol_id", "name").distinct()
+        named = aliases.select("document_path", F.col("alias").alias("found"), "name").join(accepted, ["document_path", "name"])
+        named = named.select("document_path", "found", "symbol_id", F.lit("import_alias").alias("by_alias")).distinct()
+        first = first.join(named, ["document_path", "found", "symbol_id"], "left").withColumn("rule", F.coalesce("rule", "by_alias"))
+    outcome = F.when(F.col("rule").isNotNull(), "aligned").when(F.col("length").isNull(), "semantic_only").otherwise("text_mismatch")
+    return first.select("occurrence_id", "document_path", "symbol_id", "name", "found", "rule", outcome.alias("outcome"))
+
+
 def accounts(aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts by rule and by outcome, zero-valued members included."""
     return counted_by(aligned.where("rule IS NOT NULL"), "rule", ALIGNMENT_RULES), counted_by(aligned, "outcome", JOIN_OUTCOMES)

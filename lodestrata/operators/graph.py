@@ -121,9 +121,9 @@ def dependents(edges: DataFrame, seeds: DataFrame, horizon: int = HORIZON, one_t
     reached = frontier = start.select("node", F.col("node").alias("root"), F.lit(0).alias("distance"))
     w = Window.partitionBy("node").orderBy("root")
     for hop in range(1, horizon + 1):
-        fresh = frontier.join(links, frontier.node == links.at).select(F.col("next").alias("node"), "root").distinct()
-        # a root a node has already, and a third root, tell nothing new
-        had = reached.groupBy("node").agg(F.collect_list("root").alias("roots"))
+        fresh = materialize(frontier.join(links, frontier.node == links.at).select(F.col("next").alias("node"), "root").distinct(), "fresh")
+        # a root a node has already, and a third root, tell nothing new; only nodes met again are looked up
+        had = reached.join(fresh.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("root").alias("roots"))
         open_ = fresh.join(had, "node", "left").where(F.col("roots").isNull() | ((F.size("roots") < 2) & ~F.array_contains("roots", F.col("root"))))
         ranked = open_.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2 - F.coalesce(F.size("roots"), F.lit(0)))
         frontier = materialize(ranked.select("node", "root", F.lit(hop).alias("distance")), "frontier")

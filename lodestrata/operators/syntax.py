@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestrata.functions.tokens import IDENTIFIER, Token, rust_tokens
+from lodestrata.operators.places import partners
 from lodestrata.runtime import spread
 
 _SCHEMA = "document_path string, fact string, name string, detail string, start int, end int, outer_start int, outer_end int"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 _RUST_KINDS = {"fn": "function", "struct": "type", "enum": "type", "union": "type", "trait": "trait", "mod": "module", "const": "constant", "static": "constant", "type": "type"}
-_CLOSING = {"(": ")", "[": "]", "{": "}"}
 
 
 def _python_facts(text: str) -> list[tuple]:
@@ -74,50 +74,37 @@ def _python_facts(text: str) -> list[tuple]:
     return [(*f[:3], *(x + mark for x in f[3:])) for f in out]
 
 
-def _match(tokens: list[Token], i: int) -> int:
-    """The place of the bracket that closes the one at ``i``."""
-    depth = 0
-    for k in range(i, len(tokens)):
-        t = tokens[k].text
-        if t in _CLOSING:
-            depth += 1
-        elif t in (")", "]", "}"):
-            depth -= 1
-            if depth == 0:
-                return k
-    return len(tokens) - 1
-
-
-def _end(tokens: list[Token], i: int, text: str) -> int:
+def _end(tokens: list[Token], other: list[int], i: int, text: str) -> int:
     """Where an item ends: at its body's closing brace or its semicolon."""
-    depth = 0
-    for k in range(i, len(tokens)):
+    k = i
+    while k < len(tokens):
         t = tokens[k].text
-        if t in "([" and len(t) == 1:
-            depth += 1
-        elif t in ")]" and len(t) == 1:
-            depth -= 1
-        elif t == "{" and depth == 0:
-            close = tokens[_match(tokens, k)]
-            return close.start + 1
-        elif t == ";" and depth == 0:
+        if t in ("(", "["):
+            if other[k] < 0:
+                break
+            k = other[k]
+        elif t == "{":
+            return tokens[other[k]].start + 1 if other[k] >= 0 else len(text)
+        elif t == ";":
             return tokens[k].start + 1
+        k += 1
     return len(text)
 
 
 def _rust_facts(text: str) -> list[tuple]:
     tokens = rust_tokens(text)
+    other = partners(tokens)
     out: list[tuple] = []
     attributes: list[str] = []
     first = 0
     for i, t in enumerate(tokens):
         following = tokens[i + 1] if i + 1 < len(tokens) else None
         if t.text == "#" and following and following.text == "[":
-            close = _match(tokens, i + 1)
+            close = other[i + 1] if other[i + 1] >= 0 else len(tokens) - 1
             attributes.append("".join(x.text for x in tokens[i + 2 : close]))
             continue
         if t.text in _RUST_KINDS and following and following.kind == IDENTIFIER and not (t.text == "const" and i and tokens[i - 1].text == "*"):
-            a, z = t.start, _end(tokens, i, text)
+            a, z = t.start, _end(tokens, other, i, text)
             span = (following.start, following.start + len(following.text))
             out.append(("declaration", following.text, _RUST_KINDS[t.text], *span, a, z))
             if t.text == "mod" and i + 2 < len(tokens) and tokens[i + 2].text == ";":
@@ -144,16 +131,16 @@ def _rust_facts(text: str) -> list[tuple]:
             if head:
                 trait = "".join(x.text for x in head[:cut]) if cut is not None else None
                 own = "".join(x.text for x in head[(cut + 1 if cut is not None else 0) :])
-                out.append(("impl", own, trait, head[0].start, head[-1].start + len(head[-1].text), t.start, _end(tokens, i, text)))
+                out.append(("impl", own, trait, head[0].start, head[-1].start + len(head[-1].text), t.start, _end(tokens, other, i, text)))
             attributes = []
         elif t.kind == IDENTIFIER and following and following.text == "(" and not (i and tokens[i - 1].text in ("fn", "#", "[")):
             receiver = tokens[i - 2].text if i > 1 and tokens[i - 1].text in (".", "::") else None
-            close = tokens[_match(tokens, i + 1)]
+            close = tokens[other[i + 1]]
             out.append(("call", t.text, receiver, t.start, t.start + len(t.text), t.start, close.start + 1))
         elif t.text == "use":
             first = i
         elif t.text == "as" and following and following.kind == IDENTIFIER and i and any(x.text == "use" for x in tokens[first:i]) and not any(x.text == ";" for x in tokens[first:i]):
-            out.append(("alias", following.text, tokens[i - 1].text, tokens[i - 1].start, following.start + len(following.text), tokens[first].start, _end(tokens, first, text)))
+            out.append(("alias", following.text, tokens[i - 1].text, tokens[i - 1].start, following.start + len(following.text), tokens[first].start, _end(tokens, other, first, text)))
         elif t.text in ("{", "}", ";"):
             attributes = []
     return out

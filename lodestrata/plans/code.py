@@ -349,14 +349,16 @@ def syntax_facts(spark, d):
     SELECT s.canonical_id, array_to_string("""
     + _WORDS.replace("{c}", "s.display_name")
     + r""", ' ') || chr(10) || s.kind || CASE WHEN m = '' THEN '' ELSE chr(10) || m END || CASE WHEN t.signature_text IS NULL THEN '' ELSE chr(10) || t.signature_text END
-        || CASE WHEN s.kind IN ('type', 'module', 'trait') THEN '' ELSE chr(10) || t.span_text END AS render
+        || chr(10) || 'Notes on ' || s.display_name || CASE WHEN s.kind IN ('type', 'module', 'trait') THEN chr(10) || coalesce(t.signature_text || chr(10), '') || 'Notes on ' || s.display_name ELSE chr(10) || t.span_text END AS render
     FROM syms s JOIN t ON t.canonical_id = s.canonical_id
     CROSS JOIN LATERAL (SELECT array_to_string("""
     + _WORDS.replace("{c}", "array_to_string(string_split(regexp_replace(s.canonical_id, '#[0-9]+$', ''), '::')[2:-2], ' ')")
-    + """, ' ') AS m) WHERE t.span_text IS NOT NULL AND NOT (t.span_text = s.display_name AND coalesce(t.signature_text, s.display_name) = s.display_name)"""
+    + """, ' ') AS m) WHERE t.span_text IS NOT NULL"""
 )
 def passage_renders(spark, d):
-    rows = symbols(spark, d, "signature_text", "span_text").withColumn("interface_text", F.lit(None).cast("string"))
+    # an interface is the signature and what is said about it
+    notes = F.concat_ws("\n", "signature_text", F.concat(F.lit("Notes on "), "display_name"))
+    rows = symbols(spark, d, "signature_text", "span_text").withColumn("interface_text", notes)
     return similarity.passages(rows)
 
 

@@ -101,6 +101,19 @@ def dependents(spark, d):
     return graph.dependents(_edges(spark, d), _seeds(spark, d))
 
 
+@query(_WALK.format(seed=_SEED) + " SELECT node, distance, kind FROM dependents")
+def dependents_joined(spark, d):
+    """The same walk as one join a hop, as graphs beyond one task's bound are walked."""
+    return graph.dependents(_edges(spark, d), _seeds(spark, d), one_task=0)
+
+
+@query(with_ctes("syms", "occs", "edges") + _RANKS + " SELECT node, round(r, 9) AS rank FROM r40")
+def global_rank_joined(spark, d):
+    """The same ranks as one join a round, as graphs beyond one task's bound are ranked."""
+    nodes, links = graph.rank_projection(_edges(spark, d), symbols(spark, d))
+    return graph.page_rank(nodes, links, one_task=0).select("node", F.round("rank", 9).alias("rank"))
+
+
 @query(
     _WALK.format(seed=_SEED)
     + """ SELECT distance, kind, count(*) AS dependents, distance > 1 AS beyond,

@@ -200,3 +200,18 @@ def test_small_things(spark, tmp_path):
     (tmp_path / "p-1.dist-info" / "METADATA").write_text("x")
     assert len(environment_facts(spark, str(tmp_path), "3").first().fingerprint) == 64
     assert json.loads(manifest())["questions"]["trace"]["arguments"][0] == {"name": "reference", "required": True}
+
+
+def test_places():
+    from lodestrata.operators import places
+
+    text = "mod m { use a::{b, self}; fn f() { let x = a[0] .. ; if (y) {} } }"
+    assert places.children(text, 0, len(text))[:2] == [(0, 3), (4, 5)] and places.children(text, 8, 25)[0] == (8, 11)
+    got = {r["occurrence_id"]: r for r in places.facts_at("a.rs", text, [("s", text.index("self"), text.index("self") + 4), ("r", text.index(".."), text.index("..") + 2), ("i", text.index("[0"), text.index("[0") + 1), ("p", text.index("(y"), text.index("(y") + 1)])}
+    assert got["s"]["use_terminal"] == "a" and got["s"]["modules"] == ["m"] and got["r"]["range_type"] == "RangeFrom" and got["i"]["construct"] == "index" and got["p"]["construct"] is None
+    assert places.dotted_around("x = h2.conn.H2(1)", 4, 6) == ["h2.conn", "h2.conn.H2"] and places.base_type_name("&a::B<C<D>>") == "B"
+    # unmatched and very deep brackets
+    deep = places.RustSource("fn f() { " + "(" * 50_000 + ")" * 50_000 + " ] }")
+    assert deep.other[deep.starts.index(7)] == len(deep.tokens) - 1
+    assert places.rust_tiers("") == ("", "", 0) and places.python_tiers("x = 1") == ("x = 1", "x = 1", 5)
+    assert places.python_tiers("async def f(x='(:'):\n  'doc'; y") == ("async def f(x='(:'):", "async def f(x='(:'):\n'doc'", 20)
