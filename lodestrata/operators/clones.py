@@ -197,6 +197,12 @@ def clone_groups(keys: DataFrame) -> DataFrame:
     return out.select("group_id", "canonical_id", "members", "token_count", "exact_set", (F.col("sets") == 1).alias("exact"))
 
 
+def in_order(groups: DataFrame) -> DataFrame:
+    """(canonical_id, place) of each member in its group: those spelled as its first ahead of variants, then by id."""
+    w = Window.partitionBy("group_id").orderBy(F.when(F.col("exact_set") == 0, 0).otherwise(1), "canonical_id")
+    return groups.select("canonical_id", F.row_number().over(w).alias("place"))
+
+
 def fragment_seeds(fingerprint_rows: DataFrame, most: int = MOST_SEEDS, common: int = 64) -> DataFrame:
     """(passage_a, passage_b, seeds, compared): pairs of passages by the fingerprints they share.
 

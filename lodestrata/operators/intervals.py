@@ -36,6 +36,23 @@ def innermost(points: DataFrame, spans: DataFrame, point_id: str, span_id: str,
     return pairs.groupBy(point_id).agg(best.alias("_m")).select(point_id, F.col("_m.i").alias(span_id))
 
 
+#: Lines and columns as one number.
+COLUMNS = 1 << 24
+
+
+def innermost_by_line(points: DataFrame, spans: DataFrame, point_id: str, span_id: str) -> DataFrame:
+    """(point_id, span_id): the innermost span around each place given by line and column.
+
+    ``points``: document_path, line, column; ``spans``: document_path,
+    start_line, start_column, end_line, end_column (behind the last character).
+    Lines of more than 16 million columns are not told apart there.
+    """
+    at = lambda line, column: F.col(line).cast("long") * COLUMNS + F.least(F.col(column).cast("long"), F.lit(COLUMNS - 1))
+    p = points.where("line IS NOT NULL AND `column` IS NOT NULL").select(point_id, "document_path", at("line", "column").alias("point"))
+    s = spans.where("start_line IS NOT NULL AND end_line IS NOT NULL").select(span_id, "document_path", at("start_line", "start_column").alias("start"), at("end_line", "end_column").alias("end"))
+    return innermost(p, s, point_id, span_id, 64 * COLUMNS)
+
+
 def overlapping(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
     """Pairs of half-open spans a and b of one document with a.start < b.end and b.start < a.end.
 

@@ -17,6 +17,8 @@ from lodestrata.runtime import materialize
 K1, B, RRF_K = 1.2, 0.75, 60
 #: The farthest rank a nearest-neighbour search gives (fixed value).
 MOST_NEIGHBOURS = 4096
+#: Postings of one word that meet its questions in one task.
+HOT_WORD = 20_000
 #: Vectors of one tile of the block comparison.
 TILE = 1024
 
@@ -35,8 +37,11 @@ def bm25(index: DataFrame, key: str, queries: DataFrame, total: DataFrame) -> Da
     ln(1 + (n - df + 0.5) / (df + 0.5)); a repeated query word counts once.
     """
     df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.select("query", "word").distinct().join(df, "word")
-    scored = index.join(wanted, "word").crossJoin(F.broadcast(total))
+    # a word of very many passages is met in parts of about HOT_WORD postings, each a join key of its own
+    parts = F.ceil(F.col("df") / HOT_WORD)
+    wanted = queries.select("query", "word").distinct().join(df, "word").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    held = index.join(df.where(F.col("df") > HOT_WORD).select("word", parts.alias("parts")), "word", "left").withColumn("part", F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    scored = held.join(wanted, ["word", "part"]).crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return scored.groupBy("query", key).agg(F.sum(part).alias("score"))

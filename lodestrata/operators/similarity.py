@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions.text import module_path_words, own_documentation, split_words
 
@@ -15,14 +16,16 @@ def labelled(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFram
     """``pairs`` (subject, candidate) with labels: how the candidate is related to the subject.
 
     uses_subject: it depends on the subject; used_by_subject: the other way;
-    tests_subject: it depends on the subject from a test; type_family: both are
-    types that are neighbours in the hierarchy.
+    tests_subject: it depends on the subject from a test; type_family: they
+    belong to different types that are neighbours in the hierarchy or share a
+    supertype of the workspace. A symbol belongs to itself where it is a type,
+    else to the type that contains it. Only the given pairs are looked at, so a
+    supertype of very many types makes no pairs.
     """
     uses = edges.where("kind <> 'contains'").select(F.col("src").alias("candidate"), F.col("dst").alias("subject")).distinct().withColumn("u", F.lit(True))
     used = edges.where("kind <> 'contains'").select(F.col("src").alias("subject"), F.col("dst").alias("candidate")).distinct().withColumn("v", F.lit(True))
     tests = symbols.select(F.col("canonical_id").alias("candidate"), F.col("test_rule").isNotNull().alias("t"))
-    kin = edges.where("kind = 'type_hierarchy'")
-    family = kin.select(F.col("src").alias("subject"), F.col("dst").alias("candidate")).union(kin.select("dst", "src")).distinct().withColumn("f", F.lit(True))
+    family = in_type_family(pairs, edges, symbols).withColumn("f", F.lit(True))
     rows = pairs.join(uses, ["subject", "candidate"], "left").join(used, ["subject", "candidate"], "left").join(tests, "candidate", "left").join(family, ["subject", "candidate"], "left")
     flags = [F.col("u"), F.col("v"), F.col("u") & F.col("t"), F.col("f")]
     return rows.select("subject", "candidate", F.array_compact(F.array(*[F.when(f, F.lit(n)) for f, n in zip(flags, LABELS)])).alias("labels"))
@@ -54,11 +57,33 @@ def passages(symbols: DataFrame) -> DataFrame:
     return kept.select("canonical_id", F.concat_ws("\n", *parts).alias("render")).dropDuplicates(["canonical_id"])
 
 
-def family(subjects: DataFrame, types: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Pairs of different declaring types that are neighbours or share a supertype: (a, b), a < b."""
-    near = hierarchy.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    up = hierarchy.select("src", "dst").distinct()
-    shared = up.select(F.col("src").alias("a"), "dst").join(up.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").select("a", "b")
-    known = types.select("type").distinct()
-    pairs = near.union(shared).where("a <> b").distinct()
-    return pairs.join(known.withColumnRenamed("type", "a"), "a", "left_semi").join(known.withColumnRenamed("type", "b"), "b", "left_semi").select("a", "b")
+def in_type_family(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (subject, candidate) whose types differ and are neighbours in the hierarchy or share a supertype of the workspace."""
+    from lodestrata.operators.graph import declaring_type
+
+    if "kind" in symbols.columns:
+        types = declaring_type(symbols, edges.where("kind = 'contains'"))
+    else:  # symbols of no stated kind each stand for their own type
+        types = symbols.select(F.col("canonical_id").alias("node"), F.col("canonical_id").alias("type"))
+    kin = edges.where("kind = 'type_hierarchy'").select("src", "dst").distinct()
+    typed = pairs.select("subject", "candidate").distinct().join(types.select(F.col("node").alias("subject"), F.col("type").alias("a")), "subject").join(types.select(F.col("node").alias("candidate"), F.col("type").alias("b")), "candidate").where("a <> b")
+    near = typed.join(kin.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(kin.select("dst", "src")).distinct(), ["a", "b"], "left_semi")
+    inner = symbols.where("class = 'in_workspace'").select(F.col("canonical_id").alias("up")) if "class" in symbols.columns else symbols.select(F.col("canonical_id").alias("up"))
+    up = kin.select(F.col("src").alias("a"), F.col("dst").alias("up")).join(inner, "up", "left_semi")
+    shared = typed.join(up, "a").join(up.select(F.col("a").alias("b"), "up"), ["b", "up"], "left_semi")
+    return near.select("subject", "candidate").union(shared.select("subject", "candidate")).distinct()
+
+
+def certain_first(ranked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query, id, place, certainty) of fused candidates, exact clones of the subject first, then variants, then all others.
+
+    ``ranked`` has query, id and place; ``keys`` id, formatting_key and
+    substitution_key. Within a class the fused order stays.
+    """
+    mine = keys.where("substitution_key IS NOT NULL").select(F.col("id").alias("query"), F.col("formatting_key").alias("f"), F.col("substitution_key").alias("s"))
+    rows = ranked.select("query", "id", F.col("place").alias("fused")).join(mine, "query", "left").join(keys.select("id", "formatting_key", "substitution_key"), "id", "left")
+    same = F.col("s").isNotNull() & (F.col("s") == F.col("substitution_key"))
+    certainty = F.when(same & F.col("f").eqNullSafe(F.col("formatting_key")), "exact").when(same, "variant")
+    rows = rows.select("query", "id", "fused", certainty.alias("certainty"))
+    w = Window.partitionBy("query").orderBy(F.when(F.col("certainty") == "exact", 0).when(F.col("certainty") == "variant", 1).otherwise(2), "fused")
+    return rows.select("query", "id", F.row_number().over(w).alias("place"), "certainty")

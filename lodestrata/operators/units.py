@@ -29,6 +29,13 @@ def declared_by(requests: DataFrame, documents: DataFrame) -> DataFrame:
     return module_file_candidates(requests).join(there, "candidate", "left_semi").select(F.col("candidate").alias("document"), F.col("document").alias("parent")).distinct()
 
 
+def unique_module_files(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document, name, candidate): requests of modules that fit exactly one file there is."""
+    there = documents.select(F.col("document_path").alias("candidate")).distinct()
+    fit = module_file_candidates(requests).join(there, "candidate", "left_semi")
+    return fit.groupBy("document", "name").agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("candidate")).where("n = 1").select("document", "name", "candidate")
+
+
 def target_reach(targets: DataFrame, declared: DataFrame) -> DataFrame:
     """(target, document): all files each build target (target, root) reaches through declarations."""
     down = materialize(declared.select(F.col("parent").alias("at"), "document").distinct(), "declared")

@@ -325,7 +325,9 @@ def search_fused(spark, d):
         CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = candidate AND e.dst = subject) THEN 'uses_subject' END,
         CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.dst = candidate AND e.src = subject) THEN 'used_by_subject' END,
         CASE WHEN EXISTS (SELECT 1 FROM edges e JOIN syms s ON s.canonical_id = e.src WHERE e.src = candidate AND e.dst = subject AND s.test_rule IS NOT NULL) THEN 'tests_subject' END,
-        CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'type_hierarchy' AND ((e.src = candidate AND e.dst = subject) OR (e.dst = candidate AND e.src = subject))) THEN 'type_family' END
+        CASE WHEN subject <> candidate AND EXISTS (SELECT 1 FROM syms s WHERE s.canonical_id = subject AND s.kind IN ('type', 'trait')) AND EXISTS (SELECT 1 FROM syms s WHERE s.canonical_id = candidate AND s.kind IN ('type', 'trait')) AND (
+            EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'type_hierarchy' AND ((e.src = candidate AND e.dst = subject) OR (e.dst = candidate AND e.src = subject)))
+            OR EXISTS (SELECT 1 FROM edges e JOIN edges f ON f.dst = e.dst JOIN syms u ON u.canonical_id = e.dst WHERE e.kind = 'type_hierarchy' AND f.kind = 'type_hierarchy' AND e.src = subject AND f.src = candidate AND u.class = 'in_workspace')) THEN 'type_family' END
     ], lambda x: x IS NOT NULL) AS labels FROM near_"""
 )
 def similar_labels(spark, d):
@@ -391,3 +393,51 @@ def impact_seeds(spark, d):
 def impact_dependents(spark, d):
     known = symbols(spark, d)
     return impact.impact(_regions(spark, d), known, graph.reference_edges(occurrences(spark, d), known))[1].select("node", "distance")
+
+
+_FULL = (
+    _BM25.replace("SELECT DISTINCT id, render FROM semantic_corpus", "SELECT id, min(render) AS render FROM semantic_corpus", 1).replace("WHERE render IS NOT NULL)", "WHERE render IS NOT NULL GROUP BY 1)", 1)
+    + """, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+    , n AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0)
+    , parts AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM r UNION ALL SELECT query, id, 1.0 / (60 + rank) FROM n WHERE rank <= 4096)
+    , f AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(sum(part), 15) DESC, id) AS place FROM parts GROUP BY 1, 2)
+    , k AS (SELECT c.id, min(s.clone_formatting_key) AS fk, min(s.clone_substitution_key) AS sk FROM semantic_corpus c JOIN symbols s ON s.canonical_id = c.symbol_id GROUP BY 1)
+    , m AS (SELECT f.query, f.id, f.place, CASE WHEN x.sk = y.sk AND x.fk IS NOT DISTINCT FROM y.fk THEN 'exact' WHEN x.sk = y.sk THEN 'variant' END AS certainty FROM f LEFT JOIN k x ON x.id = f.query LEFT JOIN k y ON y.id = f.id)
+    , o AS (SELECT query, id, certainty, row_number() OVER (PARTITION BY query ORDER BY CASE certainty WHEN 'exact' THEN 0 WHEN 'variant' THEN 1 ELSE 2 END, place) AS place FROM m)"""
+)
+
+
+def _similar(spark, d):
+    """Both signals over all passages, fused whole; clones of the subject ahead by their certainty."""
+    every = _lexical(spark, d, 2**31 - 1)
+    v = _vectors(spark, d)
+    near = retrieval.nearest(v.where("id % 20 = 0"), v, retrieval.MOST_NEIGHBOURS).select("query", "id", "rank")
+    fused = retrieval.fuse(every, near)
+    known = table(spark, d, "symbols").groupBy("canonical_id").agg(F.min("clone_formatting_key").alias("formatting_key"), F.min("clone_substitution_key").alias("substitution_key"))
+    ids = table(spark, d, "semantic_corpus").select("id", "symbol_id").dropDuplicates(["id"])
+    keys = ids.join(known, ids.symbol_id == known.canonical_id).select("id", "formatting_key", "substitution_key")
+    return similarity.certain_first(fused, keys)
+
+
+@query(_FULL + " SELECT query, id, CAST(place AS INT) AS place, certainty FROM o WHERE place <= 25")
+def similar_ranked(spark, d):
+    return _similar(spark, d).where("place <= 25")
+
+
+@query(_FULL + " SELECT x.query AS a, x.id AS b FROM o x JOIN o y ON y.query = x.id AND y.id = x.query WHERE x.place = 1 AND y.place = 1 AND x.query < x.id")
+def mutual_similar(spark, d):
+    """Subjects that are each other's first row by both signals and certainty."""
+    return retrieval.mutual_pairs(_similar(spark, d).where("place = 1").select("query", "id"))
+
+
+@query(
+    _BM25
+    + ", "
+    + with_ctes("syms", "occs", "edges").removeprefix("WITH ")
+    + """, c AS (SELECT DISTINCT id, symbol_id FROM semantic_corpus)
+    , near_ AS (SELECT DISTINCT x.symbol_id AS subject, y.symbol_id AS candidate FROM r JOIN c x ON x.id = r.query JOIN c y ON y.id = r.id WHERE r.rank <= 10)
+    SELECT subject, candidate FROM near_ WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = candidate AND e.dst = subject) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = candidate AND e.src = subject)"""
+)
+def similar_unrelated(spark, d):
+    """Similar symbols without those that use the subject or are used by it."""
+    return similarity.exclude(similar_labels(spark, d), ["uses_subject", "used_by_subject"]).select("subject", "candidate").distinct()
