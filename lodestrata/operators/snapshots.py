@@ -1,10 +1,11 @@
 """Row changes between consecutive full snapshots of a table.
 
-Rows of all snapshots are range-partitioned and sorted by key, so each range
-holds every snapshot's rows of its keys side by side. One pass per range then
-runs the merge of each two neighbouring snapshots: the pointer on the earlier
-snapshot and the pointer on the later one move over the same sorted stream,
-and only the row before the current one has to be remembered.
+Rows of all snapshots are range-partitioned and sorted by key, snapshot and
+delivery, so each range holds every snapshot's rows of its keys side by side.
+One pass per range then runs the merge of each two neighbouring snapshots: the
+pointer on the earlier snapshot and the pointer on the later one move over the
+same sorted stream, of several deliveries of a row the last holds, and only two
+rows have to be remembered. That sort is the only shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestrata.runtime import materialize
+
 _CHANGES = T.StructType(
     [
         T.StructField("workspace_id", T.StringType()),
@@ -44,8 +47,9 @@ def normal_path(path, root=None):
         F.array().cast("array<string>"),
         lambda done, x: F.when((x == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
     )
-    # folding is only worth its cost where a part really goes back
-    joined = F.when(F.array_contains(parts, ".."), F.array_join(kept, "/")).otherwise(F.array_join(parts, "/"))
+    # taking a path apart is only worth its cost where a part is empty or made of dots, folding where one goes back
+    odd = p.rlike(r"(?:^|/)\.{0,2}(?:/|$)")
+    joined = F.when(odd, F.when(F.array_contains(parts, ".."), F.array_join(kept, "/")).otherwise(F.array_join(parts, "/"))).otherwise(p)
     return F.nullif(joined, F.lit(""))
 
 
@@ -56,15 +60,20 @@ def normal_hash(value):
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by (workspace, path, seq); ``last`` is the row before the batch."""
-    last = None
+    """Walk rows sorted by (workspace, path, seq) and delivery.
 
-    def compare(rows: pd.DataFrame, ended: bool) -> pd.DataFrame | None:
-        """Changes seen at the steps between neighbouring rows of ``rows``.
+    Two rows are carried to the next batch: the last, which a later delivery may
+    still replace, and the one before it.
+    """
 
-        ``rows`` starts with the remembered row (or a blank one) and the step
-        behind its last row is only taken when the stream has ended.
-        """
+    def latest(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of rows of one key and snapshot the last."""
+        ws, path, seq = (rows[c].to_numpy(object) for c in ("workspace_id", "document_path", "seq"))
+        again = (ws[1:] == ws[:-1]) & (path[1:] == path[:-1]) & (seq[1:] == seq[:-1])
+        return rows[np.append(~again, True)]
+
+    def compare(rows: pd.DataFrame, ended: bool) -> pd.DataFrame | None:
+        """Changes seen at the steps between neighbouring rows of ``rows``; the step behind the last is only taken when the stream has ended."""
         ws, path = rows["workspace_id"].to_numpy(object), rows["document_path"].to_numpy(object)
         seq = rows["seq"].to_numpy(np.int64)
         number, after = rows["snapshot_no"].to_numpy(np.int64), rows["next_no"].to_numpy(np.float64)
@@ -83,16 +92,17 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.concat(frames, ignore_index=True) if frames else None
 
     blank = pd.DataFrame({"workspace_id": [None], "document_path": [None], "seq": [0], "snapshot_no": [0], "next_no": [np.nan], "content_hash": [None]})
-    last = blank
+    carried = blank
     for batch in batches:
         if not len(batch):
             continue
-        found = compare(pd.concat([last, batch[list(blank.columns)]], ignore_index=True), False)
-        last = batch[list(blank.columns)].tail(1)
+        rows = latest(pd.concat([carried, batch[list(blank.columns)]], ignore_index=True))
+        found = compare(rows.iloc[:-1], False) if len(rows) > 2 else None
+        carried = rows.tail(2)
         if found is not None:
             yield found
-    if last is not blank:
-        found = compare(last.reset_index(drop=True), True)
+    if carried is not blank:
+        found = compare(carried, True)
         if found is not None:
             yield found
 
@@ -127,7 +137,7 @@ def snapshot_changes(files: DataFrame, snapshots: DataFrame, roots: DataFrame |
         rows, root = rows.join(known, "workspace_id", "left"), F.col("workspace_root")
     rows = rows.select("workspace_id", "snapshot_no", normal_path(F.col("document_path"), root).alias("document_path"), normal_hash(F.col("content_hash")).alias("content_hash"), "delivered_at")
     rows = rows.where(F.col("document_path").isNotNull() & F.col("workspace_id").isNotNull())
-    order = F.struct(F.col("delivered_at").isNotNull().alias("o0"), F.col("delivered_at").alias("o1"), F.col("content_hash").isNotNull().alias("o2"), F.col("content_hash").alias("h"))
-    held = rows.groupBy("workspace_id", "document_path", "snapshot_no").agg(F.max(order)["h"].alias("content_hash")).join(complete, ["workspace_id", "snapshot_no"])
-    sorted_rows = held.repartitionByRange("workspace_id", "document_path").sortWithinPartitions("workspace_id", "document_path", "seq")
+    # written once: the ranges are read off a sample of it
+    held = materialize(rows.join(complete, ["workspace_id", "snapshot_no"]).select("workspace_id", "document_path", "seq", "snapshot_no", "next_no", "content_hash", "delivered_at"), "snapshots")
+    sorted_rows = held.repartitionByRange("workspace_id", "document_path").sortWithinPartitions("workspace_id", "document_path", "seq", F.col("delivered_at").asc_nulls_first(), F.col("content_hash").asc_nulls_first())
     return sorted_rows.select("workspace_id", "document_path", "seq", "snapshot_no", "next_no", "content_hash").mapInPandas(_merge, _CHANGES)
