@@ -6,8 +6,11 @@ The search is exact and never looks at all pairs:
 * Equal sets of runs form a class; classes are compared, copies are not.
 * Two sets alike to at least ``t`` share a run among the first
   ``n - ceil(t n) + 1`` of each, in any common order of runs. The order puts
-  frequent runs last, by counts over all texts in a table of fixed size.
-  Classes that share such a run meet in a block.
+  frequent runs last, by counts over all texts: two tables of 32-bit counts of a
+  fixed size, of which the lesser holds, so a heavy run stands out however many
+  texts there are. Classes that share such a run meet in a block, and the
+  classes of a heavy run are spread over as many tiles as its count asks for
+  before anything is shuffled.
 * In a block, sketches are compared bit-sliced: one machine word holds the same
   sketch bit of 64 classes, a shift lines up each class with the one ``d``
   places on, carry-save adders count the differing bits of 64 pairs at once,
@@ -39,8 +42,8 @@ LIKENESS = 0.6
 LEAST_TOKENS = 40
 #: Bits of a sketch, planes compared between two looks at the radius, and rows of a block's tile.
 BITS, ROUND, TILE = 512, 128, 4096
-#: Places of the table of counts that orders the runs, and rows it is sent in.
-BUCKETS, CHUNKS = 1 << 22, 64
+#: Places of each of the two tables of counts that order the runs, and rows they are sent in.
+BUCKETS, CHUNKS = 1 << 21, 64
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
@@ -100,107 +103,111 @@ def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little")
 
 
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run is counted in the two tables."""
+    return (h >> _U(20)).astype(np.int64) % BUCKETS, BUCKETS + (_mix(h) >> _U(24)).astype(np.int64) % BUCKETS
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its set's fingerprint, size and sketch; per task the counts of its runs."""
-    cache = _WordHashes()
-    counts = np.zeros(BUCKETS, np.int64)
-    names = ["id", "at", "key", "fp", "cid", "n", "sketch", "chunk", "counts"]
+    """Per text its set's fingerprint, size and sketch, and the set itself where the task sees it first; per task the counts of its runs."""
+    cache, seen = _WordHashes(), set()
+    counts = np.zeros(2 * BUCKETS, np.uint32)
+    names = ["id", "at", "key", "fp", "cid", "n", "sketch", "runs", "chunk", "counts"]
     at_type = None
     for b in batches:
         at_type = b.column("at").type
         h, off = run_sets(b.column("text").to_pylist(), cache)
-        counts += np.bincount((h >> _U(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+        for places in _places(h):
+            where, n = np.unique(places, return_counts=True)
+            counts[where] += n.astype(np.uint32)
         sk = sketches(h, off)
-        fps = [blake2b(h[a:z].tobytes(), digest_size=16).digest() for a, z in zip(off[:-1], off[1:])]
+        blobs = [h[a:z].tobytes() for a, z in zip(off[:-1], off[1:])]
+        fps = [blake2b(x, digest_size=16).digest() for x in blobs]
+        runs = []
+        for fp, x in zip(fps, blobs):
+            runs.append(None if fp in seen else x)
+            seen.add(fp)
+        if len(seen) > 1_000_000:
+            seen.clear()
         k = b.num_rows
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("at"), b.column("key"), pa.array(fps, pa.binary()), pa.array([_cid(x) for x in fps], pa.int64()), pa.array(np.diff(off).astype(np.int32)), pa.array([x.tobytes() for x in sk], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+            [b.column("id"), b.column("at"), b.column("key"), pa.array(fps, pa.binary()), pa.array([_cid(x) for x in fps], pa.int64()), pa.array(np.diff(off).astype(np.int32)), pa.array([x.tobytes() for x in sk], pa.binary()), pa.array(runs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
             names,
         )
     if at_type is None:
         return
-    parts = np.minimum(counts, 65535).astype(np.uint16).reshape(CHUNKS, -1)
-    blobs = [zlib.compress(p.tobytes(), 1) for p in parts]
+    blobs = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(CHUNKS, -1)]
     yield pa.RecordBatch.from_arrays(
-        [pa.nulls(CHUNKS, t) for t in (pa.string(), at_type, pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary())] + [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(blobs, pa.binary())],
+        [pa.nulls(CHUNKS, t) for t in (pa.string(), at_type, pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())] + [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(blobs, pa.binary())],
         names,
     )
 
 
 def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BUCKETS // CHUNKS, np.int64)
+    total = np.zeros(2 * BUCKETS // CHUNKS, np.int64)
     for blob in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint16)
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+        total += np.frombuffer(zlib.decompress(blob), np.uint32)
+    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
 
-def _prefixes(likeness: float, table):
-    """(run, class) for the runs of each set that any set alike to it must share one of."""
+def _prefixes(likeness: float, table, tile: int):
+    """(run, tile, last, cid) for the runs of each set that any set alike to it must share one of.
+
+    ``tile`` is the part of the run's classes this one belongs to, ``last`` the
+    number of the run's last part; both follow from the run's count alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _WordHashes(), set()
-        often = np.frombuffer(zlib.decompress(table.value), np.uint16)  # counts stop at 65535; only the order matters
+        often = np.frombuffer(zlib.decompress(table.value), np.uint32)
         for b in batches:
-            h, off = run_sets(b.column("text").to_pylist(), cache)
-            n = np.diff(off)
+            blobs = b.column("runs").to_pylist()
+            n = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
+            h = np.frombuffer(b"".join(blobs), _U)
             owner = np.repeat(np.arange(len(n)), n)
-            weight = often[(h >> _U(20)).astype(np.int64) % BUCKETS]
+            first, second = _places(h)
+            weight = np.minimum(often[first], often[second])
             order = np.lexsort((h, weight, owner))
+            off = np.concatenate(([0], np.cumsum(n)))
             rank = np.arange(len(h)) - np.repeat(off[:-1], n)
             least = np.ceil(likeness * n - 1e-9).astype(np.int64)
             # runs counted once over all texts are in no other set
             keep = (rank < np.repeat(n - least + 1, n)) & (weight[order] > 1)
-            cid = np.empty(len(n), np.int64)
-            fresh = np.zeros(len(n), bool)
-            for i, (a, z) in enumerate(zip(off[:-1], off[1:])):
-                fp = blake2b(h[a:z].tobytes(), digest_size=16).digest()
-                cid[i] = _cid(fp)
-                if fp not in seen:
-                    seen.add(fp)
-                    fresh[i] = True
-            if len(seen) > 1_000_000:
-                seen.clear()
-            keep &= fresh[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][keep].view(np.int64)), pa.array(cid[owner[keep]])], ["run", "cid"])
+            cid = b.column("cid").to_numpy(zero_copy_only=False)[owner[keep]]
+            picked = order[keep]
+            parts = -(-weight[picked].astype(np.int64) // tile)
+            part = (_mix(cid.view(_U)) % parts.astype(_U)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[picked].view(np.int64)), pa.array(part), pa.array((parts - 1).astype(np.int32)), pa.array(cid)], ["run", "tile", "last", "cid"])
 
     return run
 
 
-def _shared(tile: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of (run, cid) sorted by both: different rows whose run has several cids, with their tile in the run.
-
-        Remembers one row: the last different one, with its rank in its run and
-        whether it still waits for a second cid.
-        """
-        held = None  # (run, cid, rank, waiting)
-        for b in batches:
-            run, cid = b.column("run").to_numpy(zero_copy_only=False), b.column("cid").to_numpy(zero_copy_only=False)
-            if not len(run):
-                continue
-            first_rank = 0
-            if held is not None:
-                run, cid = np.concatenate(([held[0]], run)), np.concatenate(([held[1]], cid))
-                first_rank = held[2]
-            new = np.concatenate(([True], (run[1:] != run[:-1]) | (cid[1:] != cid[:-1])))
-            run, cid = run[new], cid[new]
-            starts = np.concatenate(([True], run[1:] != run[:-1]))
-            group = np.cumsum(starts) - 1
-            at = np.flatnonzero(starts)
-            rank = np.arange(len(run)) - at[group]
-            rank[group == 0] += first_rank
-            size = np.bincount(group)[group]
-            waits = size == 1
-            if held is not None and not held[3]:
-                waits[0] = False  # its run has several cids already
-            emit = ~waits
-            if held is not None and not held[3]:
-                emit[0] = False  # it was given out before
-            last_waits = bool(waits[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(run[emit]), pa.array(cid[emit]), pa.array((rank[emit] // tile).astype(np.int32))], ["run", "cid", "tile"])
-            held = (run[-1], cid[-1], int(rank[-1]), last_waits)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (run, tile, last, cid) sorted by run, tile and cid: different rows, those left out whose run has one tile and there one cid.
 
-    return run
+    Remembers one row: the last different one, with whether it still waits for a second cid.
+    """
+    names = ["run", "tile", "last", "cid"]
+    held = None  # (run, tile, last, cid, waiting)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        run, tile, last, cid = (b.column(c).to_numpy(zero_copy_only=False) for c in names)
+        if held is not None:
+            run, tile, last, cid = (np.concatenate(([x], y)) for x, y in zip(held[:4], (run, tile, last, cid)))
+        same = (run[1:] == run[:-1]) & (tile[1:] == tile[:-1])
+        new = np.concatenate(([True], ~same | (cid[1:] != cid[:-1])))
+        run, tile, last, cid = run[new], tile[new], last[new], cid[new]
+        starts = np.concatenate(([True], (run[1:] != run[:-1]) | (tile[1:] != tile[:-1])))
+        group = np.cumsum(starts) - 1
+        waits = (np.bincount(group)[group] == 1) & (last == 0)
+        emit = ~waits
+        if held is not None and not held[4]:
+            # it was given out before; its run has several cids, so none of its group waits
+            waits[group == 0] = False
+            emit[group == 0] = True
+            emit[0] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[emit].astype(t)) for x, t in zip((run, tile, last, cid), (np.int64, np.int32, np.int32, np.int64))], names)
+        held = (run[-1], tile[-1], last[-1], cid[-1], bool(waits[-1]))
 
 
 def _slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -334,14 +341,6 @@ def _compare(likeness: float, tile: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = _WordHashes()
-    for b in batches:
-        h, off = run_sets(b.column("text").to_pylist(), cache)
-        blobs = [h[a:z].tobytes() for a, z in zip(off[:-1], off[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([blake2b(x, digest_size=16).digest() for x in blobs], pa.binary()), pa.array(blobs, pa.binary())], ["fp", "runs"])
-
-
 def _verify(likeness: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,28 +365,27 @@ class Search:
         self.likeness = likeness
         spark = items.sparkSession
         at = dict(items.dtypes)["at"]
-        profile = materialize(items.mapInArrow(_profile, f"id string, at {at}, key string, fp binary, cid long, n int, sketch binary, chunk int, counts binary"), "near-profile")
+        profile = materialize(items.mapInArrow(_profile, f"id string, at {at}, key string, fp binary, cid long, n int, sketch binary, runs binary, chunk int, counts binary"), "near-profile")
         summed = profile.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary").collect()
-        # CHUNKS rows of fixed length: the table's size doesn't depend on the data
-        whole = b"".join(zlib.decompress(r["counts"]) for r in sorted(summed, key=lambda r: r["chunk"])) or bytes(2 * BUCKETS)
+        # CHUNKS rows of fixed length: the tables' size doesn't depend on the data
+        whole = b"".join(zlib.decompress(r["counts"]) for r in sorted(summed, key=lambda r: r["chunk"])) or bytes(8 * BUCKETS)
         table = spark.sparkContext.broadcast(zlib.compress(whole, 1))
         order = F.struct(F.col("at").isNotNull().alias("a"), F.col("at").alias("b"), F.col("key").alias("key"), F.col("fp").alias("fp"), F.col("n").alias("n"))
+        known = profile.where("chunk IS NULL AND n > 0")
         #: One row (id, key, fp, n) per item with at least one run.
-        self.members = profile.where("chunk IS NULL AND n > 0").groupBy("id").agg(F.max(order).alias("m")).select("id", "m.key", "m.fp", "m.n")
-        classes = profile.where("chunk IS NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        thin = items.select("text").mapInArrow(_prefixes(likeness, table), "run long, cid long")
-        shared = materialize(thin.repartition("run").sortWithinPartitions("run", "cid").mapInArrow(_shared(tile), "run long, cid long, tile int"), "near-shared")
-        # a run in more classes than fit a tile: its tiles meet pairwise
-        large = shared.where(F.col("tile") > 0).groupBy("run").agg(F.max("tile").alias("last"))
-        sketched = classes.select("cid", "fp", "n", "sketch")
-        blocks = shared.join(large, "run", "left").join(sketched, "cid")
-        met = F.transform(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))), lambda t: F.struct(F.least(t, F.col("tile")).alias("low"), F.greatest(t, F.col("tile")).alias("high")))
+        self.members = known.groupBy("id").agg(F.max(order).alias("m")).select("id", "m.key", "m.fp", "m.n")
+        classes = known.groupBy("fp").agg(F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        sets = known.where("runs IS NOT NULL")
+        thin = sets.select("cid", "runs").mapInArrow(_prefixes(likeness, table, tile), "run long, tile int, last int, cid long")
+        shared = materialize(thin.repartition("run", "tile").sortWithinPartitions("run", "tile", "cid").mapInArrow(_shared, "run long, tile int, last int, cid long"), "near-shared")
+        # a run of more classes than fit a tile: its tiles meet pairwise
+        blocks = shared.join(classes.select("cid", "fp", "n", "sketch"), "cid")
+        met = F.transform(F.sequence(F.lit(0), F.col("last")), lambda t: F.struct(F.least(t, F.col("tile")).alias("low"), F.greatest(t, F.col("tile")).alias("high")))
         blocks = blocks.withColumn("met", F.explode(met)).select("run", "met.low", "met.high", "tile", "fp", "n", "sketch")
         near = blocks.repartition("run", "low", "high").sortWithinPartitions("run", "low", "high").mapInArrow(_compare(likeness, tile), "fp_a binary, fp_b binary")
         candidates = materialize(near.distinct(), "near-candidates")
         wanted = candidates.select(F.col("fp_a").alias("fp")).union(candidates.select(F.col("fp_b").alias("fp"))).distinct()
-        reps = wanted.join(classes.select("fp", F.col("rep").alias("id")), "fp").select("id")
-        sets = materialize(items.join(reps, "id", "left_semi").select("text").mapInArrow(_sets, "fp binary, runs binary").dropDuplicates(["fp"]), "near-sets")
+        sets = materialize(sets.select("fp", "runs").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
         both = candidates.join(sets.select(F.col("fp").alias("fp_a"), F.col("runs").alias("runs_a")), "fp_a").join(sets.select(F.col("fp").alias("fp_b"), F.col("runs").alias("runs_b")), "fp_b")
         #: Pairs (fp_a, fp_b, likeness) of different classes that are alike.
         self.class_pairs = both.mapInArrow(_verify(likeness), "fp_a binary, fp_b binary, likeness double")

@@ -370,3 +370,21 @@ def test_hot_key_is_salted(spark):
     keyed = materialize(keyed, "keyed")
     one, two = (sorted(map(tuple, format_duplicates.collapse(keyed, hot).collect())) for hot in (10**9, 100))
     assert one == two and max(r[2] for r in one) == 2000
+
+
+def test_shared_runs_over_batches():
+    """Rows of runs cut into batches at any place give the same rows once; a run spread over tiles never waits."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(40), 0, 0, rng.randrange(6)) for _ in range(200)) + [(100, t, 2, t) for t in (0, 0, 2)] + [(101, 0, 0, 7)] * 3
+    names = ["run", "tile", "last", "cid"]
+    held = collections.defaultdict(set)
+    for r, t, k, c in rows:
+        held[r, t, k].add(c)
+    want = sorted((r, t, k, c) for (r, t, k), cs in held.items() if len(cs) > 1 or k for c in cs)
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*rows[i : i + size])], names) for i in range(0, len(rows), size)]
+        got = [tuple(x.as_py() for x in y) for b in near_duplicates._shared(iter(batches)) for y in zip(*b.columns)]
+        assert sorted(got) == want, size
