@@ -95,7 +95,50 @@ _STRETCHES = r"""
         )
 """
 
+_ALIKE = r"""
+        WITH RECURSIVE s AS (
+            SELECT DISTINCT canonical_id, regexp_extract_all(lower(span_text), '[\p{L}\p{N}_]+') AS w
+            FROM symbols WHERE clone_token_count >= 40 AND span_text IS NOT NULL AND canonical_id IS NOT NULL
+        ), r AS (
+            SELECT canonical_id, list_sort(list(DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS runs
+            FROM (SELECT canonical_id, w, unnest(range(1, len(w) - 1)) AS i FROM s) GROUP BY 1
+        ), c AS (
+            SELECT md5(array_to_string(runs, chr(10))) AS cls, min(canonical_id) AS rep, any_value(runs) AS runs FROM r GROUP BY 1
+        ), u AS (
+            SELECT rep, unnest(runs) AS run FROM c
+        ), met AS (
+            SELECT a.rep AS a, b.rep AS b, count(*) AS both_ FROM u a JOIN u b ON a.run = b.run AND a.rep <> b.rep GROUP BY 1, 2
+        ), link AS (
+            SELECT a, b FROM met JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE both_ >= 0.6 * (len(x.runs) + len(y.runs) - both_)
+        ), reach AS (
+            SELECT rep AS node, rep AS other FROM c UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other
+        ), grp AS (SELECT node, min(other) AS group_id FROM reach GROUP BY 1), deg AS (SELECT a AS node, count(*) AS links FROM link GROUP BY 1)
+        SELECT r.canonical_id, g.group_id, coalesce(d.links, 0) AS links
+        FROM r JOIN c ON c.cls = md5(array_to_string(r.runs, chr(10))) JOIN grp g ON g.node = c.rep LEFT JOIN deg d ON d.node = c.rep
+"""
+
+#: Literals (group 1, kept) or comments of Python and of Rust, whose block comments nest two levels deep at most here.
+_PY_PARTS = r"""("{3}(?:[^"\\]|\\[\s\S]|"[^"]|""[^"])*"{3}|'{3}(?:[^'\\]|\\[\s\S]|'[^']|''[^'])*'{3}|"(?:[^"\\\r\n]|\\[\s\S])*"|'(?:[^'\\\r\n]|\\[\s\S])*')|#[^\r\n]*"""
+_RS_PARTS = r"""(r"[^"]*"|r#"(?:[^"]|"[^#])*"#|"(?:[^"\\]|\\[\s\S])*"|'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|[^\r\n]))')|//[^\n]*|/\*(?:[^*/]|\*+[^*/]|/+[^*/]|/\*(?:[^*]|\*+[^*/])*\*+/)*\*+/"""
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_COPIES = rf"""
+        WITH t AS (SELECT DISTINCT canonical_id, document_path, span_text FROM symbols WHERE canonical_id IS NOT NULL AND span_text IS NOT NULL), x AS (
+            SELECT canonical_id, CASE WHEN document_path LIKE '%.py' THEN regexp_replace(span_text, {_sql(_PY_PARTS)}, '\1 ', 'g')
+                WHEN document_path LIKE '%.rs' THEN regexp_replace(span_text, {_sql(_RS_PARTS)}, '\1 ', 'g') ELSE span_text END AS y FROM t
+        ), k AS (
+            SELECT canonical_id, array_to_string(list_sort(regexp_extract_all(lower(y), '[\p{{L}}\p{{N}}_]+')), ' ') AS key FROM x
+        ), g AS (SELECT key, min(canonical_id) AS keeper_id, count(*) AS copies FROM k GROUP BY 1 HAVING count(*) > 1)
+"""
+
 SQL = {
+    "p1_groups": _ALIKE,
+    "p3_found": _COPIES + "SELECT g.keeper_id, k.canonical_id AS copy_id FROM k JOIN g ON g.key = k.key WHERE k.canonical_id <> g.keeper_id",
+    "p3_collapsed": _COPIES + "SELECT keeper_id, copies FROM g",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
     "p2_found": _STRETCHES + "SELECT pa AS passage_a, sa AS start_a, pb AS passage_b, sa - d AS start_b FROM st",
     "p2_shared_tokens": _STRETCHES
