@@ -51,20 +51,51 @@ class Index:
     def _detail(self, rows: DataFrame, detail: str, start: int = 1, lines: int = GET_LINES) -> DataFrame:
         if detail not in DETAILS:
             raise ValueError(f"detail is one of {', '.join(DETAILS)}")
-        content = {"location": F.lit(None).cast("string"), "signature": F.col("signature_text"), "interface": F.coalesce("signature_text", "display_name"), "body": F.col("span_text")}[detail]
+        # the interface is the head with its documentation where the index has it, else the head
+        interface = F.coalesce(*[F.col(c) for c in ("interface_text", "signature_text", "display_name") if c in rows.columns])
+        content = {"location": F.lit(None).cast("string"), "signature": F.col("signature_text"), "interface": interface, "body": F.col("span_text")}[detail]
         return rows.select("canonical_id", "kind", "document_path", "start_line", "end_line", tx.window_lines(content, start, lines).alias("content"))
 
     def get(self, reference: str, detail: str = "body", start: int = 1, lines: int = GET_LINES) -> Answer:
         got = self._resolved(reference)
         return got if got.outcome != "found" else Answer("found", self._detail(got.rows, detail, start, lines))
 
-    def at(self, document: str, offset: int, detail: str = "location") -> Answer:
-        """The innermost symbol at a place."""
-        point = self.symbols.sparkSession.createDataFrame([(0, document, offset)], "p int, document_path string, point long")
-        spans = self.symbols.where(F.col("document_path") == document).select("canonical_id", "document_path", F.col("span_start").alias("start"), F.col("span_end").alias("end"))
-        hit = intervals.innermost(point, spans, "p", "canonical_id")
+    def _placed(self, document: str, offset: int | None, line: int | None, column: int | None) -> Answer:
+        """The innermost symbol at an offset or a line and column; of a line alone the outermost symbols that start or lie there."""
+        spark = self.symbols.sparkSession
+        here = self.symbols.where(F.col("document_path") == document)
+        if here.isEmpty():
+            return Answer("absent")
+        if offset is not None:
+            spans = here.select("canonical_id", "document_path", F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+            hit = intervals.innermost(spark.createDataFrame([(0, document, offset)], "p int, document_path string, point long"), spans, "p", "canonical_id")
+        elif line is not None and column is not None:
+            hit = intervals.innermost_by_line(spark.createDataFrame([(0, document, line, column)], "p int, document_path string, line int, column int"), here, "p", "canonical_id")
+        elif line is not None:
+            # headers on the line, the outermost of them; without one whatever lies around the line, innermost
+            heads = here.where(F.col("start_line") == line).select("canonical_id", "document_path", F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+            hit = intervals.outermost(heads, "canonical_id", ["document_path"])
+            if hit.isEmpty():
+                spans = here.select("canonical_id", "document_path", F.col("start_line").cast("long").alias("start"), (F.col("end_line") + 1).cast("long").alias("end"))
+                hit = intervals.innermost(spark.createDataFrame([(0, document, line)], "p int, document_path string, point long"), spans, "p", "canonical_id")
+        else:
+            raise ValueError("a place is an offset, a line, or a line and a column")
         rows = self.symbols.join(hit.select("canonical_id"), "canonical_id", "left_semi")
-        return Answer("absent") if rows.isEmpty() else Answer("found", self._detail(rows, detail))
+        n = rows.limit(2).count()
+        return Answer("absent") if n == 0 else Answer("found" if n == 1 else "ambiguous", rows)
+
+    def _subject(self, reference: str | None, place: dict | None) -> Answer:
+        """The subject by its name, or by its place: document with offset, line, or line and column."""
+        if (reference is None) == (place is None):
+            raise ValueError("a subject is given by its reference or by its place")
+        if reference is not None:
+            return self._resolved(reference)
+        return self._placed(place["document"], place.get("offset"), place.get("line"), place.get("column"))
+
+    def at(self, document: str, offset: int | None = None, detail: str = "location", line: int | None = None, column: int | None = None) -> Answer:
+        """The innermost symbol at an offset or a line and column, or the outermost that starts on a line."""
+        got = self._placed(document, offset, line, column)
+        return got if got.rows is None else Answer(got.outcome, self._detail(got.rows, detail))
 
     def find(self, fragment: str, limit: int = LIMIT) -> DataFrame:
         return resolution.find(self.symbols, fragment).select("canonical_id", "display_name", "kind").limit(limit)
@@ -84,8 +115,10 @@ class Index:
         elif relation in ("references", "tests"):
             rows = self.occurrences.where((F.col("symbol_id") == name) & (F.col("role") == "reference"))
             if relation == "tests":
-                tested = self.symbols.where("test_rule IS NOT NULL").select(F.col("canonical_id").alias("enclosing_id"))
-                rows = rows.join(tested, "enclosing_id", "left_semi")
+                # the rule of the declaration around the place, else of its document's module
+                own = self.symbols.select(F.col("canonical_id").alias("enclosing_id"), F.col("test_rule").alias("_own"))
+                module = self.symbols.where("kind = 'module' AND document_path IS NOT NULL").groupBy("document_path").agg(F.min("test_rule").alias("_module"))
+                rows = rows.join(own, "enclosing_id", "left").join(module, "document_path", "left").where("coalesce(_own, _module) IS NOT NULL").drop("_own", "_module")
             rows = rows.orderBy("document_path", "span_start")
         else:
             kinds, a, b = {"contains": (["contains"], "src", "dst"), "containers": (["contains"], "dst", "src"), "importers": (["imports"], "dst", "src"), "implementers": (["type_hierarchy", "overrides"], "dst", "src"), "implements": (["type_hierarchy", "overrides"], "src", "dst")}[relation]
@@ -105,27 +138,43 @@ class Index:
         """Passages by BM25, fused with ``vectors`` (query 0, id, rank) where given."""
         return self._ranking(text, vectors).where(F.col("place") <= limit).orderBy("place")
 
-    def similar(self, reference: str, limit: int = LIMIT, without: list[str] | None = None) -> Answer:
-        """Symbols whose passages are like the subject's, with how they are related to it; those with labels in ``without`` are left out of the whole ranking, before the limit."""
-        got = self._resolved(reference)
+    def similar(self, reference: str | None = None, limit: int = LIMIT, without: list[str] | None = None, vectors: DataFrame | None = None, place: dict | None = None) -> Answer:
+        """Symbols whose passages are like the subject's, clones of it first (exact, then variants), with how they are related to it.
+
+        Those with labels in ``without`` are left out of the whole ranking, before the limit; ``vectors`` (query 0, id, rank) is the second signal.
+        """
+        got = self._subject(reference, place)
         if got.outcome != "found":
             return got
-        name = got.rows.first().canonical_id
+        subject = got.rows.first()
+        name = subject.canonical_id
         own = self.passages.where(F.col("symbol_id") == name).first()
         if own is None:
             return Answer("not_comparable")
-        rows = self._ranking(own.render).where(F.col("symbol_id") != name)
+        rows = self._ranking(own.render, vectors).where(F.col("symbol_id") != name)
+        certainty, order = F.lit(None).cast("string"), [F.col("place")]
+        if "clone_substitution_key" in self.symbols.columns and subject.clone_substitution_key is not None:
+            same = F.col("clone_substitution_key") == subject.clone_substitution_key
+            certainty = F.when(same & F.col("clone_formatting_key").eqNullSafe(F.lit(subject.clone_formatting_key)), "exact").when(same, "variant")
+            keys = self.symbols.select(F.col("canonical_id").alias("symbol_id"), "clone_substitution_key", "clone_formatting_key")
+            rows = rows.join(keys, "symbol_id", "left")
+            order = [F.when(F.col("certainty") == "exact", 0).when(F.col("certainty") == "variant", 1).otherwise(2), F.col("place")]
+        rows = rows.select("symbol_id", "place", certainty.alias("certainty"))
         pairs = rows.select(F.lit(name).alias("subject"), F.col("symbol_id").alias("candidate"))
         labels = similarity.exclude(similarity.labelled(pairs, self.edges, self.symbols), without or [])
-        return Answer("found", labels.join(rows.withColumnRenamed("symbol_id", "candidate"), "candidate").orderBy("place").limit(limit))
+        return Answer("found", labels.join(rows.withColumnRenamed("symbol_id", "candidate"), "candidate").orderBy(*order).limit(limit))
+
+    def similar_batch(self, references_: list[str], limit: int = LIMIT, without: list[str] | None = None) -> list[tuple[str, Answer]]:
+        """(reference, answer) for each of a list of subjects, in its order."""
+        return [(r, self.similar(r, limit, without)) for r in references_]
 
-    def clones(self, reference: str | None = None) -> Answer:
-        """All groups of clones, or the group of one symbol."""
+    def clones(self, reference: str | None = None, place: dict | None = None) -> Answer:
+        """All groups of clones, or the group of one symbol by its reference or place."""
         keys = self.symbols.select("canonical_id", F.col("clone_substitution_key").alias("substitution_key"), F.col("clone_formatting_key").alias("formatting_key"), F.col("clone_token_count").alias("token_count"))
         groups = clones.clone_groups(keys)
-        if reference is None:
+        if reference is None and place is None:
             return Answer("found", groups.orderBy(F.col("token_count").desc(), F.col("members").desc(), "group_id", "exact_set", "canonical_id"))
-        got = self._resolved(reference)
+        got = self._subject(reference, place)
         if got.outcome != "found":
             return got
         subject = got.rows.first()
@@ -135,9 +184,9 @@ class Index:
         rows = groups.join(mine, "group_id", "left_semi").where(F.col("canonical_id") != subject.canonical_id)
         return Answer("empty" if rows.isEmpty() else "found", rows.orderBy("exact_set", "canonical_id"))
 
-    def fragments(self, reference: str) -> Answer:
+    def fragments(self, reference: str | None = None, place: dict | None = None) -> Answer:
         """Runs of tokens one symbol shares with others, longest first; pairs with too many seeds come last, without runs."""
-        got = self._resolved(reference)
+        got = self._subject(reference, place)
         if got.outcome != "found":
             return got
         rows = clones.fragment_clones(self.symbols, subject=got.rows.first().canonical_id)

@@ -276,14 +276,48 @@ def drop_contained(runs: DataFrame) -> DataFrame:
     return runs.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_uncontained, runs.schema)
 
 
-def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM, shifts: Iterable[int] | None = None) -> list[tuple[int, int, int]]:
+def data_flags(tokens: list[Token], rust: bool) -> list[bool]:
+    """Which tokens are data: literals, signs of numbers, and brackets and separators (in Rust also the mark of a borrow)."""
+    out = []
+    for i, t in enumerate(tokens):
+        if t.kind == LITERAL or (t.text and all(c in ",;:()[]{}" for c in t.text)) or (rust and t.text == "&"):
+            out.append(True)
+            continue
+        following = tokens[i + 1] if i + 1 < len(tokens) else None
+        number = following is not None and following.kind == LITERAL and following.text[:1].isdigit()
+        operand = i > 0 and (tokens[i - 1].kind in (IDENTIFIER, LITERAL) or tokens[i - 1].text in (")", "]"))
+        out.append(t.text in ("-", "+") and number and not operand)
+    return out
+
+
+def data_breaks(a: list[Token], b: list[Token], data_a: list[bool], data_b: list[bool], shift: int, least: int) -> set[int]:
+    """Places in ``a`` on the diagonal of ``shift`` where a stretch of data is spelled differently.
+
+    A stretch is a longest one of places at which both sides hold data; only
+    those of ``least`` tokens or more count, wherever a run begins or ends.
+    """
+    out: set[int] = set()
+    begun = None
+    first, end = max(0, shift), min(len(a), len(b) + shift)
+    for k in range(first, end + 1):
+        if k < end and data_a[k] and data_b[k - shift]:
+            begun = k if begun is None else begun
+        elif begun is not None:
+            if k - begun >= least:
+                out.update(m for m in range(begun, k) if a[m].text != b[m - shift].text)
+            begun = None
+    return out
+
+
+def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM, shifts: Iterable[int] | None = None, data: tuple[list[bool], list[bool], int] | None = None) -> list[tuple[int, int, int]]:
     """Longest runs (start in a, start in b, length) two token series share under a one-to-one renaming.
 
     Tokens are equal where their classes and, but for identifiers and literals,
     their spellings are; within a run the renaming of identifiers and of
     literals is one-to-one. Runs contained in another in both series are left out.
     A boundary is in no run. Where ``shifts`` are given, only runs whose starts
-    differ by one of them are looked for.
+    differ by one of them are looked for. ``data`` gives which tokens of both
+    are data and how long a stretch of them has to be for its spelling to count.
     """
 
     def same(x: Token, y: Token) -> bool:
@@ -293,11 +327,12 @@ def shared_runs(a: list[Token], b: list[Token], least: int = KGRAM, shifts: Iter
     for shift in range(-(len(b) - 1), len(a)) if shifts is None else sorted(set(shifts)):
         i, end = max(0, shift), min(len(a), len(b) + shift)
         start, there, back = i, {}, {}
+        broken = data_breaks(a, b, data[0], data[1], shift, data[2]) if data else ()
         k = i
         while k < end:
             x, y = a[k], b[k - shift]
             kx, ky = (x.kind, x.text), (y.kind, y.text)
-            if not same(x, y):
+            if not same(x, y) or k in broken:
                 if k - start >= least:
                     found.append((start, start - shift, k - start))
                 start, there, back = k + 1, {}, {}
@@ -333,7 +368,7 @@ def _compared(k: int, window: int):
             places: dict[int, list[int]] = {}
             for h, at in _picked(tokens, k, window):
                 places.setdefault(h, []).append(at)
-            return tokens, places, None if contained else clone_keys(tokens)[1]
+            return tokens, places, None if contained else clone_keys(tokens)[1], data_flags(tokens, bool(path) and path.endswith(".rs"))
 
         def side(x: dict):
             return read(*(x[c] for c in _TEXT_COLUMNS[:-1]), tuple((c["start"], c["end"], c["id"]) for c in x["contained"] or ()))
@@ -341,11 +376,11 @@ def _compared(k: int, window: int):
         for batch in batches:
             out: list[tuple] = []
             for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("symbol_a", "symbol_b", "a", "b"))):
-                (a, at_a, key_a), (b, at_b, key_b) = side(x), side(y)
+                (a, at_a, key_a, data_a), (b, at_b, key_b, data_b) = side(x), side(y)
                 if key_a is not None and key_a == key_b:  # clones as a whole
                     continue
                 shifts = {p - q for h in at_a.keys() & at_b.keys() for p in at_a[h] for q in at_b[h]}
-                for p, q, n in shared_runs(a, b, k + window - 1, shifts):
+                for p, q, n in shared_runs(a, b, k + window - 1, shifts, (data_a, data_b, k)):
                     out.append((i, j, True, p, q, n, all(t.text == u.text for t, u in zip(a[p : p + n], b[q : q + n]))))
             yield pa.RecordBatch.from_pylist([dict(zip(_FRAGMENTS.names, r)) for r in out], schema=_FRAGMENTS)
 

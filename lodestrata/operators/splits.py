@@ -14,8 +14,10 @@ def make_split(ids: list[str], seed: int, development: int, frozen: int, members
     Members of an earlier split stay where they are; the rest are drawn without
     replacement in one seeded order, so a larger split holds a smaller one.
     """
-    order = sorted(set(ids))
-    random.Random(seed).shuffle(order)
+    distinct = sorted(set(ids))
+    wanted = development + frozen
+    # one draw of all that is wanted; where members are to be kept, of every id
+    order = random.Random(seed).sample(distinct, len(distinct) if members else min(wanted, len(distinct)))
     held = {k: [x for x in (members or {}).get(k, []) if x in set(ids)] for k in ("development", "frozen")}
     taken = {x for v in held.values() for x in v}
     rest = iter(x for x in order if x not in taken)
@@ -23,7 +25,7 @@ def make_split(ids: list[str], seed: int, development: int, frozen: int, members
         while len(held[name]) < size:
             x = next(rest, None)
             if x is None:
-                raise ValueError(f"{len(order)} ids are too few for {development} and {frozen}")
+                raise ValueError(f"{len(distinct)} ids are too few for {development} and {frozen}")
             held[name].append(x)
     return held
 

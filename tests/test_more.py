@@ -108,6 +108,9 @@ def test_index(spark):
     near = i.similar("f").rows.collect()
     assert near[0].candidate == "w::m::g" and near[0].labels == ["uses_subject", "tests_subject"]
     assert i.clones("f").rows.first().canonical_id == "w::m::g" and i.clones("w::n::g").outcome == "not_comparable"
+    assert near[0].certainty == "variant" and [a.outcome for _, a in i.similar_batch(["f", "zz"])] == ["found", "absent"]
+    assert i.at("a.py", line=5).rows.first().canonical_id == "w::m::g" and i.at("a.py", line=1).rows.first().canonical_id == "w::m::f" and i.at("c.py", line=1).outcome == "absent"
+    assert i.clones(place={"document": "a.py", "offset": 3}).rows.first().canonical_id == "w::m::g" and i.similar(place={"document": "a.py", "line": 1}).outcome == "found"
     seeds, rows = i.impact(spark.createDataFrame([(1, "a.py", 1, 2)], "region_id int, document_path string, start int, count int"))
     assert seeds.first().grade == "exact" and [r.node for r in rows.collect()] == ["w::m::g"]
     assert F is not None
@@ -215,3 +218,18 @@ def test_places():
     assert deep.other[deep.starts.index(7)] == len(deep.tokens) - 1
     assert places.rust_tiers("") == ("", "", 0) and places.python_tiers("x = 1") == ("x = 1", "x = 1", 5)
     assert places.python_tiers("async def f(x='(:'):\n  'doc'; y") == ("async def f(x='(:'):", "async def f(x='(:'):\n'doc'", 20)
+
+
+def test_data_breaks():
+    from lodestrata.functions.tokens import rust_tokens
+    from lodestrata.operators import clones
+
+    a = rust_tokens("let t = [1, -2, 3, 4, 5, 6]; f(x);")
+    b = rust_tokens("let u = [1, -2, 9, 4, 5, 7]; f(y);")
+    flags = [clones.data_flags(t, True) for t in (a, b)]
+    assert [t.text for t, f in zip(a, flags[0]) if not f] == ["let", "t", "=", "f", "x"]
+    breaks = clones.data_breaks(a, b, *flags, 0, 4)
+    assert sorted(a[k].text for k in breaks) == ["3", "6"] and clones.data_breaks(a, b, *flags, 0, 50) == set()
+    whole = clones.shared_runs(a, b, 4)
+    cut = clones.shared_runs(a, b, 4, None, (*flags, 4))
+    assert max(n for _, _, n in whole) == len(a) and max(n for _, _, n in cut) < len(a) and all(not set(range(s, s + n)) & breaks for s, t, n in cut if s == t)
