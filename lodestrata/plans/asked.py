@@ -272,3 +272,20 @@ def exported_pairs(spark, d):
     paired.select("instance_id", "b_value", "t_value").write.json(path)
     back = spark.read.schema("instance_id long, b_value double, t_value double").json(path)
     return back.select("instance_id", F.round("b_value", 6).alias("b_value"), F.round("t_value", 6).alias("t_value"))
+
+
+@query(
+    """WITH w AS (SELECT id, length(t) % 50 AS token FROM (SELECT id, unnest(string_split_regex(render, '\\s+')) AS t FROM (SELECT id, min(render) AS render FROM semantic_corpus WHERE render IS NOT NULL GROUP BY 1)) WHERE t <> '')
+    , v AS (SELECT vec_id AS token, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 40)
+    , m AS (SELECT w.id, i, avg(v.e[i]) AS x FROM w JOIN v ON v.token = w.token, (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i) GROUP BY 1, 2)
+    SELECT id, count(*) AS dims, round(max(x) / sqrt(sum(x * x)), 5) AS largest, round(arg_max(x, -i) / sqrt(sum(x * x)), 5) AS "first" FROM m GROUP BY 1"""
+)
+def text_embeddings(spark, d):
+    """Passages as the mean of their words' vectors; a word's vector goes by its length here, and words too long have none."""
+    from lodestrata.operators import embedding
+
+    texts = table(spark, d, "semantic_corpus").where("render IS NOT NULL").groupBy("id").agg(F.min("render").alias("render"))
+    tokens = texts.select("id", F.explode(F.split("render", r"\s+")).alias("t")).where("t <> ''").select("id", (F.length("t") % 50).cast("long").alias("token"))
+    vectors = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    rows = embedding.static_embeddings(tokens, vectors)
+    return rows.select("id", F.size("embedding").cast("long").alias("dims"), F.round(F.array_max("embedding"), 5).alias("largest"), F.round(F.element_at("embedding", 1), 5).alias("first"))

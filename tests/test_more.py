@@ -233,3 +233,21 @@ def test_data_breaks():
     whole = clones.shared_runs(a, b, 4)
     cut = clones.shared_runs(a, b, 4, None, (*flags, 4))
     assert max(n for _, _, n in whole) == len(a) and max(n for _, _, n in cut) < len(a) and all(not set(range(s, s + n)) & breaks for s, t, n in cut if s == t)
+
+
+def test_vector_bytes_and_token_counts(spark):
+    import os
+    import struct
+
+    from lodestrata.operators import embedding
+
+    df = spark.createDataFrame([(1, [1.0, -2.5]), (2, None)], "id int, v array<float>")
+    got = {r.id: r.b for r in df.select("id", embedding.vector_bytes(F.col("v")).alias("b")).collect()}
+    assert bytes(got[1]) == struct.pack("<2f", 1.0, -2.5) and got[2] is None
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if os.path.exists(path):
+        texts = spark.createDataFrame([(1, "Hello world"), (2, None), (3, "<|endoftext|>")], "id int, text string")
+        assert {r.id: r.tokens for r in embedding.token_counts(texts, path).collect()} == {1: 2, 2: 0, 3: 7}
+    tokens = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "a")], "id int, token string")
+    table = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 8.0])], "token string, vector array<float>")
+    assert {r.id: [round(x, 6) for x in r.embedding] for r in embedding.static_embeddings(tokens, table).collect()} == {1: [0.6, 0.8]}
