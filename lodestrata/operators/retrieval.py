@@ -125,12 +125,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, others_only: bool =
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(*signals: DataFrame, group: str = "query", key: str = "id", k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of (group, key, rank) lists: (group, key, place)."""
+def fused_scores(*signals: DataFrame, group: str = "query", key: str = "id", k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion of (group, key, rank) lists: (group, key, score)."""
     parts = signals[0].select(group, key, "rank")
     for s in signals[1:]:
         parts = parts.unionByName(s.select(group, key, "rank"))
-    score = parts.groupBy(group, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 15).alias("score"))
+    return parts.groupBy(group, key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 15).alias("score"))
+
+
+def fuse(*signals: DataFrame, group: str = "query", key: str = "id", k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion of (group, key, rank) lists: (group, key, place)."""
+    score = fused_scores(*signals, group=group, key=key, k=k)
     w = Window.partitionBy(group).orderBy(F.col("score").desc(), key)
     return score.select(group, key, F.row_number().over(w).alias("place"))
 

@@ -74,16 +74,32 @@ def in_type_family(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> Da
     return near.select("subject", "candidate").union(shared.select("subject", "candidate")).distinct()
 
 
-def certain_first(ranked: DataFrame, keys: DataFrame) -> DataFrame:
-    """(query, id, place, certainty) of fused candidates, exact clones of the subject first, then variants, then all others.
+def with_certainty(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """``candidates`` (query, id, …) with certainty: exact or variant where they are clones of the query, else null.
 
-    ``ranked`` has query, id and place; ``keys`` id, formatting_key and
-    substitution_key. Within a class the fused order stays.
+    ``keys`` has id, formatting_key and substitution_key. Clones meet by key, so
+    only they are looked up, not every candidate's keys.
     """
-    mine = keys.where("substitution_key IS NOT NULL").select(F.col("id").alias("query"), F.col("formatting_key").alias("f"), F.col("substitution_key").alias("s"))
-    rows = ranked.select("query", "id", F.col("place").alias("fused")).join(mine, "query", "left").join(keys.select("id", "formatting_key", "substitution_key"), "id", "left")
-    same = F.col("s").isNotNull() & (F.col("s") == F.col("substitution_key"))
-    certainty = F.when(same & F.col("f").eqNullSafe(F.col("formatting_key")), "exact").when(same, "variant")
-    rows = rows.select("query", "id", "fused", certainty.alias("certainty"))
-    w = Window.partitionBy("query").orderBy(F.when(F.col("certainty") == "exact", 0).when(F.col("certainty") == "variant", 1).otherwise(2), "fused")
+    known = keys.where("substitution_key IS NOT NULL").select("id", F.col("formatting_key").alias("f"), F.col("substitution_key").alias("s"))
+    asked = candidates.select("query").distinct()
+    mine = known.join(asked, known.id == asked["query"]).select("query", F.col("f").alias("fq"), "s")
+    clones = mine.join(known, "s").where("id <> query").select("query", "id", F.when(F.col("fq").eqNullSafe(F.col("f")), "exact").otherwise("variant").alias("certainty"))
+    return candidates.join(clones, ["query", "id"], "left")
+
+
+def _class_of(certainty):
+    return F.when(certainty == "exact", 0).when(certainty == "variant", 1).otherwise(2)
+
+
+def certain_first(ranked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query, id, place, certainty) of fused candidates (query, id, place), exact clones of the subject first, then variants, then all others; within a class the fused order stays."""
+    rows = with_certainty(ranked.select("query", "id", F.col("place").alias("fused")), keys)
+    w = Window.partitionBy("query").orderBy(_class_of(F.col("certainty")), "fused")
     return rows.select("query", "id", F.row_number().over(w).alias("place"), "certainty")
+
+
+def first_rows(scored: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query, id): the first row of each query by certainty, then fused score (query, id, score), then id; found by one aggregation."""
+    rows = with_certainty(scored, keys)
+    best = F.min(F.struct(_class_of(F.col("certainty")).alias("c"), (-F.col("score")).alias("s"), F.col("id").alias("id")))
+    return rows.groupBy("query").agg(best.alias("m")).select("query", F.col("m.id").alias("id"))

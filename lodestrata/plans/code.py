@@ -252,10 +252,11 @@ _BM25 = (
 )
 
 
-def _lexical(spark, d, most=10):
+def _lexical(spark, d, most=10, subjects=None):
     passages = table(spark, d, "semantic_corpus").select("id", "render").dropDuplicates(["id"])
     index = materialize(retrieval.postings(passages, "id", "render"), "postings")
-    asked = index.where("id % 20 = 0").select(F.col("id").alias("query"), "word")
+    asked = index.where("id % 20 = 0") if subjects is None else index.join(subjects, "id", "left_semi")
+    asked = asked.select(F.col("id").alias("query"), "word")
     scored = retrieval.bm25(index, "id", asked, retrieval.corpus_totals(index, "id")).where("query <> id")
     return retrieval.ranked(scored.withColumn("score", F.round("score", 9)), "query", "id", F.col("score").desc(), most)
 
@@ -270,6 +271,11 @@ _NEAR = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddi
     , r AS (SELECT query, id, distance, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM n)"""
 
 
+def _passage_vectors(spark, d):
+    """The given vectors as those of the passages, whose ids start at 1000."""
+    return _vectors(spark, d).withColumn("id", F.col("id") + 1000)
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
@@ -302,15 +308,15 @@ def best_chunks(spark, d):
 
 @query(
     _BM25
-    + """, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+    + """, e AS (SELECT vec_id + 1000 AS id, embedding::DOUBLE[] AS v FROM embeddings)
     , n AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0)
     , both_ AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 10 UNION ALL SELECT query, id, 1.0 / (60 + rank) FROM n WHERE rank <= 10)
     , f AS (SELECT query, id, round(sum(part), 15) AS score FROM both_ GROUP BY 1, 2)
     SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS place FROM f"""
 )
 def search_fused(spark, d):
-    """Both signals fused: the words of passages, and the given vectors as those of the passages with their ids."""
-    v = _vectors(spark, d)
+    """Both signals fused: the words of passages, and the given vectors as theirs."""
+    v = _passage_vectors(spark, d)
     near = retrieval.nearest(v.where("id % 20 = 0"), v, 10)
     return retrieval.fuse(_lexical(spark, d), near.select("query", "id", "rank"))
 
@@ -395,39 +401,44 @@ def impact_dependents(spark, d):
     return impact.impact(_regions(spark, d), known, graph.reference_edges(occurrences(spark, d), known))[1].select("node", "distance")
 
 
-_FULL = (
-    _BM25.replace("SELECT DISTINCT id, render FROM semantic_corpus", "SELECT id, min(render) AS render FROM semantic_corpus", 1).replace("WHERE render IS NOT NULL)", "WHERE render IS NOT NULL GROUP BY 1)", 1)
-    + """, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
-    , n AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0)
+#: Subjects are passages with vectors: each twentieth of them, or all.
+_FULL_ALL = (
+    _BM25.replace("WHERE id % 20 = 0)", "WHERE id IN (SELECT vec_id + 1000 FROM embeddings))").replace("SELECT DISTINCT id, render FROM semantic_corpus", "SELECT id, min(render) AS render FROM semantic_corpus", 1).replace("WHERE render IS NOT NULL)", "WHERE render IS NOT NULL GROUP BY 1)", 1)
+    + """, e AS (SELECT vec_id + 1000 AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id + 1000 IN (SELECT id FROM semantic_corpus))
+    , n AS (SELECT a.id AS query, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM e a JOIN e b ON a.id <> b.id WHERE a.id IN (SELECT query FROM q))
     , parts AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM r UNION ALL SELECT query, id, 1.0 / (60 + rank) FROM n WHERE rank <= 4096)
     , f AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(sum(part), 15) DESC, id) AS place FROM parts GROUP BY 1, 2)
     , k AS (SELECT c.id, min(s.clone_formatting_key) AS fk, min(s.clone_substitution_key) AS sk FROM semantic_corpus c JOIN symbols s ON s.canonical_id = c.symbol_id GROUP BY 1)
     , m AS (SELECT f.query, f.id, f.place, CASE WHEN x.sk = y.sk AND x.fk IS NOT DISTINCT FROM y.fk THEN 'exact' WHEN x.sk = y.sk THEN 'variant' END AS certainty FROM f LEFT JOIN k x ON x.id = f.query LEFT JOIN k y ON y.id = f.id)
     , o AS (SELECT query, id, certainty, row_number() OVER (PARTITION BY query ORDER BY CASE certainty WHEN 'exact' THEN 0 WHEN 'variant' THEN 1 ELSE 2 END, place) AS place FROM m)"""
 )
+_FULL = _FULL_ALL.replace("WHERE id IN (SELECT vec_id + 1000 FROM embeddings))", "WHERE id % 20 = 0 AND id IN (SELECT vec_id + 1000 FROM embeddings))")
 
 
-def _similar(spark, d):
-    """Both signals over all passages, fused whole; clones of the subject ahead by their certainty."""
-    every = _lexical(spark, d, 2**31 - 1)
-    v = _vectors(spark, d)
-    near = retrieval.nearest(v.where("id % 20 = 0"), v, retrieval.MOST_NEIGHBOURS).select("query", "id", "rank")
-    fused = retrieval.fuse(every, near)
+def _signals(spark, d, subjects: str):
+    """(both signals over all passages, keys of clones); subjects are the passages with vectors that ``subjects`` picks."""
+    ids = table(spark, d, "semantic_corpus").select("id").distinct()
+    v = materialize(_passage_vectors(spark, d).join(ids, "id", "left_semi"), "vectors")
+    asked = v.where(subjects)
+    near = retrieval.nearest(asked, v, retrieval.MOST_NEIGHBOURS).select("query", "id", "rank")
+    words = _lexical(spark, d, 2**31 - 1, asked.select("id"))
     known = table(spark, d, "symbols").groupBy("canonical_id").agg(F.min("clone_formatting_key").alias("formatting_key"), F.min("clone_substitution_key").alias("substitution_key"))
     ids = table(spark, d, "semantic_corpus").select("id", "symbol_id").dropDuplicates(["id"])
     keys = ids.join(known, ids.symbol_id == known.canonical_id).select("id", "formatting_key", "substitution_key")
-    return similarity.certain_first(fused, keys)
+    return [words, near], keys
 
 
 @query(_FULL + " SELECT query, id, CAST(place AS INT) AS place, certainty FROM o WHERE place <= 25")
 def similar_ranked(spark, d):
-    return _similar(spark, d).where("place <= 25")
+    signals, keys = _signals(spark, d, "id % 20 = 0")
+    return similarity.certain_first(retrieval.fuse(*signals), keys).where("place <= 25")
 
 
-@query(_FULL + " SELECT x.query AS a, x.id AS b FROM o x JOIN o y ON y.query = x.id AND y.id = x.query WHERE x.place = 1 AND y.place = 1 AND x.query < x.id")
+@query(_FULL_ALL + " SELECT x.query AS a, x.id AS b FROM o x JOIN o y ON y.query = x.id AND y.id = x.query WHERE x.place = 1 AND y.place = 1 AND x.query < x.id")
 def mutual_similar(spark, d):
-    """Subjects that are each other's first row by both signals and certainty."""
-    return retrieval.mutual_pairs(_similar(spark, d).where("place = 1").select("query", "id"))
+    """All passages with vectors that are each other's first row by both signals and certainty."""
+    signals, keys = _signals(spark, d, "true")
+    return retrieval.mutual_pairs(similarity.first_rows(retrieval.fused_scores(*signals), keys))
 
 
 @query(
