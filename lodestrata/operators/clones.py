@@ -148,6 +148,22 @@ def keyed(symbols: DataFrame) -> DataFrame:
     return spread(_texts(symbols)).mapInArrow(_keyed, "id string, formatting_key string, substitution_key string, token_count int").dropDuplicates(["id"]).withColumnRenamed("id", "canonical_id")
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, rows = [], []
+        for i, *x in zip(*(b.column(c).to_pylist() for c in ("id", *_TEXT_COLUMNS))):
+            tokens = _tokens(*x)
+            ids += [i] * len(tokens)
+            rows += [(k, *t) for k, t in enumerate(tokens)]
+        n, kind, text, start = zip(*rows) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(n, pa.int32()), pa.array(kind, pa.string()), pa.array(text, pa.string()), pa.array(start, pa.int32())], ["canonical_id", "ordinal", "kind", "text", "start"])
+
+
+def spelled_tokens(symbols: DataFrame) -> DataFrame:
+    """(canonical_id, ordinal, kind, text, start): the tokens of each text as they are compared, comments and documentation left out."""
+    return spread(_texts(symbols)).mapInArrow(_spelled, "canonical_id string, ordinal int, kind string, text string, start int").dropDuplicates(["canonical_id", "ordinal"])
+
+
 def _picked(tokens: list[Token], k: int, window: int) -> list[tuple[int, int]]:
     # run_hash of each run, its tokens packed once
     parts = [t.kind.encode() if t.kind in (IDENTIFIER, LITERAL) else t.text.encode() for t in tokens]

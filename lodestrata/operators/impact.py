@@ -9,14 +9,15 @@ from lodestrata.operators.graph import dependents
 from lodestrata.operators.intervals import minimal, overlapping
 
 
-def line_starts(files: DataFrame) -> DataFrame:
-    """(document_path, line, start): where each line begins, in characters; LF ends a line."""
+def line_starts(files: DataFrame, bytes_: bool = False) -> DataFrame:
+    """(document_path, line, start): where each line begins, in characters or in bytes of UTF-8; LF ends a line."""
+    size = F.octet_length if bytes_ else F.length
     parts = F.split("text", "\n", -1)
     rows = files.select("document_path", F.posexplode(parts).alias("k", "piece"))
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("document_path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("document_path", (F.col("k") + 1).alias("line"), F.coalesce(F.sum(F.length("piece") + 1).over(w), F.lit(0)).alias("start"))
+    return rows.select("document_path", (F.col("k") + 1).alias("line"), F.coalesce(F.sum(size("piece") + 1).over(w), F.lit(0)).alias("start"))
 
 
 def seeds_of_regions(regions: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,10 +92,25 @@ def _end(tokens: list[Token], other: list[int], i: int, text: str) -> int:
     return len(text)
 
 
+_INNER_LINES = re.compile(r"[\s\ufeff]*((?://![^\n]*(?:\n[ \t]*|\Z))+)")
+_INNER_BLOCK = re.compile(r"[\s\ufeff]*/\*!([\s\S]*?)\*/")
+
+
+def _rust_module_documentation(text: str) -> list[tuple]:
+    """What a document says about itself ahead of everything else."""
+    m = _INNER_LINES.match(text)
+    if m is not None:
+        said = "\n".join(x.strip()[3:].strip() for x in m[1].rstrip().split("\n"))
+        end = m.start(1) + len(m[1].rstrip())
+        return [("module_documentation", "", said, m.start(1), end, 0, len(text))]
+    m = _INNER_BLOCK.match(text)
+    return [] if m is None else [("module_documentation", "", m[1].strip(), m.start(1) - 3, m.end(), 0, len(text))]
+
+
 def _rust_facts(text: str) -> list[tuple]:
     tokens = rust_tokens(text)
     other = partners(tokens)
-    out: list[tuple] = []
+    out: list[tuple] = _rust_module_documentation(text)
     attributes: list[str] = []
     first = 0
     for i, t in enumerate(tokens):

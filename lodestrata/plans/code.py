@@ -235,9 +235,7 @@ def page_keyset(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     asked = paging.query_identity("orders", {"limit": 25}, "-")
     first = paging.keyset_page(rows, "o_orderkey", 25, asked)
-    token = paging.decode_cursor(first.cursor) if first.cursor else None
-    again = rows.where(F.col("o_orderkey") > (int(token[2]) if token else -1))
-    return again.orderBy("o_orderkey").limit(25)
+    return paging.keyset_page(rows, "o_orderkey", 25, asked, first.cursor).rows
 
 
 _BM25 = (
