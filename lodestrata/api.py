@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
-from lodestrata.operators import clones, graph, impact, intervals, resolution, retrieval, similarity
+from lodestrata.operators import clones, graph, impact, intervals, paging, resolution, retrieval, similarity
 
 #: What a call gives out unless told otherwise (fixed values).
 LIMIT, GET_LINES, LIST_LINES, IMPACT_DEPTH = 25, 100, 10, 1
@@ -193,6 +193,12 @@ class Index:
         rows = rows.orderBy(F.col("length").desc_nulls_last(), "symbol_b", "a_start", "b_start")
         return Answer("empty" if rows.isEmpty() else "found", rows)
 
+    def page(self, answer: Answer, order: list, limit: int, asked: dict, cursor: str | None = None) -> paging.Page:
+        """One page of an answer's rows in a total order; ``asked`` is what was asked, which a cursor is bound to."""
+        if answer.rows is None:
+            raise ValueError(f"an answer that is {answer.outcome} has no pages")
+        return paging.offset_page(answer.rows, order, limit, paging.query_identity("answer", asked, "-"), cursor)
+
     def impact(self, regions: DataFrame, depth: int = IMPACT_DEPTH) -> tuple[DataFrame, DataFrame]:
         """(seeds, dependents within ``depth``) of changed line regions."""
         seeds, rows = impact.impact(regions, self.symbols, self.edges)

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.runtime import spread
 
 #: Boundaries of content, the widest first: blank lines, sentence ends, lines.
 _CUTS = [re.compile(r"\n[ \t]*\n+"), re.compile(r"[.!?](?=\s)\s?"), re.compile(r"\n")]
@@ -48,6 +54,22 @@ def _atoms(text: str, size: int, count: Callable[[str], int], level: int = 0) ->
     return [a for p in parts if p for a in _atoms(p, size, count, level + 1)]
 
 
+def split_passages(passages: DataFrame, size: int = 512, overlap: int = 64, key: str = "id") -> DataFrame:
+    """(key, ordinal, chunk, units) of passages (key, header, content): each cut as by ``split_passage``, in tasks.
+
+    Rows without key are left out; null headers and contents are empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k, c, count_units(c)) for i, h, t in zip(*(b.column(x).to_pylist() for x in ("key", "header", "content"))) for k, c in enumerate(split_passage(h or "", t or "", size, overlap))]
+            keys, ordinals, texts, units = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("key").type), pa.array(ordinals, pa.int32()), pa.array(texts, pa.string()), pa.array(units, pa.int32())], ["key", "ordinal", "chunk", "units"])
+
+    rows = passages.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "header", "content")
+    return spread(rows).mapInArrow(run, f"key {dict(rows.dtypes)['key']}, ordinal int, chunk string, units int").withColumnRenamed("key", key)
+
+
 def split_passage(header: str, content: str, size: int = 512, overlap: int = 64, count: Callable[[str], int] = count_units) -> list[str]:
     """Chunks of header and content of at most ``size`` tokens by ``count``.
 

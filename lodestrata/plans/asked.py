@@ -289,3 +289,25 @@ def text_embeddings(spark, d):
     vectors = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
     rows = embedding.static_embeddings(tokens, vectors)
     return rows.select("id", F.size("embedding").cast("long").alias("dims"), F.round(F.array_max("embedding"), 5).alias("largest"), F.round(F.element_at("embedding", 1), 5).alias("first"))
+
+
+@query(with_ctes("syms", "occs") + _SUBJECT + " SELECT id FROM occs JOIN me ON symbol_id = me WHERE role = 'reference' ORDER BY document_path, span_start, id LIMIT 10 OFFSET 10")
+def asked_page(spark, d):
+    """The second page of ten references, by the cursor of the first."""
+    i, me = _index(spark, d), _subject(spark, d)
+    order = [F.col(c) for c in ("document_path", "span_start", "id")]
+    answer = i.trace(me, "references")
+    first = i.page(answer, order, 10, {"of": me})
+    return i.page(answer, order, 10, {"of": me}, first.cursor).rows.select("id")
+
+
+@query("SELECT id, true AS within, true AS whole FROM (SELECT DISTINCT id FROM semantic_corpus WHERE render IS NOT NULL)")
+def passage_chunks(spark, d):
+    """Chunks of passages: none is larger than 64 tokens, and together they hold the passage's words in order."""
+    from lodestrata.functions.chunks import split_passages
+
+    texts = table(spark, d, "semantic_corpus").where("render IS NOT NULL").groupBy("id").agg(F.min("render").alias("content"))
+    chunks = split_passages(texts.withColumn("header", F.lit("")), 64, 0)
+    per = chunks.groupBy("id").agg(F.max("units").alias("most"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk"))), lambda x: x["chunk"]), " ").alias("all"))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    return per.join(texts, "id").select("id", (F.col("most") <= 64).alias("within"), (bare("all") == bare("content")).alias("whole"))

@@ -168,3 +168,21 @@ def epoch_seconds(spark, d):
     """Times out of text: ISO-8601, plain numbers, and what is neither."""
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).when(F.col("event_id") % 3 == 1, F.format_string("%.1f", F.col("event_id") * 1.5)).otherwise("soon")
     return table(spark, d, "events").select("event_id", F.round(tx.epoch_seconds(text), 6).alias("seconds"))
+
+
+@query("SELECT max(semantic_model_identity) AS model, CAST(max(corpus_definition_version) AS BIGINT) AS corpus_version, CAST(max(chunk_size) AS BIGINT) AS chunk_size, CAST(max(chunk_overlap) AS BIGINT) AS chunk_overlap FROM index_metadata")
+def stored_semantic_identity(spark, d):
+    """What a build's vectors were made with, read back from its manifest."""
+    m = table(spark, d, "index_metadata").agg(F.max("semantic_model_identity").alias("model"), F.max("corpus_definition_version").alias("corpus_version"), F.max("chunk_size").alias("chunk_size"), F.max("chunk_overlap").alias("chunk_overlap"))
+    got = _stored(spark, "index_metadata", m, m.first().asDict()).semantic_identity()
+    return spark.createDataFrame([tuple(got.values())], "model string, corpus_version long, chunk_size long, chunk_overlap long")
+
+
+@query("SELECT sha256(string_agg(path || chr(31) || h, chr(10) ORDER BY path || chr(31) || h)) AS digest FROM (SELECT 'workspace_id=' || workspace_id AS path, sha256(string_agg(display_name || chr(10), '' ORDER BY display_name)) AS h FROM (SELECT DISTINCT canonical_id, display_name, workspace_id FROM symbols WHERE workspace_id IS NOT NULL) GROUP BY 1)")
+def directory_digests(spark, d):
+    """One digest of a folder's files, whose names are written without the parts that differ from run to run."""
+    rows = symbols(spark, d).where("workspace_id IS NOT NULL").select("workspace_id", "display_name")
+    one = rows.repartition("workspace_id").sortWithinPartitions("workspace_id", "display_name")
+    path, out = _written(spark, one)
+    out.partitionBy("workspace_id").text(path)
+    return spark.createDataFrame([(files.directory_digest(spark, path, named=r"^(workspace_id=[^/]*)/part-.*$"),)], "digest string")

@@ -210,3 +210,16 @@ def split_conflicts(spark, d):
     ids = table(spark, d, "events").where("user_id IS NOT NULL").select(F.col("user_id").alias("id")).distinct()
     part = lambda n: ids.select(F.when(F.col("id") % n == 0, "development").otherwise("frozen").alias("subset"), "id")
     return splits.split_conflicts(part(2), part(6))
+
+
+@query("SELECT event_type AS arm, count(*) AS trials, count(*) FILTER (event_id % 3 > 0) AS using, round(avg(event_id % 3), 6) AS mean, round(stddev_samp(event_id % 3), 6) AS deviation FROM events GROUP BY 1")
+def tool_uptake(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("arm"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3).alias("calls"))
+    return ex.uptake(rows).select("arm", "trials", "using", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("SELECT event_type AS \"group\", count(*) AS n, round(regr_slope(value, user_id), 8) AS slope, true AS inside FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1")
+def slope_intervals(spark, d):
+    """Slopes with bootstrap bounds around them."""
+    found = ex.slope_estimates(table(spark, d, "events"), "event_type", "user_id", "value", draws=200)
+    return found.select("group", "n", F.round("slope", 8).alias("slope"), ((F.col("low") <= F.col("slope")) & (F.col("slope") <= F.col("high"))).alias("inside"))

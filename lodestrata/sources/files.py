@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import is_discovered
 
 
+def _relative(path: str, root: str):
+    """A file's path below ``root``, whichever way a local root is written."""
+    base = re.sub(r"^file:/+", "/", root.rstrip("/")) + "/"
+    return F.substr(F.col(path), F.locate(base, F.col(path)) + F.lit(len(base)))
+
+
 def scan_sources(spark: SparkSession, root: str, extension: str, skipped: tuple[str, ...] = ("target", "venv")) -> DataFrame:
     """(document_path, text) of the files below ``root`` with the extension.
 
     Paths are relative with ``/``. Hidden and ``skipped`` folders are left out,
     and so are files that are no UTF-8. Files are listed and read by tasks.
     """
-    base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(root)
-    relative = F.substring_index(F.col("path"), base, -1)
-    rows = raw.select(relative.alias("document_path"), "content")
+    rows = raw.select(_relative("path", root).alias("document_path"), "content")
     rows = rows.where(is_discovered(F.col("document_path"), extension, skipped) & F.is_valid_utf8(F.col("content").cast("string")))
     return rows.select("document_path", F.decode("content", "UTF-8").alias("text"))
 
@@ -32,11 +38,12 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("reference")).where("reference <> ''")
 
 
-def read_trials(spark: SparkSession, path: str, arm: str | None = None) -> DataFrame:
-    """Trials from exported JSON lines, one object each, for one arm or all."""
+def read_trials(spark: SparkSession, path: str, arm: str | None = None, version: str | None = None) -> DataFrame:
+    """Trials from exported JSON lines, one object each, for one arm or all, and of one version of their parameters or all."""
     schema = "instance_id string, arm string, attempt long, started_at double, terminal_state string, params map<string,string>, metrics map<string,double>"
     rows = spark.read.schema(schema).json(path)
-    return rows if arm is None else rows.where(F.col("arm") == arm)
+    rows = rows if arm is None else rows.where(F.col("arm") == arm)
+    return rows if version is None else rows.where(F.col("params")["version"] == version)
 
 
 def trial_key(*columns: str):
@@ -52,13 +59,20 @@ def build_targets(metadata: DataFrame, column: str = "json") -> DataFrame:
     return targets.select("package", F.element_at("t.kind", 1).alias("kind"), F.col("t.name").alias("name"), F.col("t.src_path").alias("root"), "manifest")
 
 
-def directory_digest(spark: SparkSession, root: str, without: str | None = None) -> str:
-    """SHA-256 over the paths and hashes of all files below ``root``, whatever their order."""
-    base = root.rstrip("/") + "/"
+def directory_digest(spark: SparkSession, root: str, without: str | None = None, named: str | None = None) -> str:
+    """SHA-256 over the paths and hashes of all files below ``root``, whatever their order.
+
+    ``without`` is a folder to leave out; ``named`` a pattern whose first group
+    stands for a path, where paths hold parts that mean nothing.
+
+    The lines of paths and hashes, not the files, are what one task puts in order.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = raw.select(F.substring_index("path", base, -1).alias("p"), F.sha2("content", 256).alias("h"))
+    rows = raw.select(_relative("path", root).alias("p"), F.sha2("content", 256).alias("h"))
     if without:
         rows = rows.where(~F.col("p").startswith(without.rstrip("/") + "/"))
+    if named:
+        rows = rows.where(F.col("p").rlike(named)).select(F.regexp_extract("p", named, 1).alias("p"), "h")
     lines = rows.select(F.concat_ws("\x1f", "p", "h").alias("l"))
     return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256)).first()[0]
 

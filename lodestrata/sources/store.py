@@ -51,8 +51,8 @@ def _write(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), full, modes)
 
 
-def manifest(spark: SparkSession, root: str) -> dict | None:
-    """The manifest of a store: null where there is none, an error where it isn't ours or of another version."""
+def manifest(spark: SparkSession, root: str, older: bool = False) -> dict | None:
+    """The manifest of a store: null where there is none, an error where it isn't ours or of another version; with ``older`` one of an older version is given too."""
     text = _read(spark, f"{root}/manifest.json")
     if text is None:
         return None
@@ -62,14 +62,17 @@ def manifest(spark: SparkSession, root: str) -> dict | None:
         raise StoreError(f"{root} holds no store of ours") from e
     if not isinstance(found, dict) or found.get("mark") != MARK:
         raise StoreError(f"{root} holds no store of ours")
-    if found["version"] != VERSION:
+    if found["version"] != VERSION and not (older and isinstance(found["version"], int) and found["version"] < VERSION):
         raise StoreError(f"{root} has version {found['version']}; rebuild it")
     return found
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], facts: dict | None = None) -> str:
-    """Write all tables as one build and put it in place; a failure leaves the build before it."""
-    manifest(spark, root)  # refuses what isn't ours
+    """Write all tables as one build and put it in place; a failure leaves the build before it.
+
+    A store of an older version is replaced; what isn't ours, or of a newer version, is refused.
+    """
+    manifest(spark, root, older=True)
     build = uuid.uuid4().hex
     for name, df in tables.items():
         if name == "symbols" and "class" in df.columns and "document_path" in df.columns:
@@ -91,5 +94,11 @@ class Snapshot:
             raise StoreError(f"{root} holds no store")
         self.spark, self.root, self.facts, self.build, self.names = spark, root, found["facts"], found["build"], found["tables"]
 
+    def semantic_identity(self) -> dict | None:
+        """What its vectors were made with: model, corpus version and chunk parameters; null where the build names no model."""
+        if self.facts.get("model") is None:
+            return None
+        return {k: self.facts.get(k) for k in ("model", "corpus_version", "chunk_size", "chunk_overlap")}
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/builds/{self.build}/{name}")

@@ -1,5 +1,6 @@
 """Units, positions, chunks, trial evidence, backends and the questions of an index."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.api import Index
@@ -251,3 +252,29 @@ def test_vector_bytes_and_token_counts(spark):
     tokens = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "a")], "id int, token string")
     table = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 8.0])], "token string, vector array<float>")
     assert {r.id: [round(x, 6) for x in r.embedding] for r in embedding.static_embeddings(tokens, table).collect()} == {1: [0.6, 0.8]}
+
+
+def test_store_replaces_older_versions(spark, tmp_path):
+    import json
+
+    from lodestrata.sources import store
+
+    root = str(tmp_path / "store")
+    df = spark.range(3)
+    store.publish(spark, root, {"t": df}, {"model": "m", "chunk_size": 512})
+    snap = store.Snapshot(spark, root)
+    assert snap.semantic_identity() == {"model": "m", "corpus_version": None, "chunk_size": 512, "chunk_overlap": None}
+    place = tmp_path / "store" / "manifest.json"
+    for version, fails in ((store.VERSION - 1, False), (store.VERSION + 1, True)):
+        found = json.loads(place.read_text()) | {"version": version}
+        for p in tmp_path.glob("store/.manifest.json.crc"):
+            p.unlink()
+        place.write_text(json.dumps(found))
+        with pytest.raises(store.StoreError):
+            store.Snapshot(spark, root)
+        if fails:
+            with pytest.raises(store.StoreError):
+                store.publish(spark, root, {"t": df})
+        else:
+            store.publish(spark, root, {"t": df}, {})
+            assert store.Snapshot(spark, root).table("t").count() == 3
