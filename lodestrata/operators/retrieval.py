@@ -21,6 +21,8 @@ MOST_NEIGHBOURS = 4096
 HOT_WORD = 20_000
 #: Vectors of one tile of the block comparison.
 TILE = 1024
+#: Tiles of vectors that meet a tile of queries under one join key.
+MEET = 8
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,7 +111,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, others_only: bool =
     """(query, id, distance, rank): the k nearest vectors of each query by Euclidean distance, exactly.
 
     Both sides (id, v) are packed into tiles; a tile of queries meets every tile
-    of vectors in an equi-join on the tile's number, and each meeting is one
+    of vectors in an equi-join on the tile's group, and each meeting is one
     matrix product that gives out k rows a query. k is at most MOST_NEIGHBOURS;
     ties go by id; rows with null id or vector take no part.
     """
@@ -117,9 +119,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, others_only: bool =
     q = queries.where("id IS NOT NULL AND v IS NOT NULL").select("id", "v").mapInArrow(_pack, "tile long, ids binary, vectors binary")
     d = vectors.where("id IS NOT NULL AND v IS NOT NULL").select("id", "v").mapInArrow(_pack, "tile long, ids binary, vectors binary")
     q, d = materialize(q, "query-tiles"), materialize(d, "vector-tiles")
-    numbers = d.agg(F.sort_array(F.collect_list("tile")).alias("tiles"))  # one long per TILE vectors
-    left = q.crossJoin(F.broadcast(numbers)).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode("tiles").alias("tile"))
-    met = left.join(d.select("tile", F.col("ids").alias("d_ids"), F.col("vectors").alias("d_vectors")), "tile")
+    # tiles fall into groups of about MEET; a tile of queries goes once to each group
+    groups = max(1, -(-d.count() // MEET))
+    left = q.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    met = left.join(d.select(F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int").alias("group"), F.col("ids").alias("d_ids"), F.col("vectors").alias("d_vectors")), "group")
     near = met.select("q_ids", "q_vectors", "d_ids", "d_vectors").mapInArrow(_nearest(k, others_only), "query long, id long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import module_path_words, own_documentation, split_words
+from lodestrata.runtime import materialize
 
 #: Relation labels in their order (fixed values).
 LABELS = ["uses_subject", "used_by_subject", "tests_subject", "type_family"]
@@ -22,6 +23,8 @@ def labelled(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFram
     else to the type that contains it. Only the given pairs are looked at, so a
     supertype of very many types makes no pairs.
     """
+    # both are read several times
+    pairs, edges = materialize(pairs.select("subject", "candidate"), "pairs"), materialize(edges.select("kind", "src", "dst").distinct(), "edges")
     uses = edges.where("kind <> 'contains'").select(F.col("src").alias("candidate"), F.col("dst").alias("subject")).distinct().withColumn("u", F.lit(True))
     used = edges.where("kind <> 'contains'").select(F.col("src").alias("subject"), F.col("dst").alias("candidate")).distinct().withColumn("v", F.lit(True))
     tests = symbols.select(F.col("canonical_id").alias("candidate"), F.col("test_rule").isNotNull().alias("t"))
