@@ -194,3 +194,21 @@ def select_twins_by_scope(references: DataFrame, twins: DataFrame, spans: DataFr
 def group_bases(twins: DataFrame) -> DataFrame:
     """(descriptor, identity): the identity a group of twins goes by: its least one without the collision's number."""
     return twins.groupBy("descriptor").agg(F.regexp_replace(F.min("symbol_id"), r"#[0-9]+$", "").alias("identity"))
+
+
+def join_group(references: DataFrame, twins: DataFrame, parents: DataFrame, places: DataFrame) -> DataFrame:
+    """(occurrence_id, symbol_id, rule, outcome) of references to descriptors that several documents define.
+
+    The twin is chosen by locality as in ``select_twins``; then the place has to
+    pass the rules for the chosen one. ``references``: occurrence_id (string),
+    descriptor, document_path, role, package, dotted_name, segments,
+    module_segments; ``twins``: descriptor, document_path, symbol_id, name, kind.
+    Without one nearest twin the outcome is duplicate_ambiguous, with a place
+    that no rule accepts text_mismatch. Every reference comes once.
+    """
+    chosen = materialize(select_twins(references, twins, parents), "chosen")
+    named = twins.select("symbol_id", "name", "kind").dropDuplicates(["symbol_id"])
+    taken = references.join(chosen.where("symbol_id IS NOT NULL").select("occurrence_id", "symbol_id"), "occurrence_id").join(named, "symbol_id")
+    judged = align_at_places(taken, places).select("occurrence_id", "symbol_id", "rule", "outcome")
+    none = F.lit(None).cast("string")
+    return judged.unionByName(chosen.where("symbol_id IS NULL").select("occurrence_id", none.alias("symbol_id"), none.alias("rule"), F.lit("duplicate_ambiguous").alias("outcome")))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestrata.api import Index
+from lodestrata.api import EVERY, Index
 from lodestrata.functions import text as tx
 from lodestrata.operators import clones, experiment, intervals, references, status, units
 from lodestrata.plans import building
@@ -44,11 +44,11 @@ def asked_get(spark, d):
     return rows.select("canonical_id", "kind", "document_path", "start_line", F.col("content.text").alias("content"))
 
 
-@query(with_ctes("syms", "occs") + _SUBJECT + " SELECT canonical_id, display_name, kind FROM syms WHERE contains(lower(display_name), (SELECT left(lower(display_name), 4) FROM syms JOIN me ON canonical_id = me)) ORDER BY canonical_id LIMIT 10000")
+@query(with_ctes("syms", "occs") + _SUBJECT + " SELECT canonical_id, display_name, kind FROM syms WHERE contains(lower(display_name), (SELECT left(lower(display_name), 4) FROM syms JOIN me ON canonical_id = me))")
 def asked_find(spark, d):
     i = _index(spark, d)
     name = i.symbols.where(F.col("canonical_id") == _subject(spark, d)).first().display_name
-    return i.find(name[:4].upper(), limit=10_000)
+    return i.find(name[:4].upper(), limit=EVERY)
 
 
 @query(with_ctes("syms", "occs") + _SUBJECT + " SELECT id, document_path, span_start FROM occs JOIN me ON symbol_id = me WHERE role = 'reference'")
@@ -165,14 +165,10 @@ def held_documents(spark, d):
     return occurrences(spark, d).select("document_path").distinct().join(symbols(spark, d).select("document_path"), "document_path", "left_semi")
 
 
-@query(with_ctes("syms", "occs") + building._REFUSED + " SELECT discrepancy_id, document_path, span_start, CAST(row_number() OVER (ORDER BY document_path, span_start, discrepancy_id) AS INT) AS place FROM refused ORDER BY place LIMIT 100")
+@query(with_ctes("syms", "occs") + building._REFUSED + " SELECT discrepancy_id, document_path, span_start FROM refused ORDER BY document_path, span_start, discrepancy_id")
 def discrepancy_listing(spark, d):
-    """The first hundred discrepancies in the order of their places."""
-    from pyspark.sql.window import Window
-
-    order = ["document_path", "span_start", "discrepancy_id"]
-    few = building._refused(spark, d).select(*order).orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(100)
-    return few.withColumn("place", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in order])))
+    """All discrepancies in the order of their places."""
+    return building._refused(spark, d).select("discrepancy_id", "document_path", "span_start").orderBy("document_path", "span_start", "discrepancy_id")
 
 
 @query("SELECT count(*) AS chunks, count(DISTINCT vec_id // 3) AS passages FROM embeddings")

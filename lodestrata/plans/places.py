@@ -181,3 +181,22 @@ def declaration_tiers(spark, d):
     rows = table(spark, d, "symbols").where("signature_text IS NOT NULL AND span_text IS NOT NULL AND lower(trim(kind)) IN ('function', 'method')").dropDuplicates(["canonical_id"])
     head = F.lower(F.replace(F.regexp_replace("signature_text", r"\s+", ""), F.lit(",)"), F.lit(")")))
     return places.declaration_tiers(rows.select("canonical_id", "document_path", "span_text")).select("canonical_id", head.alias("signature"))
+
+
+@query(
+    with_ctes("syms")
+    + _WHERE
+    + """ SELECT canonical_id || ' ' || p AS occurrence_id, CASE WHEN length(n) % 3 > 0 THEN 'twin 0 of ' || n END AS symbol_id, CASE WHEN length(n) % 3 > 0 AND p = 20 THEN 'exact' END AS rule,
+        CASE WHEN length(n) % 3 = 0 THEN 'duplicate_ambiguous' WHEN p = 20 THEN 'aligned' ELSE 'text_mismatch' END AS outcome
+    FROM src, (SELECT unnest([0, 20]) AS p) WHERE document_path LIKE '%.rs'"""
+)
+def aligned_groups(spark, d):
+    """Names that several documents define: one twin lies at the source's parent, or two; of two places one spells the name."""
+    occ = materialize(_occurrences(spark, d).where("document_path LIKE '%.rs' AND probe IN (0, 20)"), "occurrences")
+    none = F.lit(None).cast("array<string>")
+    refs = occ.select("occurrence_id", F.col("n").alias("descriptor"), "document_path", "role", F.lit("p").alias("package"), F.lit(None).cast("string").alias("dotted_name"), none.alias("segments"), none.alias("module_segments"))
+    names = occ.select("n").distinct()
+    count = F.when(F.length("n") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    twins = names.select("n", F.explode(count).alias("k")).select(F.col("n").alias("descriptor"), F.lit("root").alias("document_path"), F.concat(F.lit("twin "), F.col("k").cast("string"), F.lit(" of "), "n").alias("symbol_id"), F.col("n").alias("name"), F.lit("type").alias("kind"))
+    parents = occ.select(F.col("document_path").alias("document"), F.lit("root").alias("parent")).distinct()
+    return alignment.join_group(refs, twins, parents, _facts(occ))

@@ -144,23 +144,30 @@ def patch_regions(spark, d):
 
 # --- text -----------------------------------------------------------------------
 
-@query(r"SELECT DISTINCT canonical_id, trim(regexp_replace(span_text, '\s+', ' ', 'g')) AS flat, CAST(len(string_split(span_text, chr(10))) AS INT) AS lines FROM symbols WHERE span_text IS NOT NULL AND NOT regexp_matches(span_text, '[^\x00-\x7f]') AND NOT contains(span_text, chr(11))")
+@query(r"SELECT DISTINCT canonical_id, trim(regexp_replace(span_text, '[\s\x0b\x{85}\p{Z}]+', ' ', 'g')) AS flat, CAST(len(string_split(span_text, chr(10))) AS INT) AS lines FROM symbols WHERE span_text IS NOT NULL")
 def collapsed_texts(spark, d):
-    """White space as single blanks, and the pieces between line ends; texts of ASCII."""
-    rows = table(spark, d, "symbols").where(r"span_text IS NOT NULL AND NOT rlike(span_text, '[^\\x00-\\x7f]') AND NOT contains(span_text, chr(11))").dropDuplicates(["canonical_id"])
+    """White space as single blanks, and the pieces between line ends."""
+    rows = table(spark, d, "symbols").where("span_text IS NOT NULL").dropDuplicates(["canonical_id"])
     t = F.col("span_text")
     return rows.select("canonical_id", tx.collapse_whitespace(t).alias("flat"), F.size(tx.lines(t)).alias("lines"))
 
 
 @query(
-    """WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line, CASE doc_id % 2 WHEN 0 THEN 'utf32' ELSE 'utf8' END AS encoding FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, encoding, CASE WHEN encoding = 'utf32' THEN CASE WHEN length(line) >= 3 THEN CAST(octet_length(encode(substring(line, 1, 3))) AS INT) END
-        ELSE CASE WHEN octet_length(encode(line)) >= 3 AND (octet_length(encode(line)) = 3 OR list_contains([octet_length(encode(substring(line, 1, 1))), octet_length(encode(substring(line, 1, 2))), octet_length(encode(substring(line, 1, 3)))], 3)) THEN 3 END END AS byte FROM l"""
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL)
+    , b AS (SELECT *, length(line) AS n, octet_length(encode(line)) AS total, [octet_length(encode(substring(line, 1, 1))), octet_length(encode(substring(line, 1, 2))), octet_length(encode(substring(line, 1, 3)))] AS up, ['utf8', 'utf16', 'utf32'][(doc_id + no) % 3 + 1] AS encoding FROM l)
+    , u AS (SELECT *, [up[1], up[2] - up[1], up[3] - up[2]] AS w FROM b)
+    , v AS (SELECT *, CASE WHEN w[1] = 4 THEN 2 ELSE 1 END + CASE WHEN w[2] = 4 THEN 2 ELSE 1 END AS two FROM u)
+    SELECT doc_id, CAST(no AS INT) AS line, encoding, CAST(CASE encoding
+        WHEN 'utf32' THEN CASE WHEN n >= 3 THEN up[3] END
+        WHEN 'utf8' THEN CASE WHEN total = 3 OR (total > 3 AND list_contains(up, 3)) THEN 3 END
+        ELSE CASE WHEN n >= 2 AND two = 3 THEN up[2] WHEN n >= 3 AND two + CASE WHEN w[3] = 4 THEN 2 ELSE 1 END = 3 THEN up[3] END END AS INT) AS byte FROM v"""
 )
 def encoded_positions(spark, d):
-    """The byte of the third place of each text's first line, counted in characters or bytes."""
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"), F.when(F.col("doc_id") % 2 == 0, "utf32").otherwise("utf8").alias("encoding"))
-    return rows.select("doc_id", "encoding", positions.byte_of(F.col("line"), F.lit(3), F.col("encoding")).alias("byte"))
+    """The byte of the third place of every line, counted in bytes, UTF-16 units or characters."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    encoding = F.element_at(F.array(F.lit("utf8"), F.lit("utf16"), F.lit("utf32")), ((F.col("doc_id") + F.col("at") + 1) % 3 + 1).cast("int"))
+    named = rows.select("doc_id", (F.col("at") + 1).alias("no"), encoding.alias("encoding"), "line")
+    return named.select("doc_id", F.col("no").alias("line"), "encoding", positions.byte_of(F.col("line"), F.lit(3), F.col("encoding")).alias("byte"))
 
 
 @query("SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN epoch_us(ts) / 1e6 WHEN 1 THEN event_id * 1.5 END, 6) AS seconds FROM events")

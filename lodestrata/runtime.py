@@ -21,14 +21,14 @@ _made: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Where the session names none and runs in one process (master ``local``), a
+    Where the session names none and runs on one machine (master ``local``), a
     temporary folder is made, once a process. On a cluster no folder of one
     machine would do, so there a session without the setting is an error.
     """
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if found:
         return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.fullmatch(r"local(-cluster)?(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     if not _made:
         _made.append(tempfile.mkdtemp(prefix="lodestrata-"))

@@ -278,3 +278,19 @@ def test_store_replaces_older_versions(spark, tmp_path):
         else:
             store.publish(spark, root, {"t": df}, {})
             assert store.Snapshot(spark, root).table("t").count() == 3
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestrata.runtime import shared_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda k, default: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
+
+    for master in ("yarn", "spark://h:7077", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://h/x/")) == "hdfs://h/x"
+    assert shared_dir(session("local[4]"))
