@@ -159,8 +159,7 @@ def build(spark: SparkSession, root: str, target: str, workspace: str, extension
     for s in scans[1:]:
         texts = texts.unionByName(s)
     texts = materialize(texts, "sources")
-    digest = status.content_digest(sources.hashed(texts).withColumn("g", F.lit("all")), "g", "document_path", "content_hash").first()
-    facts_now = {"content": digest.digest if digest else "", "kgram": parameters.kgram, "window": parameters.window, "workspace": workspace}
+    facts_now = {"content": status.layered_digest(sources.hashed(texts), "document_path", "content_hash"), "kgram": parameters.kgram, "window": parameters.window, "workspace": workspace}
     before = store.manifest(spark, target)
     if before is not None and before["facts"] == facts_now:
         return None

@@ -78,6 +78,19 @@ def content_digest(files: DataFrame, group: str, path: str, text: str) -> DataFr
     return rows.groupBy("group").applyInPandas(_digest, "group string, digest string")
 
 
+def layered_digest(files: DataFrame, path: str, text: str, parts: int = 4096) -> str:
+    """One SHA-256 for a whole corpus, whatever the order of its rows: of the digests of ``parts`` groups of paths, so no task reads all of it.
+
+    Rows without path are left out; empty input gives the digest of nothing.
+    """
+    rows = files.where(F.col(path).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(path), F.lit(parts)))
+    found = content_digest(rows, "_part", path, text).collect()  # at most ``parts`` rows
+    h = hashlib.sha256()
+    for r in sorted(found, key=lambda r: int(r["group"])):
+        h.update(f"{r['group']}:{r['digest']}\n".encode())
+    return h.hexdigest()
+
+
 def duplicated(symbols: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, members, first_id): keys that two or more symbols share."""
     out = symbols.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min("canonical_id").alias("first_id"))

@@ -294,3 +294,15 @@ def test_no_folder_of_one_machine_on_a_cluster():
             shared_dir(session(master))
         assert shared_dir(session(master, "hdfs://h/x/")) == "hdfs://h/x"
     assert shared_dir(session("local[4]"))
+
+
+def test_layered_digest(spark):
+    from lodestrata.operators import status
+
+    rows = [(f"p{k}", f"h{k}") for k in range(50)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "document_path string, content_hash string")
+    one = status.layered_digest(df, "document_path", "content_hash", 7)
+    assert one == status.layered_digest(df.orderBy(F.rand(1)).repartition(3), "document_path", "content_hash", 7)
+    changed = df.withColumn("content_hash", F.when(F.col("document_path") == "p3", "other").otherwise(F.col("content_hash")))
+    assert one != status.layered_digest(changed, "document_path", "content_hash", 7)
+    assert status.layered_digest(df.limit(0), "document_path", "content_hash") == status.layered_digest(df.where("document_path IS NULL"), "document_path", "content_hash")
