@@ -49,6 +49,96 @@ def bm25(index: DataFrame, key: str, queries: DataFrame, total: DataFrame) -> Da
     return scored.groupBy("query", key).agg(F.sum(part).alias("score"))
 
 
+def _pack_postings(weighted: bool, most: int):
+    """Rows (id, wid, weight) sorted by id to tiles of ``most`` ids; the last id of a batch waits for the next."""
+    names = ["ids", "offsets", "wids", "weights"]
+
+    def tile(ids, wids, weights):
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        for k in range(0, len(starts), most):
+            own = starts[k : k + most]
+            end = starts[k + most] if k + most < len(starts) else len(ids)
+            parts = [ids[own], np.append(own, end) - own[0], wids[own[0] : end], weights[own[0] : end]]
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "wid")]
+            cols.append(b.column("weight").to_numpy(zero_copy_only=False).astype(np.float64) if weighted else np.zeros(b.num_rows))
+            if held is not None:
+                cols = [np.concatenate((x, y)) for x, y in zip(held, cols)]
+            # whole tiles go on, the rest waits
+            ids = cols[0]
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            full = (len(starts) - 1) // most * most
+            cut = int(starts[full])
+            if cut:
+                yield from tile(*(x[:cut] for x in cols))
+            held = [x[cut:] for x in cols]
+        if held is not None:
+            yield from tile(*held)
+
+    return run
+
+
+def _score_tiles(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q, qo, qw, d, do, dw, weights in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_offsets", "q_wids", "d_ids", "d_offsets", "d_wids", "d_weights"))):
+                q, qo, qw, d, do, dw = (np.frombuffer(x, np.int64) for x in (q, qo, qw, d, do, dw))
+                weights = np.frombuffer(weights, np.float64)
+                known = np.unique(qw)
+                asked = np.zeros((len(q), len(known)))
+                asked[np.repeat(np.arange(len(q)), np.diff(qo)), np.searchsorted(known, qw)] = 1.0
+                at = np.minimum(np.searchsorted(known, dw), len(known) - 1)
+                met = known[at] == dw
+                owner = np.repeat(np.arange(len(d)), np.diff(do))[met]
+                if not len(owner):
+                    continue
+                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                scores = np.add.reduceat(asked[:, at[met]] * weights[met], first, axis=1)
+                ids = d[owner[first]]
+                scores[q[:, None] == ids[None, :]] = 0.0
+                if scores.shape[1] > most:
+                    # ties within rounding stay in
+                    least = np.partition(scores, -most, axis=1)[:, -most] - 2e-9
+                    who, where = np.nonzero((scores > 0) & (scores >= least[:, None]))
+                else:
+                    who, where = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q[who]), pa.array(ids[where]), pa.array(scores[who, where])], ["query", "id", "score"])
+
+    return run
+
+
+def top_lexical(index: DataFrame, queries: DataFrame, total: DataFrame, most: int) -> DataFrame:
+    """(query, id, score): of each query the passages that can be among its first ``most`` by BM25, the query's own left out.
+
+    Scores are those of ``bm25``, but matches are never written out as rows:
+    postings of words that are asked for (id, word, tf, length) are weighted
+    once and packed into tiles, as are the queries (query, word); each two tiles
+    meet in one product, of which only the best ``most`` rows a query (and
+    ties) leave the task. Ids and queries are longs; words very many passages
+    hold cost their postings and no more.
+    """
+    asked = queries.select("query", "word").distinct()
+    words = index.groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(asked.select("word").distinct(), "word", "left_semi")
+    words = materialize(words.withColumn("wid", F.monotonically_increasing_id()), "words")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    weighted = index.join(words, "word").crossJoin(F.broadcast(total)).select(F.col("id").cast("long").alias("id"), "wid", part.alias("weight"))
+    named = asked.join(words, "word").select(F.col("query").cast("long").alias("id"), "wid")
+    schema = "ids binary, offsets binary, wids binary, weights binary"
+    d = materialize(weighted.repartition("id").sortWithinPartitions("id").mapInArrow(_pack_postings(True, TILE), schema), "posting-tiles")
+    q = materialize(named.repartition("id").sortWithinPartitions("id").mapInArrow(_pack_postings(False, TILE // 8), schema), "query-tiles")
+    groups = max(1, -(-d.count() // MEET))
+    left = q.select(F.col("ids").alias("q_ids"), F.col("offsets").alias("q_offsets"), F.col("wids").alias("q_wids"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    right = d.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"), *[F.col(c).alias(f"d_{c}") for c in ("ids", "offsets", "wids", "weights")])
+    return left.join(right, "group").drop("group").mapInArrow(_score_tiles(most), "query long, id long, score double")
+
+
 def corpus_totals(index: DataFrame, key: str) -> DataFrame:
     sizes = index.groupBy(key).agg(F.first("length").alias("length"))
     return sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))

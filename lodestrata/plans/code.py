@@ -255,7 +255,7 @@ def _lexical(spark, d, most=10, subjects=None):
     index = materialize(retrieval.postings(passages, "id", "render"), "postings")
     asked = index.where("id % 20 = 0") if subjects is None else index.join(subjects, "id", "left_semi")
     asked = asked.select(F.col("id").alias("query"), "word")
-    scored = retrieval.bm25(index, "id", asked, retrieval.corpus_totals(index, "id")).where("query <> id")
+    scored = retrieval.top_lexical(index, asked, retrieval.corpus_totals(index, "id"), most)
     return retrieval.ranked(scored.withColumn("score", F.round("score", 9)), "query", "id", F.col("score").desc(), most)
 
 

@@ -306,3 +306,25 @@ def test_layered_digest(spark):
     changed = df.withColumn("content_hash", F.when(F.col("document_path") == "p3", "other").otherwise(F.col("content_hash")))
     assert one != status.layered_digest(changed, "document_path", "content_hash", 7)
     assert status.layered_digest(df.limit(0), "document_path", "content_hash") == status.layered_digest(df.where("document_path IS NULL"), "document_path", "content_hash")
+
+
+def test_bm25_both_ways(spark):
+    """Tiles give the scores of the join, for the first rows and for all; more passages than a tile holds."""
+    import random
+
+    from lodestrata.operators import retrieval
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(("every", f"w{rng.randrange(60)}")) for _ in range(rng.randrange(1, 12)))) for i in range(1500)] + [(5000, None), (None, "w1")]
+    from lodestrata.runtime import materialize
+
+    index = materialize(retrieval.postings(spark.createDataFrame(rows, "id long, t string"), "id", "t"), "postings")
+    asked = index.where("id % 7 = 0").select(F.col("id").alias("query"), "word")
+    total = retrieval.corpus_totals(index, "id")
+    want = {(r.query, r.id): r.score for r in retrieval.bm25(index, "id", asked, total).where("query <> id").collect()}
+    every = {(r.query, r.id): r.score for r in retrieval.top_lexical(index, asked, total, 10**6).collect()}
+    assert set(want) == set(every) and all(abs(want[k] - every[k]) < 1e-9 for k in want)
+    few = retrieval.ranked(retrieval.top_lexical(index, asked, total, 5).withColumn("score", F.round("score", 9)), "query", "id", F.col("score").desc(), 5)
+    whole = retrieval.ranked(spark.createDataFrame([(q, i, s) for (q, i), s in want.items()], "query long, id long, score double").withColumn("score", F.round("score", 9)), "query", "id", F.col("score").desc(), 5)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.collect()))
+    assert retrieval.top_lexical(index, asked.limit(0), total, 5).count() == 0 and retrieval.top_lexical(index.limit(0), asked, total, 5).count() == 0
