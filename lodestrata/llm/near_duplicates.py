@@ -18,7 +18,10 @@ The search is exact and never looks at all pairs:
   A sketch holds at each bit the parity of the runs that fall on it, so the
   number of differing bits never exceeds the size of the symmetric difference,
   and the radius ``(1-t)/(1+t) (n_a + n_b)`` loses no pair.
-* What is left is checked exactly on the sets of runs.
+* What is left is checked exactly on the sets of runs. Only sets of candidates
+  are shuffled for it: a bit table of a fixed size, sent along, holds back nearly
+  all others, and a join the rest. Run sets and other steps are removed as soon
+  as nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.lexing import WORD
-from lodestrata.runtime import materialize, spread
+from lodestrata.runtime import discard, materialize, spread
 
 RUN = 3
 LIKENESS = 0.6
@@ -44,6 +47,8 @@ LEAST_TOKENS = 40
 BITS, ROUND, TILE = 512, 128, 4096
 #: Places of each of the two tables of counts that order the runs, and rows they are sent in.
 BUCKETS, CHUNKS = 1 << 21, 64
+#: Bits of the table that marks the sets of candidates.
+MARKS = 1 << 26
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
@@ -108,6 +113,15 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> _U(20)).astype(np.int64) % BUCKETS, BUCKETS + (_mix(h) >> _U(24)).astype(np.int64) % BUCKETS
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Compressed 32-bit counts, byte by byte: the high bytes are nearly all 0."""
+    return zlib.compress(np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text its set's fingerprint, size and sketch, and the set itself where the task sees it first; per task the counts of its runs."""
     cache, seen = _WordHashes(), set()
@@ -136,7 +150,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
     if at_type is None:
         return
-    blobs = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(CHUNKS, -1)]
+    blobs = [_pack(p) for p in counts.reshape(CHUNKS, -1)]
     yield pa.RecordBatch.from_arrays(
         [pa.nulls(CHUNKS, t) for t in (pa.string(), at_type, pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())] + [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(blobs, pa.binary())],
         names,
@@ -146,8 +160,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(2 * BUCKETS // CHUNKS, np.int64)
     for blob in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint32)
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+        total += _unpack(blob)
+    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [_pack(np.minimum(total, 2**32 - 1))]})
 
 
 def _prefixes(likeness: float, table, tile: int):
@@ -341,6 +355,41 @@ def _compare(likeness: float, tile: int):
     return run
 
 
+def _mark_places(fps: pa.Array) -> np.ndarray:
+    """Two places in the table of marks for each fingerprint."""
+    return np.frombuffer(b"".join(fps.to_pylist()), "<u4").reshape(-1, 4)[:, 2:].astype(np.int64) % MARKS
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task the table of marks of the fingerprints in (fp_a, fp_b), in parts."""
+    marks = np.zeros(MARKS // 8, np.uint8)
+    for b in batches:
+        for fps in b.columns:
+            at = _mark_places(fps).ravel()
+            np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(marks.reshape(CHUNKS, -1)) if p.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "marks"])
+
+
+def _join_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(MARKS // 8 // CHUNKS, np.uint8)
+    for blob in pdf["marks"]:
+        total |= np.frombuffer(zlib.decompress(blob), np.uint8)
+    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "marks": [zlib.compress(total.tobytes(), 1)]})
+
+
+def _marked(table):
+    """Rows whose fingerprint is marked: all that were marked, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(zlib.decompress(table.value), np.uint8)
+        for b in batches:
+            at = _mark_places(b.column("fp"))
+            yield b.filter(pa.array((marks[at >> 3] >> (at & 7) & 1).all(axis=1)))
+
+    return run
+
+
 def _verify(likeness: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,6 +407,17 @@ def _verify(likeness: float):
     return run
 
 
+def _marks(candidates: DataFrame):
+    """The table of marks of all candidates, sent to the executors; MARKS / 8 bytes whatever the data."""
+    parts = candidates.select("fp_a", "fp_b").mapInArrow(_mark, "chunk int, marks binary")
+    summed = materialize(parts.groupBy("chunk").applyInPandas(_join_marks, "chunk int, marks binary"), "near-marks")
+    whole = np.zeros((CHUNKS, MARKS // 8 // CHUNKS), np.uint8)
+    for r in summed.collect():
+        whole[r["chunk"]] = np.frombuffer(zlib.decompress(r["marks"]), np.uint8)
+    discard(summed)
+    return candidates.sparkSession.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
+
+
 class Search:
     """The steps of one search over (id, at, key, text) rows; see the module's text."""
 
@@ -366,14 +426,13 @@ class Search:
         spark = items.sparkSession
         at = dict(items.dtypes)["at"]
         profile = materialize(items.mapInArrow(_profile, f"id string, at {at}, key string, fp binary, cid long, n int, sketch binary, runs binary, chunk int, counts binary"), "near-profile")
-        summed = profile.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary").collect()
+        summed = materialize(profile.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary"), "near-counts")
         # CHUNKS rows of fixed length: the tables' size doesn't depend on the data
-        whole = b"".join(zlib.decompress(r["counts"]) for r in sorted(summed, key=lambda r: r["chunk"])) or bytes(8 * BUCKETS)
+        whole = b"".join(_unpack(r["counts"]).tobytes() for r in sorted(summed.collect(), key=lambda r: r["chunk"])) or bytes(8 * BUCKETS)
+        discard(summed)
         table = spark.sparkContext.broadcast(zlib.compress(whole, 1))
         order = F.struct(F.col("at").isNotNull().alias("a"), F.col("at").alias("b"), F.col("key").alias("key"), F.col("fp").alias("fp"), F.col("n").alias("n"))
         known = profile.where("chunk IS NULL AND n > 0")
-        #: One row (id, key, fp, n) per item with at least one run.
-        self.members = known.groupBy("id").agg(F.max(order).alias("m")).select("id", "m.key", "m.fp", "m.n")
         classes = known.groupBy("fp").agg(F.first("cid").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         sets = known.where("runs IS NOT NULL")
         thin = sets.select("cid", "runs").mapInArrow(_prefixes(likeness, table, tile), "run long, tile int, last int, cid long")
@@ -384,11 +443,18 @@ class Search:
         blocks = blocks.withColumn("met", F.explode(met)).select("run", "met.low", "met.high", "tile", "fp", "n", "sketch")
         near = blocks.repartition("run", "low", "high").sortWithinPartitions("run", "low", "high").mapInArrow(_compare(likeness, tile), "fp_a binary, fp_b binary")
         candidates = materialize(near.distinct(), "near-candidates")
+        discard(shared)
         wanted = candidates.select(F.col("fp_a").alias("fp")).union(candidates.select(F.col("fp_b").alias("fp"))).distinct()
-        sets = materialize(sets.select("fp", "runs").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
+        marked = sets.select("fp", "runs").mapInArrow(_marked(_marks(candidates)), "fp binary, runs binary")
+        sets = materialize(marked.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
+        #: One row (id, key, fp, n) per item with at least one run.
+        self.members = materialize(known.groupBy("id").agg(F.max(order).alias("m")).select("id", "m.key", "m.fp", "m.n"), "near-members")
+        discard(profile)
         both = candidates.join(sets.select(F.col("fp").alias("fp_a"), F.col("runs").alias("runs_a")), "fp_a").join(sets.select(F.col("fp").alias("fp_b"), F.col("runs").alias("runs_b")), "fp_b")
         #: Pairs (fp_a, fp_b, likeness) of different classes that are alike.
-        self.class_pairs = both.mapInArrow(_verify(likeness), "fp_a binary, fp_b binary, likeness double")
+        self.class_pairs = materialize(both.mapInArrow(_verify(likeness), "fp_a binary, fp_b binary, likeness double"), "near-pairs")
+        discard(sets)
+        discard(candidates)
 
     def pairs(self) -> DataFrame:
         """(a, b): alike items whose keys differ, a < b; a null key equals none.
@@ -429,8 +495,7 @@ def near_groups(symbols: DataFrame, likeness: float = LIKENESS, least_tokens: in
     from lodestrata.operators.components import connected_components
 
     search = Search(_items(symbols, least_tokens), likeness)
-    pairs = materialize(search.class_pairs.select("fp_a", "fp_b"), "near-pairs")
-    nodes = materialize(search.members, "near-members")
+    pairs, nodes = search.class_pairs.select("fp_a", "fp_b"), search.members
     ids = nodes.groupBy("fp").agg(F.min("id").alias("rep"))
     edges = pairs.join(ids.select(F.col("fp").alias("fp_a"), F.col("rep").alias("src")), "fp_a").join(ids.select(F.col("fp").alias("fp_b"), F.col("rep").alias("dst")), "fp_b").select("src", "dst")
     groups = connected_components(edges)

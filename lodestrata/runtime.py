@@ -63,7 +63,14 @@ def materialize(df: DataFrame, label: str = "table", keep: bool = False) -> Data
             spark.conf.set(_CLEANUP, before)
     if not keep:
         atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestrata_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` gave, once nothing reads it any more."""
+    _remove(df.sparkSession, df._lodestrata_path)
 
 
 def ship(spark: SparkSession) -> None:

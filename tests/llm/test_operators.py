@@ -84,6 +84,39 @@ def test_close_pairs_equal_popcount():
     assert set(zip(i.tolist(), j.tolist())) == want
 
 
+def test_near_duplicates_keep_no_run_sets(spark, monkeypatch, tmp_path):
+    """Once the pairs are known, the run sets and other steps are off the disk; what is left still gives the result."""
+    from lodestrata import runtime
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: str(tmp_path))
+    rows = [(f"s{g}_{k}", " ".join(f"w{g}_{i}" for i in range(60)) + f" x{k}", {"clone_substitution_key": f"k{k}"}) for g in range(20) for k in range(2)]
+    found = near_duplicates.near_duplicates(symbols(spark, rows))
+    assert sorted({p.name.rpartition("-")[0] for p in tmp_path.iterdir()}) == ["near-members", "near-pairs"]
+    assert sorted(map(tuple, found.collect())) == sorted((f"s{g}_0", f"s{g}_1") for g in range(20))
+
+
+def test_marked_sets():
+    """Every set of a candidate is kept, nearly all others are held back before the shuffle."""
+    import zlib
+    from hashlib import blake2b
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Table:
+        value = None
+
+    fps = [blake2b(str(i).encode(), digest_size=16).digest() for i in range(20_000)]
+    whole = np.zeros((near_duplicates.CHUNKS, near_duplicates.MARKS // 8 // near_duplicates.CHUNKS), np.uint8)
+    for b in near_duplicates._mark(iter([pa.RecordBatch.from_arrays([pa.array(fps[:500]), pa.array(fps[500:1000])], ["fp_a", "fp_b"])])):
+        for chunk, part in zip(b.column("chunk").to_pylist(), b.column("marks").to_pylist()):
+            whole[chunk] = np.frombuffer(zlib.decompress(part), np.uint8)
+    Table.value = zlib.compress(whole.tobytes(), 1)
+    sets = pa.RecordBatch.from_arrays([pa.array(fps), pa.array([b"r"] * len(fps))], ["fp", "runs"])
+    kept = [x for b in near_duplicates._marked(Table)(iter([sets, sets.slice(0, 0)])) for x in b.column("fp").to_pylist()]
+    assert set(fps[:1000]) <= set(kept) and len(kept) < 1100
+
+
 # --- 2 -----------------------------------------------------------------------
 
 def stretches(rows):
