@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.operators.reach import all_pairs
 from lodestrata.runtime import bounded, materialize
 
 #: Edge kinds that carry dependence, in the order that breaks ties (fixed values).
@@ -151,21 +152,28 @@ def dependents_report(rows: DataFrame, depth: int, horizon: int = HORIZON) -> Da
     return rows.groupBy("distance", "kind").agg(F.count(F.lit(1)).alias("dependents")).crossJoin(F.broadcast(whole)).select("distance", "kind", "dependents", (F.col("distance") > depth).alias("beyond"), state.alias("disclosure"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, one_task: int = 2_000_000) -> DataFrame:
     """(start, node) for all nodes reachable from each start over (src, dst), the start itself left out.
 
     The pairs are the result and may be as many as the nodes squared: pass the
-    edges of one kind. Rounds go on until one finds nothing new.
+    edges of one kind. A graph of at most ``one_task`` edges, which is counted
+    first, is numbered by one task, and its pairs are written out block by block.
+    Beyond that rounds of joins go on until one finds nothing new; what a round
+    finds is written once. Both ways give the same rows.
     """
-    links = materialize(edges.select("src", "dst").distinct(), "links")
+    links = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
+    if bounded(links, one_task):
+        return all_pairs(links)
     reached = frontier = links.select(F.col("src").alias("start"), F.col("dst").alias("node"))
+    first, found = reached, []
     while True:
         step = frontier.join(links, frontier.node == links.src).select("start", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(reached, ["start", "node"], "left_anti"), "closure")
         if frontier.isEmpty():
             break
-        reached = materialize(reached.unionByName(frontier), "closure")
-    return reached.where("start <> node").distinct()
+        found.append(frontier._lodestrata_path)
+        reached = first.unionByName(links.sparkSession.read.schema(first.schema).parquet(*found))
+    return reached.where("start <> node")
 
 
 def rank_projection(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import components, graph, intervals, resolution
 from lodestrata.plans.base import occurrences, query, symbols, with_ctes
-from lodestrata.runtime import materialize
+from lodestrata.runtime import materialize, table
 
 _DEPENDENTS = ", links AS (SELECT dst AS at, src AS next, min(CASE kind WHEN 'uses' THEN 1 WHEN 'imports' THEN 2 WHEN 'type_hierarchy' THEN 3 ELSE 4 END) AS k FROM edges GROUP BY 1, 2)"
 
@@ -52,6 +52,12 @@ def _edges(spark, d):
     return graph.reference_edges(occurrences(spark, d), symbols(spark, d))
 
 
+def _hierarchy(spark, d):
+    """Links to types. Links are a set, so rows delivered again need no removal ahead of it."""
+    ends = table(spark, d, "symbols").where("canonical_id IS NOT NULL").select("canonical_id", F.lower(F.trim("kind")).alias("kind")).distinct()
+    return graph.reference_edges(table(spark, d, "occurrences").where("id IS NOT NULL"), ends).where("kind = 'type_hierarchy'")
+
+
 def _seeds(spark, d):
     return symbols(spark, d).where(_SEED).select(F.col("canonical_id").alias("node"))
 
@@ -151,7 +157,7 @@ def ranked_dependents(spark, d):
     ) SELECT start, node FROM reach WHERE start <> node"""
 )
 def hierarchy_closure(spark, d):
-    return graph.closure(_edges(spark, d).where("kind = 'type_hierarchy'"))
+    return graph.closure(_hierarchy(spark, d))
 
 
 @query(
