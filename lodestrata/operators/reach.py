@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.runtime import discard, materialize
 
-#: Targets in a block, and bits that a task keeps at once where blocks are not at their least (fixed values).
-LEAST_WIDTH, MOST_WIDTH, BITS = 1 << 10, 1 << 14, 1 << 29
-#: Places in a batch, and links a task has at least (fixed values).
-BATCH, SHARE = 1 << 19, 512
+#: Targets in a block, and bits that a task keeps at once where blocks are not at their least. With MOST_WIDTH targets and
+#: starts a task, names of usual length fit the dictionaries of its Parquet file (fixed values).
+LEAST_WIDTH, MOST_WIDTH, BITS = 1 << 10, 1 << 13, 1 << 29
+#: Places in a batch, links a task has at least, and tasks at most where cores ask for no more (fixed values).
+BATCH, SHARE, TASKS = 1 << 19, 512, 256
 
 
 def circles(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -99,7 +100,7 @@ def _number(batches):
     outer = np.unique(number[src[~inner]] * parts + part[place[dst[~inner]]])
     width = int(min(MOST_WIDTH, max(LEAST_WIDTH, BITS // parts)))
     graph = {
-        "width": width, "targets": len(targets), "links": t.num_rows, "first": first, "back": (into % parts).astype(np.int32), "ends": np.searchsorted(into // parts, np.arange(parts + 1)),
+        "width": width, "targets": len(targets), "links": t.num_rows, "starts": len(np.unique(src)), "first": first, "back": (into % parts).astype(np.int32), "ends": np.searchsorted(into // parts, np.arange(parts + 1)),
         "start": (outer // parts).astype(np.int32), "start_to": (outer % parts).astype(np.int32),
     }
     kind = pa.list_(names.type)
@@ -195,7 +196,9 @@ def all_pairs(links: DataFrame) -> DataFrame:
         return links.select(F.col("src").alias("start"), F.col("dst").alias("node")).limit(0)
     graph = pickle.loads(row.graph)
     blocks = -(-graph["targets"] // graph["width"])
+    # as many shares as cores ask for, or as keep a file's starts few
     shares = -(-min(4 * spark.sparkContext.defaultParallelism, -(-graph["links"] // SHARE)) // blocks)
+    shares = max(shares, min(-(-graph["starts"] // MOST_WIDTH), TASKS // blocks))
     units = spark.range(0, blocks * shares, 1, blocks * shares)
     found = units.mapInArrow(_reached(spark.sparkContext.broadcast(bytes(row.graph)), shares), "start_block int, start_place int, block int, places array<int>")
     names = numbered.where("block >= 0")
